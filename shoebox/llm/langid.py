@@ -41,13 +41,14 @@ class Options:
 
 
 UNKNOWN = "und"
+EDGE = np.array([32], np.uint64)
 SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
 def _cells(data: np.ndarray, cells: int) -> np.ndarray:
     """For each byte: the hashed cell of the trigram around it; bytes outside words count as one."""
     c = np.where(C.WORD[data], data, np.uint8(32)).astype(np.uint64)
-    key = (np.concatenate(([32], c[:-1])) << np.uint64(16)) | (c << np.uint64(8)) | np.concatenate((c[1:], [32]))
+    key = (np.concatenate((EDGE, c[:-1])) << np.uint64(16)) | (c << np.uint64(8)) | np.concatenate((c[1:], EDGE))
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
