@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, toxicity
+from . import langid, media, packing, toxicity
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (C.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(C.table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_toxicity, op9_language_id)}
+    return {f.__name__: f for f in (op3_media_webp, op5_packing, op8_toxicity, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
