@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, media, packing, toxicity
+from . import langid, linededup, media, packing, toxicity
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +30,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed places as "start-stop start-stop ...", in characters of the original text."""
+    out = linededup.dedup(C.table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["stop"])), " ")
+    kept = F.when(F.col("n_removed") < F.col("n_units"), F.sha2("text", 256))
+    return out.select("doc_id", "n_units", "n_removed", kept.alias("kept_sha256"), spans.alias("removed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_webp, op5_packing, op8_toxicity, op9_language_id)}
+    return {f.__name__: f for f in (op3_media_webp, op5_packing, op8_toxicity, op9_language_id, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": linededup.SQL}
