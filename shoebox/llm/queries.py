@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, linededup, media, packing, toxicity
+from . import langid, linededup, lm, media, packing, toxicity
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (C.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(C.table(spark, sf_dir, "documents"))
+
+
 def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(C.table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_webp, op5_packing, op8_toxicity, op9_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op3_media_webp, op5_packing, op8_toxicity, op9_language_id, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
