@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, linededup, lm, media, packing, toxicity
+from . import bpe, langid, linededup, lm, media, packing, toxicity
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(C.table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(C.table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(C.table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_media_webp, op5_packing, op8_toxicity, op9_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op5_packing, op8_toxicity, op9_language_id, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
