@@ -41,15 +41,17 @@ class Options:
 
 
 UNKNOWN = "und"
-EDGE = np.array([32], np.uint64)
 SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
 def _cells(data: np.ndarray, cells: int) -> np.ndarray:
     """For each byte: the hashed cell of the trigram around it; bytes outside words count as one."""
-    c = np.where(C.WORD[data], data, np.uint8(32)).astype(np.uint64)
-    key = (np.concatenate((EDGE, c[:-1])) << np.uint64(16)) | (c << np.uint64(8)) | np.concatenate((c[1:], EDGE))
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    key = np.full(len(data) + 2, 32, np.uint32)
+    key[1:-1] = np.where(C.WORD[data], data, np.uint8(32))
+    key = (key[:-2] << np.uint32(16)) | (key[1:-1] << np.uint32(8)) | key[2:]
+    key *= np.uint32(0x9E3779B1)
+    key >>= np.uint32(32 - cells.bit_length() + 1)
+    return key
 
 
 def fit(docs: DataFrame, options: Options = Options()) -> tuple[list[str], np.ndarray] | None:
@@ -68,12 +70,12 @@ def fit(docs: DataFrame, options: Options = Options()) -> tuple[list[str], np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), cells), np.int64)
-        for t in C.chunks(batches):
+        for t in C.chunks(batches, limit=2 << 20):
             data, starts, ends, doc = C.words(t.column("text").to_pylist())
             if len(starts):
                 lang = np.array([number[x] for x in t.column("lang").to_pylist()])[doc]
                 cell = _cells(data, cells)
-                inside = np.repeat(lang, ends - starts) * cells + cell[C.WORD[data]]
+                inside = np.repeat(lang * cells, ends - starts) + cell[C.WORD[data]]
                 total += np.bincount(inside, minlength=total.size).reshape(total.shape)
         for i in range(len(langs)):
             at = np.flatnonzero(total[i])
@@ -150,7 +152,7 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray] | None, option
     sent = C.shared(docs.sparkSession, fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in C.chunks(batches, limit=4 << 20):
+        for t in C.chunks(batches, limit=2 << 20):
             lang, score, languages, shares = zip(*infer(t.column("text").to_pylist(), *sent.value, options), strict=True)
             yield pa.record_batch([t.column("doc_id").combine_chunks(), pa.array(lang), pa.array(score), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "proportions"])
 
