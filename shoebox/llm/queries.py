@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, langid, linededup, lm, media, packing, toxicity
+from . import bpe, langid, linededup, lm, media, packing, suffixdedup, toxicity
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(C.table(spark, sf_dir, "documents"), digest=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op5_packing, op8_toxicity, op9_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op5_packing, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
