@@ -37,8 +37,8 @@ class Options:
     #: How many observations a state's backoff distribution is worth.
     mass: float = 400.0
     #: Bytes of text of a block, and keys of a bucket.
-    block: int = 16 << 20
-    bucket: int = 2_000_000
+    block: int = 8 << 20
+    bucket: int = 1_000_000
 
 
 #: ASCII white space parts words; A-Z are lower-cased.
