@@ -159,6 +159,20 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray] | None, option
     return rows.mapInArrow(run, SCHEMA)
 
 
+def known(docs: DataFrame, fitted: tuple[list[str], np.ndarray] | None, least: float, options: Options = Options()) -> DataFrame:
+    """The rows of docs whose text has a language, with a score of `least` or more, with all their columns."""
+    if fitted is None:
+        return docs
+    sent = C.shared(docs.sparkSession, fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.chunks(batches, limit=2 << 20):
+            found = infer(t.column("text").to_pylist(), *sent.value, options)
+            yield from t.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found])).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """Predict the languages of all documents with models fitted on those whose language is known."""
     C.tune(docs.sparkSession)

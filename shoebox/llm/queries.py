@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, langid, linededup, lm, media, omh, packing, suffixdedup, toxicity
+from . import bpe, langid, linededup, lm, media, nndescent, omh, packing, suffixdedup, toxicity
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(C.table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.link(C.table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op5_packing, op6_minhash_near_dedup, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op4_embedding_near_dedup, op5_packing, op6_minhash_near_dedup, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

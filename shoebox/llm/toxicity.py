@@ -209,6 +209,21 @@ def score(docs: DataFrame, model: dict | None, options: Options = Options()) ->
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence double, n_words long")
 
 
+def clean(docs: DataFrame, model: dict | None, options: Options = Options()) -> DataFrame:
+    """The rows of docs whose text is not predicted toxic, with all their columns."""
+    if model is None:
+        return docs
+    sent = C.shared(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.chunks(batches):
+            m = sent.value
+            s = 1 / (1 + np.exp(-np.clip(_features(*_evidence(m, t.column("text").to_pylist())) @ m["beta"], -30, 30)))
+            yield from t.filter(pa.array(s < options.threshold)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """Score all documents with models fitted on the labelled ones."""
     C.tune(docs.sparkSession)
