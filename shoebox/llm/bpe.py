@@ -38,7 +38,7 @@ from . import exchange as X
 class Options:
     tokenizer: str = "word_bpe_49k.json"
     #: Bytes of text of a block, and of distinct words (with each block's repetitions) of a bucket.
-    block: int = 8 << 20
+    block: int = 16 << 20
     bucket: int = 12 << 20
 
 
@@ -108,7 +108,7 @@ def _pack(o: Options):
                 words = t.split(text)
                 parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 sizes.append(len(words))
-            row = [next(ids), rows.column("doc_id").to_pylist(), sizes, X.squeeze(np.concatenate(parts)), zlib.compress(GAP.join(number).encode(), 1)]
+            row = [next(ids), rows.column("doc_id").to_pylist(), sizes, X.squeeze(np.concatenate(parts), 6), zlib.compress(GAP.join(number).encode(), 6)]
             yield pa.record_batch([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["block", "docs", "sizes", "seq", "words"])
 
     return run
@@ -140,6 +140,20 @@ def _ask(buckets: int):
     return run
 
 
+def _dealt(buckets: int):
+    """Of each block the buckets of its words, as an answer of its own: so the words need not be shuffled with the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deals = [X.squeeze(_deal(_words(w), buckets).astype(np.uint32)) for w in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([DEAL] * len(deals), pa.int64()), pa.array(deals, pa.binary())], ["block", "bucket", "answer"])
+
+    return run
+
+
+DEAL = -1
+
+
 def _encode(o: Options):
     def run(requests: pd.DataFrame) -> list[bytes]:
         asked = [_words(k) for k in requests["keys"]]
@@ -164,12 +178,12 @@ def _encode(o: Options):
     return run
 
 
-def _positions(o: Options, buckets: int):
+def _positions():
     """Of a block: word -> ids, as arrays of where each word's ids begin and end, and the word numbers of each document."""
 
     def run(block: pd.Series, answers: dict[int, bytes]):
-        words = _words(block["words"])
-        order = np.argsort(_deal(words, buckets), kind="stable")
+        deal = X.unsqueeze(answers.pop(DEAL), np.uint32)
+        order = np.argsort(deal, kind="stable")
         sizes, flats = [], []
         for k in sorted(answers):
             a = X.unsqueeze(answers[k], np.uint32)
@@ -178,7 +192,7 @@ def _positions(o: Options, buckets: int):
         size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
         flat = np.concatenate(flats).tolist() if flats else []
         ends = np.cumsum(size).tolist()
-        ids: list[list[int]] = [[]] * len(words)
+        ids: list[list[int]] = [[]] * len(deal)
         for i, n, e in zip(order.tolist(), size.tolist(), ends, strict=True):
             ids[i] = flat[e - n : e]
         seq = X.unsqueeze(block["seq"], np.uint32)
@@ -198,8 +212,9 @@ def encode(docs: DataFrame, o: Options = Options(), digest: bool = False) -> Dat
     blocks = C.written(C.texts(docs).mapInArrow(_pack(o), BLOCK))
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(2.5 * size // o.bucket) + 1
-    answers = X.answered(blocks.select("block", "words").mapInArrow(_ask(buckets), X.ASK), _encode(o))
-    joined = _positions(o, buckets)
+    own = blocks.select("block", "words")
+    answers = X.answered(own.mapInArrow(_ask(buckets), X.ASK), _encode(o)).unionByName(own.mapInArrow(_dealt(buckets), X.ANSWER))
+    joined = _positions()
     schema = DIGEST if digest else WHOLE
 
     def finish(block: pd.Series | None, own: dict[int, bytes]) -> pd.DataFrame:
@@ -225,4 +240,4 @@ def encode(docs: DataFrame, o: Options = Options(), digest: bool = False) -> Dat
         doc = pd.array([None if d is None or d != d else int(d) for d in block["docs"]], "Int64")
         return pd.DataFrame({"doc_id": doc} | dict(zip(names[1:], zip(*out, strict=True), strict=True)))
 
-    return X.returned(blocks, answers, finish, schema)
+    return X.returned(blocks.drop("words"), answers, finish, schema)

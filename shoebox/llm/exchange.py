@@ -29,9 +29,9 @@ def block_ids() -> Iterator[int]:
         at += 1
 
 
-def squeeze(a: np.ndarray) -> bytes:
+def squeeze(a: np.ndarray, level: int = 1) -> bytes:
     """An array of unsigned integers, compressed byte by byte of their places."""
-    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), level)
 
 
 def unsqueeze(data: bytes, kind: type) -> np.ndarray:
