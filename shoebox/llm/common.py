@@ -122,6 +122,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C55)
 _powers = np.ones(1, np.uint64)
+SLICE = 1 << 19
 
 
 def powers(n: int) -> np.ndarray:
@@ -141,13 +142,19 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run data[start:end]; runs are not empty and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    out = np.empty(len(starts), np.uint64)
     size = ends - starts
-    cut = np.concatenate(([0], np.cumsum(size)))
-    inside = np.arange(cut[-1], dtype=np.int64) - np.repeat(cut[:-1], size)
-    value = BYTE[data[np.repeat(starts, size) + inside]] * powers(int(size.max()))[inside]
-    return mix(np.add.reduceat(value, cut[:-1]) + size.astype(np.uint64))
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    p = powers(int(size.max(initial=1)))
+    a = 0
+    while a < len(starts):  # about SLICE bytes at a time
+        b = max(int(np.searchsorted(total, total[a] + SLICE, "right")) - 1, a + 1)
+        cut = total[a:b] - total[a]
+        inside = np.arange(total[b] - total[a]) - np.repeat(cut, size[a:b])
+        value = BYTE[data[np.repeat(starts[a:b], size[a:b]) + inside]] * p[inside]
+        out[a:b] = np.add.reduceat(value, cut)
+        a = b
+    return mix(out + size.astype(np.uint64))
 
 
 #: Bytes of words: ASCII letters and every byte of a longer UTF-8 sequence.
