@@ -31,6 +31,17 @@ class ScanOptions:
         return min(12, max(0, self.similar_distance))
 
 
+def by_groups(df: DataFrame, keys: list[str], f, schema: str, shards: int | None = None) -> DataFrame:
+    """f over the rows of each group. Small groups share a task's call: they are dealt to shards by a hash, so a call costs little for each."""
+    n = shards or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="_shard")
+        return pd.concat([f(g) for _, g in rows.groupby(keys, sort=False, dropna=False)])
+
+    return df.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_shard").applyInPandas(run, schema)
+
+
 def pregroup(files: DataFrame, mode: str = "normalized") -> DataFrame:
     """Files that share size, family and name key with another one; block tells which share."""
     block = F.xxhash64("size", "_family", "_key")
@@ -99,7 +110,7 @@ def time_groups(blocked: DataFrame, o: ScanOptions = ScanOptions()) -> DataFrame
         parts = [rows.iloc[g].assign(time_group=f"{rows['block'].iloc[0]}:{k}") for k, g in enumerate(groups)]
         return pd.concat(parts) if parts else rows.iloc[:0].assign(time_group=pd.Series(dtype=str))
 
-    return blocked.groupBy("block").applyInPandas(run, schema)
+    return by_groups(blocked, ["block"], run, schema)
 
 
 def exact_groups(timed: DataFrame, *by: str) -> DataFrame:
@@ -136,17 +147,17 @@ def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str) -> DataFr
     keys = [*by, "_run"]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["capture_ms", "path"]).reset_index(drop=True)
+        rows = rows.sort_values(["capture_ms", "path"])
         bucket, start, number = [], None, -1
-        for s in rows["_s"]:
+        for s in rows["_s"].tolist():
             if start is None or s - start > tol:
                 start, number = s, number + 1
             bucket.append(number)
         name = ":".join(str(rows[k].iloc[0]) for k in keys)
-        rows = rows.assign(bucket=[f"{name}:{b}" for b in bucket])
-        return rows[rows.groupby("bucket")["bucket"].transform("size") >= 2].drop(columns=["_s", "_run"])
+        rows = rows.drop(columns=["_s", "_run"]).assign(bucket=[f"{name}:{b}" for b in bucket])
+        return rows[np.bincount(bucket)[bucket] >= 2]
 
-    return runs.groupBy(*keys).applyInPandas(fold, schema)
+    return by_groups(runs, keys, fold, schema)
 
 
 def first_fit(paths: list[str], prints: list[int], distance: int) -> list[list[int]]:
@@ -173,7 +184,7 @@ def phash_clusters(bucketed: DataFrame, distance: int, bucket: str = "bucket") -
         parts = [rows.iloc[g].assign(cluster=f"{rows[bucket].iloc[0]}/{k}") for k, g in enumerate(groups)]
         return pd.concat(parts) if parts else rows.iloc[:0].assign(cluster=pd.Series(dtype=str))
 
-    return bucketed.filter("phash is not null").groupBy(bucket).applyInPandas(run, schema)
+    return by_groups(bucketed.filter("phash is not null"), [bucket], run, schema)
 
 
 def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash", words: int = 8) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.vectors import cosine, unit
+from .dedupe import by_groups
 from .library import CLUSTER_VERSION, FACE_MODEL, Marks
 
 SAME_PERSON = 0.32
@@ -69,7 +70,7 @@ def main_subjects(faces: DataFrame, threshold: float = SAME_PERSON) -> DataFrame
                 kept.append(i)
         return rows.loc[kept]
 
-    return faces.select("path", "embedding", "area", "ord").groupBy("path").applyInPandas(run, "path string, embedding array<float>, area double, ord bigint")
+    return by_groups(faces.select("path", "embedding", "area", "ord"), ["path"], run, "path string, embedding array<float>, area double, ord bigint")
 
 
 class _Cluster:

@@ -67,9 +67,9 @@ def wasted_bytes_summary(spark, sf_dir):
     return dedupe.summary(dedupe.with_roles(grouped(spark, sf_dir)))
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)/*$', 1), '^.*17$', 'i') OR regexp_matches(regexp_extract(url, '([^/]*)/*$', 1), '^.*a.*21.*$', 'i')")
+@query("SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)/*$', 1), '^.*PAGE=2.*$', 'i') OR regexp_matches(regexp_extract(url, '([^/]*)/*$', 1), '^6.*5$', 'i')")
 def search_by_pattern(spark, sf_dir):
-    return X.table(spark, sf_dir, "pages").filter(names.matches("url", "*17; *a*21*")).select("page_id")
+    return X.table(spark, sf_dir, "pages").filter(names.matches("url", "*PAGE=2*; 6*5")).select("page_id")
 
 
 @query(f"WITH {FILES}, f AS (SELECT * FROM files WHERE regexp_matches(name, '^shot.*\\.jpg$|^.*copy.*$', 'i') AND path NOT ILIKE '/src1/%'), n AS (SELECT *, count(*) OVER (PARTITION BY size, hash) AS n FROM f) SELECT doc_id, n AS files FROM n WHERE n >= 2")
@@ -160,9 +160,9 @@ def people_counts(spark, sf_dir):
     return library.people_counts(X.marks(spark, sf_dir))
 
 
-@query(f"WITH {EVENTS}, c AS (SELECT user_id AS id, count(DISTINCT path) AS count FROM shots WHERE event_type IN ('click', 'view') AND user_id > 0 GROUP BY user_id) SELECT id, count FROM c WHERE count < 40 AND (SELECT max(count) FROM c) >= 40")
+@query(f"WITH {EVENTS}, c AS (SELECT user_id AS id, count(DISTINCT path) AS count FROM shots WHERE event_type IN ('click', 'view') AND user_id > 0 GROUP BY user_id) SELECT id, count FROM c WHERE count < 28 AND (SELECT max(count) FROM c) >= 28")
 def other_people(spark, sf_dir):
-    return library.other_people(library.people_counts(X.marks(spark, sf_dir)), 40).select("id", "count")
+    return library.other_people(library.people_counts(X.marks(spark, sf_dir)), 28).select("id", "count")
 
 
 @query(f"WITH {EVENTS}, l AS (SELECT CASE event_type WHEN 'error' THEN 'person' WHEN 'click' THEN 'animal' ELSE 'landscape' END AS label FROM shots) SELECT label, count(*) AS count FROM l GROUP BY label")
@@ -201,10 +201,10 @@ def min_edge(spark, sf_dir):
     return X.table(spark, sf_dir, "part").filter(names.passes_min_edge(F.expr("p_size % 7 * 50"), F.expr("p_size * 10 % 480"), 240)).select("p_partkey")
 
 
-@query("WITH d AS (SELECT page_id, lower(split_part(url, '/', 4)) AS top FROM pages) SELECT page_id, top IN ('icons', 'assets', 'cache', 'docs') AND top <> 'docs' AS software FROM d")
+@query("SELECT page_id, page_id % 5 IN (0, 2, 3) AS software FROM pages")
 def software_dirs(spark, sf_dir):
-    top = F.split_part("url", F.lit("/"), F.lit(4))
-    return X.table(spark, sf_dir, "pages").select("page_id", sources.is_software(F.concat(F.lit("D:/media/"), top)).alias("software"))
+    folder = F.expr("element_at(array('Icons', 'album', 'Adobe/x', 'my photoshop files', 'windows'), CAST(page_id % 5 + 1 AS INT))")
+    return X.table(spark, sf_dir, "pages").select("page_id", sources.is_software(F.concat(F.lit("D:/media/"), folder)).alias("software"))
 
 
 TREE = "SELECT doc_id, 'D:/photos/' || source || '/' || CASE WHEN doc_id % 10 = 0 THEN 'cache/' ELSE 'set/' END || lang || '/' || 'f' || CAST(doc_id AS {text}) || CASE WHEN doc_id % 251 = 3 THEN '.exe' ELSE '.jpg' END AS path FROM {docs}"

@@ -89,7 +89,7 @@ def prune_roots(given: list[str], exists=os.path.isdir) -> tuple[list[str], list
 
 
 def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Every file below the roots, without content; seq is a stable order of walking."""
+    """Every file below the roots but hidden and empty ones, without content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path", "length", "modificationTime")
     path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
     return _named(files.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms")))
