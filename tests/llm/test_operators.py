@@ -1,0 +1,245 @@
+"""Operators on small tables with nulls, ties, repeated rows, clashing columns, and against brute force."""
+
+import hashlib
+import math
+import os
+import re
+import zlib
+from collections import Counter
+from types import SimpleNamespace
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from shoebox.llm import bpe, common, graph, langid, linededup, lm, media, nndescent, omh, packing, queries, suffixdedup, toxicity
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, score double, block long, words string, removed string, node long"
+LONG = " ".join(f"word{i % 977}" for i in range(30000))
+SHARED = "It is only with the heart that one can see rightly; what is essential is invisible to the eye, said the fox to the prince, and he repeated it so that he would be sure to remember."
+
+
+def rows():
+    body = " ".join(f"token{i} is here" for i in range(60))
+    values = [
+        (1, "alpha beta gamma\nalpha beta gamma\n\nshort", "en"), (2, None, None), (3, "", "en"), (4, LONG, "en"), (5, body, "de"), (6, body, "de"), (7, body.replace("token7 ", "other "), "fr"),
+        (5, body, "de"), (None, body, None), (None, None, "en"), (8, "x " + SHARED + " y", "en"), (9, "quite another beginning, then " + SHARED, None), (10, "!!! 123 …", "en"), (11, "é", "fr"),
+        (12, "ALPHA  beta\tGamma", "en"), (12, "a different text with the same id", "en"),
+    ]
+    return [(i, t, g, "s", None, 7, 0.5, 3, "w", "r", 9) for i, t, g in values]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return common.table(spark, SF, "documents")
+
+
+def ids(df):
+    return Counter(r["doc_id"] for r in df.select("doc_id").collect())
+
+
+ALL = Counter(r[0] for r in rows())
+
+
+def test_lm_against_brute_force(docs, none, real):
+    assert lm.score(none).count() == 0
+    out = lm.score(docs)
+    assert ids(out) == ALL and out.filter("doc_id is null and held_out is not null").count() == 0
+    o = lm.Options()
+    token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) + [None]
+    texts = {r.doc_id: token(r.text) for r in real.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    one, two = Counter(), Counter()
+    for i, t in texts.items():
+        if not held[i]:
+            one.update(t)
+            two.update(zip(t, t[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    for r in lm.score(real).collect():
+        t = texts[r.doc_id]
+        base = sum(math.log10(p(w)) for w in t)
+        arcs = (math.log10((two[u, w] + o.mass * p(w)) / (one[u] + o.mass)) if one[u] else math.log10(p(w)) for u, w in zip(t, t[1:], strict=False))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(one[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(math.log10(p(t[0])) + sum(arcs))
+
+
+def test_bpe(docs, none, real):
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    assert bpe.encode(none).count() == 0 and ids(bpe.encode(docs)) == ALL
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    whole = {r.doc_id: r for r in bpe.encode(real).collect()}
+    short = {r.doc_id: r for r in bpe.encode(real, digest=True).collect()}
+    for r in real.collect():
+        want = library.encode(r.text or "", add_special_tokens=False).ids
+        assert list(whole[r.doc_id].ids) == want and whole[r.doc_id].decoded == library.decode(want, skip_special_tokens=False)
+        d = short[r.doc_id]
+        assert (d.n_tokens, d.ids_sha256, d.decoded_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(whole[r.doc_id].decoded.encode()).hexdigest())
+
+
+def test_media(docs, none):
+    assert media.features(none).count() == 0
+    out = media.features(docs)
+    assert ids(out) == ALL
+    for r in out.filter("doc_id in (3, 5)").collect():
+        text = dict((x[0], x[1]) for x in rows())[r.doc_id].encode()
+        payload = text + bytes((-len(text)) % 64 or 64 * (not text))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert out.filter("doc_id in (5, 6)").select("media_sha256", "feature").distinct().count() == 1
+
+
+def test_packing(docs, none, real):
+    assert packing.pack(none).count() == 0
+    assert set(ids(packing.pack(docs))) == set(ALL)
+    out = packing.pack(real, packing.Options(shard=50)).toPandas()
+    encode = packing.encoder("byte_bpe_50k.json", None)
+    for r in real.collect():
+        want = np.append(encode(r.text or ""), np.uint32(2)).astype("<u4")
+        own = out[out.doc_id == r.doc_id].sort_values("piece")
+        assert own.length.sum() == len(want) and (own.start.to_numpy() == own.length.cumsum().to_numpy() - own.length.to_numpy()).all()
+        assert [zlib.crc32(want[a : a + n].tobytes()) for a, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+        assert (own.length.iloc[1:] == 1024).all()
+    placed = out.sort_values(["sequence_id", "offset"])
+    total = placed.groupby("sequence_id").length
+    assert total.sum().max() <= 1024 and (total.cumsum() - placed.length == placed.offset).all()
+
+
+def test_omh(docs, none, real):
+    assert omh.classes(none).count() == 0
+    got = omh.classes(docs).toPandas()
+    group = {k: set(g.doc_id.dropna().astype(int)) for k, g in got.groupby("class_id", dropna=False)}
+    assert group[5] == {5, 6, 7} and group[2] == {2, 3} and ids(omh.classes(docs)) == ALL
+    assert got[got.class_id == 5].class_size.eq(5).all()  # the repeated row and the one without an id too
+    text = {r.doc_id: r.text for r in real.collect()}
+    words = {}
+    for i, t in text.items():
+        data, a, b, _ = common.words([t])
+        words[i] = (common.hash_runs(data, a, b) >> np.uint64(32)).astype(np.uint32)
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, w.tolist()) for i, w in words.items())}
+    label = {r.doc_id: r.class_id for r in omh.classes(real).collect()}
+    for a in text:
+        for b in text:
+            if a < b and len(words[a]) and len(words[b]) and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                if omh.aligned(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) is not None:
+                    assert label[a] == label[b], (a, b)
+    kept = omh.representatives(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id in (5, 6, 7)").count() == 1
+
+
+def test_suffix_dedup(docs, none, real):
+    assert suffixdedup.dedup(none).count() == 0 and ids(suffixdedup.dedup(docs)) == ALL
+    row = suffixdedup.dedup(docs).filter("doc_id = 9").first()
+    assert len(row.removed) == 1 and row.removed[0]["stop"] - row.removed[0]["start"] == len(SHARED) + 1 and bytes(row.kept).decode() + SHARED == "quite another beginning, then" + SHARED
+    for o in (suffixdedup.Options(), suffixdedup.Options(hot=5, anchors=2000, bucket=1 << 14, chunk=1 << 16)):
+        seen, got = set(), {r.doc_id: r for r in suffixdedup.dedup(real, o, digest=True).collect()}
+        for r in sorted(real.collect(), key=lambda r: r.doc_id):
+            b = (r.text or "").encode()
+            mark = np.zeros(len(b), bool)
+            for k in range(len(b) - 99):
+                if b[k : k + 100] in seen:
+                    mark[k : k + 100] = True
+                else:
+                    seen.add(b[k : k + 100])
+            starts, _ = common.runs(mark)
+            g = got[r.doc_id]
+            assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (len(b), mark.sum(), len(starts), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~mark])).hexdigest())
+    clean = suffixdedup.cleaned(docs)
+    assert clean.schema == docs.schema and clean.count() == docs.count()
+
+
+def test_line_dedup(spark, docs, none):
+    assert linededup.dedup(none).count() == 0
+    got = {r.doc_id: r for r in linededup.dedup(docs).filter("doc_id in (1, 3, 10)").collect()}
+    assert (got[1].n_units, got[1].n_removed, got[1].text) == (4, 1, "alpha beta gamma\n\nshort") and got[1].removed[0]["start"] == 17 and got[3].n_removed == 0
+    assert ids(linededup.dedup(docs)) == ALL
+    twelve = linededup.dedup(docs).filter("doc_id = 12").agg(F.sum("n_removed")).first()[0]
+    assert twelve == 1  # the same words in other case and spacing
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(linededup.SQL).fetchall()
+    names = [d[0] for d in con.sql(linededup.SQL).description]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[n] for n in names)) for r in queries.op10_line_dedup(spark, SF).collect())
+
+
+def test_toxicity(spark, docs, none, real):
+    labels = common.table(spark, SF, "labels")
+    odd = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, 1, 1), (5, 1, None), (6, 0, 7)], "doc_id long, quality int, toxic int")
+    assert toxicity.classify(none, labels.limit(0)).count() == 0
+    out = toxicity.classify(docs, odd)
+    assert ids(out) == ALL and out.filter("score = 0 and predicted = 0").count() == docs.count()
+    mean = "idiot scum loser trash"
+    many = spark.createDataFrame([(i, f"some quite ordinary words number {i % 37} and {i % 11} " + (mean if i % 4 == 0 else "go here")) for i in range(900)], "doc_id long, text string")
+    truth = many.select("doc_id", F.lit(0).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    r = toxicity.classify(many, truth).join(truth, "doc_id").filter(common.crc_mod("doc_id", 3) == 1)
+    assert r.filter("predicted = toxic").count() > 0.97 * r.count() and r.filter("score < 0 or score > 1").count() == 0
+    model = toxicity.fit(many, truth)
+    assert toxicity.clean(many, model).count() < 700
+
+
+def test_languages(docs, none, spark):
+    assert langid.identify(none).count() == 0
+    out = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert ids(langid.identify(docs)) == ALL and out[2].lang_pred == out[3].lang_pred == out[10].lang_pred == "und" and out[10].score == 0
+    sf = "/root/testdata/sf0.01"
+    real = common.table(spark, sf, "documents").select("doc_id", "lang")
+    r = queries.op9_language_id(spark, sf).join(real, "doc_id").filter("held_out")
+    assert r.filter("lang = lang_pred").count() > 0.95 * r.count()
+
+
+def test_vectors(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(300, 16))
+    near = np.concatenate([base[:40] + r.normal(size=(40, 16)) * 0.05, base[:1] + r.normal(size=(60, 16)) * 0.08])
+    x = np.concatenate([base, near, base[:5]]).astype(np.float32)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0] * 7, 1), (904, [1.0] * 7, 1), (None, x[0].tolist(), 1), (905, [], 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    o = nndescent.Options(leaf=60, tile=32, k=6)
+    got = {r.vec_id: r for r in nndescent.link(df, o).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    for i in range(len(x)):
+        assert got[i].n_links == linked[i].sum() + linked[i, 0] + (i == 0), i  # the vector without an id is the first one's equal
+    assert (got[903].n_links, got[904].component_id, got[900].component_id, got[901].n_links, got[905].kept) == (1, 903, 900, 0, True)
+    edges = spark.createDataFrame([(i, j) for i in range(len(x)) for j in np.flatnonzero(linked[i]).tolist() if i < j], "a long, b long")
+    for r_ in graph.components(edges).collect():
+        assert got[r_.node].component_id == r_.label
+    assert nndescent.link(df.limit(0), o).count() == 0
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {(r.node, r.label) for r in graph.components(e).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert graph.components(e.limit(0)).count() == 0
+
+
+def test_pipeline(spark, real):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_dedup", "suffix_dedup", "packing"] and corpus_pipeline.ORACLE_SQL is None
+    docs, before = real, None
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, docs, SF))
+        if name != "packing":
+            assert out.columns == real.columns and out.count() <= docs.count()
+        before, docs = docs, out
+    assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_scratch_is_the_shared_folder():
+    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value if key == "spark.checkpoint.dir" else default))
+    assert common.scratch(session("hdfs:///shared")).startswith("hdfs:///shared/shoebox-") and os.path.isabs(common.scratch(session(None)))
