@@ -6,6 +6,7 @@ so no Python code runs per byte or per word.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: with long texts a batch of Spark's default 10,000 rows would be too large.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: Bytes of text that a kernel takes at once.
 CHUNK_BYTES = 4 << 20
 
@@ -34,11 +35,8 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "shoebox-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new path in the shared folder that spark.checkpoint.dir names; in a temporary one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "shoebox-checkpoints")
     return f"{root}/shoebox-{uuid.uuid4().hex}"
 
 
@@ -46,7 +44,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a step's rows to the shared folder and read them again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +54,12 @@ def drop_written(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does when the driver collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, named doc_id and text; null texts are empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -8,7 +8,7 @@ smallest hash, the leftmost of equals. Equal substrings have equal anchors at th
 share one, so a document falls to few runs of substrings. A first exchange of anchor hashes finds the anchors that
 occur more than once; only their runs, with the bytes they span, go on. A task sends equal runs once, with the earliest place, and
 marks the others itself, so a passage that a third of all documents hold meets its copies as one row per task. Runs of
-an anchor that occurs more than Options.hot times go on substring by substring, dealt by the hash of each. In
+an anchor that occurs more than Options.hot times (a list of bounded length) go on substring by substring, dealt by the hash of each. In
 each bucket the different runs of an anchor are a collection of documents whose transform and common prefixes are built column by column
 (suffixes.py); neighbours with a common prefix of at least Options.match bytes are equal substrings.
 
@@ -36,16 +36,18 @@ from .suffixes import columnwise
 @dataclass(frozen=True)
 class Options:
     match: int = 100
-    gram: int = 40
+    gram: int = 52
     hot: int = 5000
     #: Anchors, and bytes of runs, of a bucket.
-    anchors: int = 2_000_000
-    bucket: int = 12 << 20
+    anchors: int = 250_000
+    bucket: int = 4 << 20
     #: Bytes of runs whose suffixes are sorted together.
-    collection: int = 2 << 20
-    chunk: int = 8 << 20
+    collection: int = 1 << 20
+    chunk: int = 4 << 20
 
 
+#: Anchors that occur more than Options.hot times, at most; with more the bound rises.
+HOT_KEYS = 1_000_000
 LAST = np.iinfo(np.int64).max
 PLACE = np.uint64((1 << 31) - 1)
 
@@ -59,86 +61,117 @@ def _smallest(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (w - size)], key[w - size :]) if size < w else key
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of substrings that share an anchor: its hash, the text's number, the first substring's start in its text, how many more follow."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < o.match:
-        return none.view(np.uint64), none, none, none
+#: Bytes whose anchors are found at once.
+SLICE = 1 << 20
+
+
+def _anchored(raw: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Of each substring of raw: the place of its anchor, and of each gram its hash."""
     p = C.powers(len(raw) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.BYTE[raw] * p[:-1], dtype=np.uint64)))
     back = np.uint64(pow(int(C.BASE), -1, 1 << 64))
     inverse = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(raw) - o.gram, back, np.uint64))))
     gram = C.mix((total[o.gram :] - total[: -o.gram]) * inverse)
-    del total, inverse
     best = _smallest((gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64), o.match - o.gram + 1)
-    # substrings may not cross the end of their text
-    size = np.diff(at)
-    whole = size >= o.match
+    return (best & PLACE).astype(np.int64), gram
+
+
+def anchors(raw: np.ndarray, at: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of substrings that share an anchor: its hash, the text's number, the first substring's start in its text, how many more follow."""
+    n = max(len(raw) - o.match + 1, 0)  # substrings, those across texts included
+    valid = np.zeros(n + 1, np.int8)  # +1 where a text's substrings begin, -1 after them
+    whole = np.diff(at) >= o.match
     starts, stops = at[:-1][whole], at[1:][whole] - o.match + 1
-    valid = np.zeros(len(best) + 1, np.int8)
     np.add.at(valid, starts, 1)
     np.add.at(valid, stops, -1)
-    ok = np.cumsum(valid[:-1]).astype(bool)
-    change = np.concatenate(([True], best[1:] != best[:-1]))
-    change[starts] = True
-    lo = np.flatnonzero(ok & change)
-    if not len(lo):
-        return none.view(np.uint64), none, none, none
-    closes = ok & np.concatenate((change[1:] | ~ok[1:], [True]))
-    hi = np.flatnonzero(closes)
+    ok = np.cumsum(valid[:n], dtype=np.int8).astype(bool)
+    begins = np.zeros(n, bool)
+    begins[starts] = True
+    keys, los, his = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for base in range(0, n, SLICE):
+        end = min(base + SLICE, n)
+        place, gram = _anchored(raw[base : end + o.match - 1], o)
+        own = ok[base:end]
+        change = begins[base:end] | np.concatenate(([True], place[1:] != place[:-1]))
+        lo = np.flatnonzero(own & change)
+        his.append(np.flatnonzero(own & np.concatenate((change[1:] | ~own[1:], [True]))) + base)
+        los.append(lo + base)
+        keys.append(gram[place[lo]])
+    lo, hi = np.concatenate(los), np.concatenate(his)
     doc = np.searchsorted(at, lo, "right") - 1
-    return gram[(best[lo] & PLACE).astype(np.int64)], doc, lo - at[doc], hi - lo
+    return np.concatenate(keys), doc, lo - at[doc], hi - lo
+
+
+RUN = np.dtype([("key", "<u8"), ("lo", "<u4"), ("more", "<u4")])
+ASK = "bucket long, keys binary, counts binary, places binary, rows binary, row_key long, runs binary"
+RUNS = "row_key long, runs binary, hot binary"
+
+
+def _by_row(row: np.ndarray, key: np.ndarray, lo: np.ndarray, more: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Runs packed for each document."""
+    order = np.argsort(row, kind="stable")
+    row, out = row[order], np.zeros(len(row), RUN)
+    out["key"], out["lo"], out["more"] = key[order], lo[order], more[order]
+    cut = np.append(np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1]))), len(row)).tolist()
+    return row[cut[:-1]].tolist(), [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _ask_anchors(o: Options, edges: np.ndarray):
+    """Distinct anchors of a chunk with their counts; anchors that occur in it once with their places. Runs of the others are repeats for sure and are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches, limit=o.chunk, fill=True):
             key, doc, lo, more = anchors(*C.strings(t.column("text")), o)
             order = np.argsort(key, kind="stable")
             key, doc, lo, more = key[order], doc[order], lo[order], more[order]
             rows = t.column("row_key").to_numpy()
-            cut = np.append(np.searchsorted(key, edges), len(key))
-            out = []
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+            count = np.diff(np.append(first, len(key)))
+            every, many = key[first], np.repeat(count > 1, count)
+            known, packed = _by_row(rows[doc[many]], key[many], lo[many], more[many])
+            out = [(r % len(edges), None, None, None, None, r, x) for r, x in zip(known, packed, strict=True)]
+            at = first[count == 1]
+            cut, single = np.append(np.searchsorted(every, edges), len(every)), np.cumsum(count == 1)
             for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
-                    used, number = np.unique(doc[a:b], return_inverse=True)
-                    out.append((k, X.rising(key[a:b]), X.squeeze(np.stack((number, lo[a:b], more[a:b])).astype(np.uint32).ravel()), rows[used].tobytes()))
+                    own = at[single[a] - (count[a] == 1) : single[b - 1]]
+                    used, number = np.unique(doc[own], return_inverse=True)
+                    out.append((k, X.rising(every[a:b]), X.squeeze(count[a:b].astype(np.uint32)), X.squeeze(np.stack((number, lo[own], more[own])).astype(np.uint32).ravel()), rows[used].tobytes(), 0, None))
             if out:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "places", "rows"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ASK.split(", ")])
 
     return run
 
 
-RUN = np.dtype([("key", "<u8"), ("lo", "<u4"), ("more", "<u2"), ("hot", "<u2")])
-
-
-def _repeated(o: Options):
-    """The runs of anchors that occur more than once, packed for each document."""
+def _repeated(hot: int):
+    """The runs of anchors that occur more than once, packed for each document, and the anchors that occur more than hot times."""
 
     def run(requests: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([X.unrising(k) for k in requests["keys"]])
-        places, rows, base = [], [], 0
-        for p, r in zip(requests["places"], requests["rows"], strict=True):
-            x = X.unsqueeze(p, np.uint32).reshape(3, -1).astype(np.int64)
-            own = np.frombuffer(r, np.int64)
-            x[0] += base
-            base += len(own)
-            places.append(x)
-            rows.append(own)
-        doc, lo, more = np.concatenate(places, 1)
-        rows = np.concatenate(rows)
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
-        times = np.diff(np.append(first, len(keys)))
-        count = np.empty(len(keys), np.int64)
-        count[order] = np.repeat(times, times)
-        take = np.flatnonzero(count > 1)
-        take = take[np.argsort(rows[doc[take]], kind="stable")]
-        out = np.zeros(len(take), RUN)
-        out["key"], out["lo"], out["more"], out["hot"] = keys[take], lo[take], more[take], count[take] > o.hot
-        row = rows[doc[take]]
-        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), np.diff(row) != 0)))
-        return pd.DataFrame({"row_key": row[cut], "runs": [x.tobytes() for x in np.split(out, cut[1:])] if len(cut) else []})
+        known = requests["runs"].notna()
+        passed, asked = requests[known], requests[~known]
+        row, runs = passed["row_key"].astype("int64").tolist(), passed["runs"].tolist()
+        frequent = np.zeros(0, np.uint64)
+        if len(asked):
+            keys = [X.unrising(k) for k in asked["keys"]]
+            counts = [X.unsqueeze(c, np.uint32) for c in asked["counts"]]
+            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
+            frequent = every[total > hot]
+            at = 0
+            for key, count, places, rows in zip(keys, counts, asked["places"], asked["rows"], strict=True):
+                here = total[inverse[at : at + len(key)]]
+                at += len(key)
+                single = count == 1
+                number, lo, more = X.unsqueeze(places, np.uint32).reshape(3, -1)
+                take = here[single] > 1
+                r, x = _by_row(np.frombuffer(rows, np.int64)[number[take]], key[single][take], lo[take], more[take])
+                row += r
+                runs += x
+        out = pd.DataFrame({"row_key": pd.array(row, "Int64"), "runs": runs, "hot": [None] * len(row)})
+        if len(frequent):
+            out = pd.concat((out, pd.DataFrame({"row_key": pd.array([None], "Int64"), "runs": [None], "hot": [frequent.tobytes()]})))
+        return out
 
     return run
 
@@ -167,17 +200,19 @@ def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return row[at][cut], [x.tobytes() for x in np.split(pairs, cut[1:])]
 
 
-def _runs(o: Options, edges: np.ndarray):
+def _runs(o: Options, edges: np.ndarray, frequent):
     """Cut the runs out of the texts; of equal ones send the earliest and mark the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = set(frequent.value.tolist())
         for t in C.chunks(batches, limit=o.chunk // 2, fill=True):
             first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             gone: list[tuple[int, int, int]] = []
             for doc, row, text, parts in zip(t.column("doc_id").to_pylist(), t.column("row_key").to_pylist(), t.column("text").to_pylist(), t.column("runs").to_pylist(), strict=True):
                 raw, doc = text.encode(), LAST if doc is None else doc
                 for part in parts:
-                    for key, lo, more, hot in np.frombuffer(part, RUN).tolist():
+                    for key, lo, more in np.frombuffer(part, RUN).tolist():
+                        hot = key in split
                         for a, b in ((k, k + o.match) for k in range(lo, lo + more + 1)) if hot else ((lo, lo + more + o.match),):
                             own, rank = (0 if hot else key, raw[a:b]), (doc, row, a)
                             held = first.setdefault(own, rank)
@@ -251,8 +286,8 @@ def _marked(o: Options):
         gone.append(np.array(own, np.int64).reshape(-1, 3))
         texts, ranks, held = [], [], 0
         for group in groups.values():
-            # one run alone can still hold a substring twice, but only if it has two
-            if len(group) > 1 or len(next(iter(group))) > o.match:
+            # one run alone repeats nothing: in equal substrings the anchor stands at the same place
+            if len(group) > 1:
                 texts += group
                 ranks += group.values()
                 held += sum(map(len, group))
@@ -296,16 +331,32 @@ def _apply(digest: bool):
 
 def spans(rows: DataFrame, o: Options) -> DataFrame:
     """row_key and packed spans to remove; rows: doc_id, text, row_key."""
+    spark = rows.sparkSession
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    density = 2 / (o.match - o.gram + 2)
-    edges = X.bucket_edges(int(size * density // o.anchors) + 1)
-    asked = rows.select("row_key", "text").mapInArrow(_ask_anchors(o, edges), "bucket long, keys binary, places binary, rows binary")
-    runs = C.written(asked.groupBy("bucket").applyInPandas(_repeated(o), "row_key long, runs binary"))
+    count = int(size * 2 / (o.match - o.gram + 2))
+    edges = X.bucket_edges(count // o.anchors + 1)
+    asked = rows.select("row_key", "text").mapInArrow(_ask_anchors(o, edges), ASK)
+    # no more than HOT_KEYS anchors can occur that often, so they may be sent to all tasks
+    hot = max(o.hot, 2 * count // HOT_KEYS)
+    paths = [C.scratch(spark) for _ in range(2)]
+    runs = C.written(asked.groupBy("bucket").applyInPandas(_repeated(hot), RUNS), paths[0])
+    del asked
+    C.release(spark)
+    frequent = C.shared(spark, np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["hot"], np.uint64) for r in runs.filter("hot is not null").select("hot").collect())]))
+    runs = runs.filter("row_key is not null").select("row_key", "runs")
     found = runs.agg(F.coalesce(F.sum(F.octet_length("runs")), F.lit(0)).alias("n")).first()["n"] // RUN.itemsize
-    parts = X.bucket_edges(int(found * (o.match + 30) // o.bucket) + 1)
-    cut = C.written(rows.join(runs.groupBy("row_key").agg(F.collect_list("runs").alias("runs")), "row_key").select("doc_id", "row_key", "text", "runs").mapInArrow(_runs(o, parts), SPANS_SQL))
+    parts = X.bucket_edges(int(found * (o.match + 20) // o.bucket) + 1)
+    of_row = runs.groupBy("row_key").agg(F.collect_list("runs").alias("runs"))
+    cut = C.written(rows.join(of_row, "row_key").select("doc_id", "row_key", "text", "runs").mapInArrow(_runs(o, parts, frequent), SPANS_SQL), paths[1])
+    del runs, of_row
+    C.drop_written(spark, paths[0])
+    C.release(spark)
     met = cut.filter("bucket is not null").select("bucket", "keys", "ranks", "texts").groupBy("bucket").applyInPandas(_marked(o), "row_key long, spans binary")
-    return cut.filter("spans is not null").select("row_key", "spans").unionByName(met)
+    out = C.written(cut.filter("spans is not null").select("row_key", "spans").unionByName(met))
+    del cut, met
+    C.drop_written(spark, paths[1])
+    C.release(spark)
+    return out
 
 
 def dedup(docs: DataFrame, o: Options = Options(), digest: bool = False) -> DataFrame:
@@ -314,3 +365,33 @@ def dedup(docs: DataFrame, o: Options = Options(), digest: bool = False) -> Data
     rows = C.texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     gone = spans(rows, o).groupBy("row_key").agg(F.collect_list("spans").alias("spans"))
     return rows.join(gone, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_apply(digest), DIGEST if digest else RESULT)
+
+
+#: Names of columns beside those of a table of any columns.
+KEY, GONE = "__row_key", "__gone"
+
+
+def cleaned(docs: DataFrame, o: Options = Options()) -> DataFrame:
+    """docs with the repeats cut out of their texts (a character cut in two goes whole) and n_chars, if there, counted anew."""
+    C.tune(docs.sparkSession)
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    gone = spans(C.texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")), o).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list("spans").alias(GONE))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.chunks(batches):
+            out = []
+            for text, parts in zip(t.column("text").to_pylist(), t.column(GONE).to_pylist(), strict=True):
+                if parts:
+                    x = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+                    cut = np.frombuffer(merged(np.zeros(len(x), np.int64), x[:, 0], x[:, 1])[1][0], np.int64)
+                    raw = text.encode()
+                    edges = [0, *cut.tolist(), len(raw)]
+                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
+                out.append(text)
+            new = {"text": pa.array(out, t.schema.field("text").type)}
+            if "n_chars" in schema.names:
+                new["n_chars"] = pa.array([None if x is None else len(x) for x in out], t.schema.field("n_chars").type)
+            yield from pa.Table.from_arrays([new.get(c, t.column(c)) for c in schema.names], names=schema.names).to_batches()
+
+    return docs.join(gone, own == F.col(KEY), "left").select(*(docs[c] for c in schema.names), GONE).mapInArrow(run, schema)

@@ -4,7 +4,8 @@ Every round inserts one symbol of each document: the symbol before the suffix th
 transform holds one symbol for each suffix in sorted order; where the new suffixes belong follows from the transform
 itself (the last-to-first mapping), and their common prefixes with their neighbours from the minimum of the common
 prefixes between the two places they came from. Both arrays are files, read from front to back and written anew in each
-round; between rounds only one place per document stays in memory.
+round; between rounds only one place per document stays in memory. Collections of at most IN_MEMORY bytes keep the two
+arrays in memory instead.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ import tempfile
 
 import numpy as np
 
+IN_MEMORY = 4 << 20
+#: Stands in the transform where no symbol is known yet. UTF-8 has no such byte.
+OPEN = 255
+
 
 def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Minimum of the bytes values[lo:hi] for each pair, 255 for none, through levels of pairwise minima."""
@@ -33,66 +38,72 @@ def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-def _mapping(symbols: np.ndarray, filled: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places with known symbols in the order of the suffixes they lead to, and for each place the suffix it leads to."""
-    known = np.flatnonzero(filled)
-    order = known[np.argsort(symbols[known], kind="stable")]
-    to = np.full(len(symbols), -1, np.int64)
-    to[order] = documents + np.arange(len(order))
-    return order, to
+class _Column:
+    """The bytes of an array between two rounds."""
+
+    def __init__(self, path: str | None):
+        self.path, self.held = path, b""
+
+    def write(self, a: np.ndarray) -> None:
+        if self.path:
+            a.tofile(self.path)
+        else:
+            self.held = a.copy()
+
+    def read(self) -> np.ndarray:
+        return np.fromfile(self.path, np.uint8) if self.path else self.held
 
 
 def columnwise(documents: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document and length of every suffix in sorted order, and its common prefix with the one before, at most `most` (< 255).
 
-    The empty suffixes come first; equal suffixes stand in the order of the documents.
+    The empty suffixes come first; equal suffixes stand in the order of the documents. Documents have no byte 255.
     """
     n = len(documents)
     size = np.array([len(d) for d in documents], np.int64)
     flat, ends = np.frombuffer(b"".join(documents), np.uint8), np.cumsum(size)
     with tempfile.TemporaryDirectory() as folder:
-        files = [os.path.join(folder, name) for name in ("transform", "prefixes", "filled")]
-
-        def read() -> list[np.ndarray]:
-            return [np.fromfile(f, np.uint8) for f in files]
-
-        def write(*arrays: np.ndarray) -> None:
-            for f, a in zip(files, arrays, strict=True):
-                a.tofile(f)
-
-        write(*(np.zeros(n, np.uint8) for _ in files))
+        files = [_Column(os.path.join(folder, name) if len(flat) > IN_MEMORY else None) for name in ("transform", "prefixes")]
+        files[0].write(np.full(n, OPEN, np.uint8))
+        files[1].write(np.zeros(n, np.uint8))
         at = np.arange(n)  # where each document's last suffix stands
         live = np.flatnonzero(size > 0)
         depth = 0
         while len(live):
-            transform, prefixes, filled = read()
-            transform[at[live]] = flat[ends[live] - 1 - depth]
-            filled[at[live]] = 1
-            order, to = _mapping(transform, filled, n)
-            target = to[at[live]]
+            transform, prefixes = (f.read() for f in files)
+            own = at[live]
+            transform[own] = flat[ends[live] - 1 - depth]
+            order = np.argsort(transform, kind="stable")
+            count = len(transform) - (n - len(live))  # documents that have ended keep an open place
+            to = np.empty(len(transform), np.int64)
+            to[order] = np.arange(len(order))
+            own = to[own]
             # prefixes of the new suffixes and of those right after them
-            ask = target - n
-            ask = np.unique(np.concatenate((ask, ask[ask + 1 < len(order)] + 1)))
+            marked = np.zeros(count + 1, bool)
+            marked[own] = marked[own + 1] = True
+            ask = np.flatnonzero(marked[:count])
             before, here = order[np.maximum(ask - 1, 0)], order[ask]
-            same = np.flatnonzero((ask > 0) & (transform[before] == transform[here]))
+            same = np.flatnonzero((transform[before] == transform[here]) & (ask > 0))
             value = np.zeros(len(ask), np.uint8)
             value[same] = np.minimum(range_minimum(prefixes, before[same] + 1, here[same] + 1), most - 1) + 1
             # the files anew, with the new suffixes in their places
             old = np.ones(len(transform) + len(live), bool)
-            old[target] = False
-            wider = np.zeros((3, len(old)), np.uint8)
-            for row, a in zip(wider, (transform, prefixes, filled), strict=True):
-                row[old] = a
-            wider[1, n + ask] = value
-            write(*wider)
-            at += np.searchsorted(np.sort(target) - np.arange(len(target)), at, "right")
-            at[live] = target
+            old[n + own] = False
+            moved = np.flatnonzero(old)
+            wider = np.full(len(old), OPEN, np.uint8)
+            wider[moved] = transform
+            files[0].write(wider)
+            wider[moved] = prefixes
+            wider[n + ask] = value
+            files[1].write(wider)
+            at = moved[at]
+            at[live] = n + own
             depth += 1
             live = live[size[live] > depth]
-        transform, prefixes, filled = read()
+        transform, prefixes = (f.read() for f in files)
     # follow every document from its empty suffix to the whole of it
-    owner, length = np.zeros(len(transform), np.int64), np.zeros(len(transform), np.int64)
-    _, to = _mapping(transform, filled, n)
+    owner, length, to = (np.empty(len(transform), np.int64) for _ in range(3))
+    to[np.argsort(transform, kind="stable")] = n + np.arange(len(transform))
     at, live = np.arange(n), np.arange(n)
     depth = 0
     while len(live):
