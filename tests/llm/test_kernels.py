@@ -21,7 +21,9 @@ def naive_distance(a, b):
     return p[-1]
 
 
-def test_aligned():
+@pytest.mark.parametrize("narrow", (0, 12))
+def test_aligned(monkeypatch, narrow):
+    monkeypatch.setattr(omh, "NARROW", narrow)
     r = random.Random(2)
     for _ in range(1500):
         a, b = (np.array([r.randrange(4) for _ in range(r.randrange(10))], np.uint32) for _ in range(2))
