@@ -7,6 +7,8 @@ in grouped-map functions, on rows in the order of seq; everything else is window
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -187,22 +189,33 @@ def phash_clusters(bucketed: DataFrame, distance: int, bucket: str = "bucket") -
     return by_groups(bucketed.filter("phash is not null"), [bucket], run, schema)
 
 
-def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash", words: int = 8) -> DataFrame:
-    """Pairs a < b of fingerprints within the distance, each once, through bands of bits.
+def _banding(distance: int, most: int = 1000) -> tuple[int, int, list[int]]:
+    """Bands of 64 bits, their width, and the changes that a band's value is looked up with: the choice that meets the fewest values.
 
-    Fingerprints within d differ in at most d of the d + 1 bands of 64 bits, so a pair agrees in one band; beyond the width at which bands say little
-    (`words` bands or fewer bits than that) a smaller distance within the best of fewer bands is asked for.
+    Fingerprints within the distance differ in at most distance // bands bits of some band, so one of these changes makes its values equal.
     """
-    bands = min(max(distance + 1, 2), 16)
-    width = 64 // bands
+    best = None
+    for bands in range(1, 17):
+        width, slack = 64 // bands, distance // bands
+        flips = sum(comb(width, i) for i in range(slack + 1))
+        cost = bands * flips * (1 + 1e6 / 2**width)
+        if flips <= most and (best is None or cost < best[0]):
+            best = cost, bands, width, slack
+    if best is None:
+        raise ValueError("no bands of 64 bits tell fingerprints at that distance apart")
+    _, bands, width, slack = best
+    return bands, width, [sum(1 << k for k in ks) for i in range(slack + 1) for ks in combinations(range(width), i)]
+
+
+def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash") -> DataFrame:
+    """Pairs a < b of 64-bit fingerprints within the distance, each once, through an equi-join of bands of bits."""
+    bands, width, flips = _banding(distance)
     base = prints.select(F.col(key).alias("k"), F.col(phash).alias("p")).filter("p is not null")
-    slack = distance // bands  # by the pigeonhole, some band differs in at most so many bits
-    flips = [0] + [1 << i for i in range(width)] * (slack >= 1) + [1 << i | 1 << j for i in range(width) for j in range(i)] * (slack >= 2)
-    if slack > 2:
-        raise ValueError("the distance is too large for bands of 64 bits")
-    band = lambda i: F.shiftrightunsigned("p", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+    band = lambda i: F.shiftrightunsigned("p", i * width).bitwiseAND(mask)
     left = base.select("k", "p", F.posexplode(F.array(*(band(i) for i in range(bands)))).alias("band", "v"))
-    right = left.select(F.col("k").alias("k2"), F.col("p").alias("p2"), "band", F.explode(F.array(*(F.col("v").bitwiseXOR(F.lit(f).cast("long")) for f in flips))).alias("v"))
+    changed = F.transform(F.lit(flips).cast("array<bigint>"), lambda f: F.col("v").bitwiseXOR(f))
+    right = left.select(F.col("k").alias("k2"), F.col("p").alias("p2"), "band", F.explode(changed).alias("v"))
     d = F.bit_count(F.col("p").bitwiseXOR(F.col("p2")))
     return left.join(right, ["band", "v"]).filter((F.col("k") < F.col("k2")) & (d <= distance)).select(F.col("k").alias("a"), F.col("k2").alias("b"), d.cast("int").alias("distance")).distinct()
 

@@ -233,3 +233,13 @@ def prepared(m: Marks, model: str | None, version: str | None) -> tuple[Marks, b
     if model is not None and model != FACE_MODEL:
         m = Marks(*(df.limit(0) for df in (m.faces, m.labels, m.appearances, m.people)))
     return m, version != CLUSTER_VERSION
+
+
+def recognized(items: DataFrame, known: DataFrame, threshold: float = SAME_PERSON) -> tuple[DataFrame, DataFrame]:
+    """Faces (path, ord, embedding, person_id) and labels (path, label) from a recogniser's items: the main subjects of each photo, each with
+    the nearest known person, 0 for nobody. Who is new is found by the next rebuild."""
+    found = items.select("path", F.posexplode("faces").alias("ord", "f")).select("path", F.col("ord").cast("bigint").alias("ord"), F.col("f.embedding").alias("embedding"), F.col("f.area").alias("area"))
+    main = main_subjects(found, threshold).withColumn("id", F.xxhash64("path", "ord"))
+    near = nearest(main.select("id", "embedding"), known.filter("exemplar is not null").select("id", F.col("exemplar").alias("embedding")), threshold)
+    faces = main.join(near.select(F.col("face_id").alias("id"), "person_id"), "id").select("path", "ord", "embedding", F.coalesce("person_id", F.lit(0)).alias("person_id"))
+    return faces, recognized_labels(items)

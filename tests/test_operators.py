@@ -234,3 +234,11 @@ def test_back_views_match_a_naive_model(spark):
 def test_recognised_labels(spark):
     items = spark.createDataFrame([("a", [([1.0], 2.0)], ["landscape"]), ("b", [], ["landscape", "odd"])], "path string, faces array<struct<embedding: array<float>, area: double>>, labels array<string>")
     assert {tuple(r) for r in people.recognized_labels(items).collect()} == {("a", "person"), ("b", "landscape")}
+
+
+def test_recognised_faces(spark):
+    items = spark.createDataFrame([("a", [([1.0, 0.0], 9.0), ([0.9, 0.1], 5.0), ([0.0, 1.0], 4.0)], ["person"])], "path string, faces array<struct<embedding: array<float>, area: double>>, labels array<string>")
+    faces, labels = people.recognized(items, marks(spark).people.filter("id = 1"))
+    assert sorted((r.ord, r.person_id) for r in faces.collect()) == [(0, 1), (2, 0)] and labels.count() == 1
+    loose = faces.withColumn("id", F.col("ord"))
+    assert sorted(r.person_id for r in people.attach_loose(loose, marks(spark).people.filter("id = 2")).collect()) == [1, 2]
