@@ -11,21 +11,21 @@ from . import common as C
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node in edges (a, b); the label is the smallest node that can be reached.
 
-    Each round every node takes the smallest label of itself and its neighbours and then the label of that label, so
-    labels travel distances that double. Minima are partial aggregates; labels are written after every round.
+    Each round every node takes the smallest label of itself and of its neighbours whose label has changed, and then the label of that label,
+    so labels travel distances that double. Minima are partial aggregates; labels are written after every round.
     """
     spark = edges.sparkSession
     both = C.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     path = C.scratch(spark)
-    labels = C.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), path)
+    labels = C.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label", (F.col("label") != F.col("a")).alias("moved")), path)
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        best = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", "near").alias("best"))
+        near = both.join(labels.filter("moved").select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        best = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("best"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("its"))
         new_path = C.scratch(spark)
         step = C.written(best.join(jump, best.best == jump["at"], "left").select("node", F.least("best", "its").alias("label"), (F.least("best", "its") != F.col("label")).alias("moved")), new_path)
         moved = step.filter("moved").limit(1).count()
         C.drop_written(spark, path)
-        labels, path = step.select("node", "label"), new_path
+        labels, path = step, new_path
         if not moved:
-            return labels
+            return labels.select("node", "label")
