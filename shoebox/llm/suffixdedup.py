@@ -40,7 +40,7 @@ class Options:
     hot: int = 5000
     #: Anchors, and bytes of runs, of a bucket.
     anchors: int = 250_000
-    bucket: int = 4 << 20
+    bucket: int = 6 << 20
     #: Bytes of runs whose suffixes are sorted together.
     collection: int = 1 << 20
     chunk: int = 4 << 20
