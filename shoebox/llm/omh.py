@@ -7,8 +7,9 @@ within the band that the threshold allows decides.
 
 Equal texts count once. In a bucket of texts with equal sketches each text is compared with one centre, never with all
 others: all that are similar to the centre are linked to it. Of those that are not, one for each class that has shown so far goes to
-a next round with more centres, until no bucket has two such texts. Nothing is capped, and a large group of near copies takes about one comparison for each text. Links are
-closed to classes by connected components.
+a next round with more centres, until no bucket has two such texts. Similarity is not transitive, so this leaves pairs of a bucket untested: then all texts of a bucket
+that no chain of links joins yet are compared, with a growing part of each other class, until a link is found or the whole class is tested. Nothing is capped, and a large group
+of near copies takes about one comparison for each text. Links are closed to classes by connected components.
 
 Cases: null and empty texts are equal texts of one class; texts of fewer words than a k-mer are one k-mer; texts without
 any word have only equal texts; rows with the same id and text are one document; null ids rank last in their class; an empty table gives an empty one.
@@ -217,6 +218,49 @@ def _verify(o: Options):
     return run
 
 
+def _tested(pairs: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
+    """a, b, ok of each pair: whether the two texts are similar."""
+    used = C.written(pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct())
+    words = C.written(rows.join(used, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(_tokens, "node long, words binary"))
+    left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
+    right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
+    return C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean"))
+
+
+#: Members of a class that a text of another class in the bucket meets in the first round, and those of a bucket that one task pairs.
+PART, DEALT = 16, 2048
+
+
+def _closed(every: DataFrame, tested: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
+    """Tested pairs, until texts of a bucket are in one class or have been compared; every: band, key, node, rank, n_words of all crowded buckets.
+
+    Texts of a bucket's largest class need not meet each other, so the others meet all: about one comparison for each text outside that class and member of another.
+    """
+    part = PART
+    while True:
+        label = components(tested.filter("ok").select("a", "b"))
+        own = every.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        size = C.written(own.groupBy("band", "key", "label").agg(F.count("*").alias("size")))
+        top = size.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+        top = C.written(top.select("band", "key", F.col("top.label").alias("top"), F.col("top.size").alias("most"), F.ceil(F.col("n") / DEALT).cast("int").alias("deals")))
+        most = top.agg(F.max("most")).first()[0]
+        if most is None:
+            return tested
+        own = C.written(own.join(top.drop("most"), ["band", "key"]))
+        left = own.filter("label != top").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+        right = own.join(size, ["band", "key", "label"]).filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part)) == 0)
+        right = right.select("band", "key", F.col("node").alias("node2"), F.col("rank").alias("rank2"), F.col("n_words").alias("words2"), F.col("label").alias("label2"), F.pmod(F.xxhash64("node", "band"), F.col("deals")).cast("int").alias("deal"))
+        close = F.least("n_words", "words2") >= o.threshold * F.greatest("n_words", "words2") - 1e-6
+        met = left.join(right, ["band", "key", "deal"]).filter((F.col("label") != F.col("label2")) & close)
+        later = F.expr("struct(rank, node) > struct(rank2, node2)")
+        pairs = met.select(F.when(later, F.col("node")).otherwise(F.col("node2")).alias("a"), F.when(later, F.col("node2")).otherwise(F.col("node")).alias("b")).distinct()
+        new = _tested(C.written(pairs.join(tested, ["a", "b"], "left_anti")), rows, o)
+        tested = tested.unionByName(new)
+        if most <= part:
+            return tested
+        part *= 16
+
+
 def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
     """Verified links (a, b); nodes: node, rank, n_words, keys; rows: row_key, text."""
     members = nodes.filter("n_words > 0").select("node", "rank", "n_words", F.posexplode(_bands("keys", o)).alias("band", "key"))
@@ -224,17 +268,13 @@ def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
     crowd = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
     centre = C.written(crowd.select("band", "key", "c.*").toDF("band", "key", "c_rank", "centre", "c_words"))
     members, tested, centres = C.written(members.join(centre.select("band", "key"), ["band", "key"])), None, 1
-    labels = None
+    every, labels = members, None
     while True:
         close = F.least("n_words", "c_words") >= o.threshold * F.greatest("n_words", "c_words") - 1e-6
         met = C.written(members.join(centre, ["band", "key"]).filter(F.expr("struct(rank, node) > struct(c_rank, centre)") & close))
         near = met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
         pairs = C.written(near if tested is None else near.join(tested, ["a", "b"], "left_anti"))
-        used = C.written(pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct())
-        words = C.written(rows.join(used, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(_tokens, "node long, words binary"))
-        left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
-        right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
-        new = C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean"))
+        new = _tested(pairs, rows, o)
         tested = new if tested is None else tested.unionByName(new)
         # those that are similar to no centre of their bucket, centres apart
         joined = C.written(met.join(tested.filter("ok").select(F.col("a").alias("node"), F.col("b").alias("centre")), ["node", "centre"]).select("band", "key", "node", "c_rank", "centre"))
@@ -250,7 +290,7 @@ def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
         far = C.written(far.groupBy("band", "key", "label").agg(F.min(F.struct("rank", "node", "n_words")).alias("m")).select("band", "key", "m.*"))
         crowd = C.written(far.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key"))
         if not crowd.limit(1).count():
-            return tested.filter("ok").select("a", "b")
+            return _closed(every, tested, rows, o).filter("ok").select("a", "b")
         members, centres = C.written(far.join(crowd, ["band", "key"])), centres * 16
         first = F.row_number().over(Window.partitionBy("band", "key").orderBy("rank", "node"))
         centre = C.written(members.withColumn("first", first).filter(F.col("first") <= centres).select("band", "key", F.col("rank").alias("c_rank"), F.col("node").alias("centre"), F.col("n_words").alias("c_words")))

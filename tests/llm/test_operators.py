@@ -141,6 +141,25 @@ def test_omh(docs, none, real):
     assert kept.columns == docs.columns and kept.filter("doc_id in (5, 6, 7)").count() == 1
 
 
+@pytest.mark.parametrize("part, dealt", [(omh.PART, omh.DEALT), (1, 2)])
+def test_omh_links_that_are_not_transitive(spark, monkeypatch, part, dealt):
+    """Texts of one bucket, each 12 edits further from the first: only neighbours in the chain are similar."""
+    monkeypatch.setattr(omh, "PART", part)
+    monkeypatch.setattr(omh, "DEALT", dealt)
+    word = lambda *n: "".join("abcdefghij"[int(d)] for d in "".join(f"{x:02}" for x in n))
+    texts = []
+    for chain in range(3):
+        words = [word(chain, 99, i) for i in range(100)]
+        for step in range(6):
+            texts.append(" ".join(words))
+            words[step * 12 : step * 12 + 12] = [word(chain, step, i) for i in range(12)]
+    order = [0, 1, 2, 6, 12, 8, 7, 13, 9, 3, 4, 5, 10, 11, 14, 17, 16, 15]  # ranks
+    nodes = [(i, order.index(i), 100, [7, 7] + [1000 * i + k for k in range(30)]) for i in range(len(texts))]
+    nodes, texts = spark.createDataFrame(nodes, "node long, rank long, n_words long, keys array<long>"), spark.createDataFrame(list(enumerate(texts)), "row_key long, text string")
+    links = common.written(omh._links(nodes, texts, omh.Options()))
+    assert {(r.node, r.label) for r in graph.components(links).collect()} == {(i, i // 6 * 6) for i in range(18)}
+
+
 def test_suffix_dedup(docs, none, real):
     assert suffixdedup.dedup(none).count() == 0 and ids(suffixdedup.dedup(docs)) == ALL
     row = suffixdedup.dedup(docs).filter("doc_id = 9").first()
