@@ -7,7 +7,8 @@ needs once. A list that is full of links is saturated and gets twice the room in
 
 The links at the threshold close to components. What a list of bounded room could not hold is then made whole: within each component the
 links of every vector are counted against all members, in tiles of bounded size and without emitting the pairs. An audit compares a sample of
-vectors with all others and counts the links found; under Options.recall another attempt follows with more cells and longer lists.
+vectors with all others and takes the mean share of their links that were found, each linked vector counting once; under Options.recall, or with too few linked vectors
+in the sample, another attempt follows with more cells and longer lists. If recall is low after the last attempt, all vectors are compared in blocks.
 
 Equal vectors are one node and are expanded only in the counts. Similarities are in double precision.
 
@@ -44,8 +45,9 @@ class Options:
     #: A round that changes a smaller share of the lists is the last.
     settled: float = 0.002
     tile: int = 512
-    #: Vectors of the audit, recall to reach, attempts at most.
+    #: Vectors of the audit, at most in 16-fold for as many linked ones; recall to reach, attempts before all vectors are compared.
     audited: int = 128
+    linked: int = 32
     recall: float = 0.99
     attempts: int = 3
 
@@ -108,14 +110,14 @@ def _start(o: Options, kind: str, room: int):
 GRAPH = "node long, ids binary, sims binary, fresh binary, room int, changed int"
 
 
-def _merge(o: Options):
+def _merge(o: Options, start: int):
     """Of each node: its list so far (fresh is not null) and what it has met since."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for node, parts, room in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                room = room or o.k
+                room = room or start
                 ids = np.concatenate([np.frombuffer(p["ids"], np.int64) for p in parts])
                 sims = np.concatenate([np.frombuffer(p["sims"], np.float64) for p in parts])
                 before = [np.frombuffer(p["ids"], np.int64) for p in parts if p["fresh"] is not None]
@@ -124,7 +126,7 @@ def _merge(o: Options):
                 ids, sims = _best(ids[other], sims[other], room)
                 fresh = ~np.isin(ids, old)
                 full = len(ids) == room and len(ids) and sims[-1] >= o.threshold
-                grown = room * 2 if full and room < o.k << o.doublings else room
+                grown = room * 2 if full and room < start << o.doublings else room
                 out.append((node, ids.tobytes(), sims.tobytes(), fresh.tobytes(), grown, int(fresh.sum())))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], [x.split()[0] for x in GRAPH.split(", ")])
@@ -187,11 +189,11 @@ def _meet(o: Options, kind: str):
     return run
 
 
-def _gather(lists: DataFrame, old: DataFrame | None, o: Options) -> DataFrame:
+def _gather(lists: DataFrame, old: DataFrame | None, o: Options, room: int) -> DataFrame:
     part = lists.select("node", F.struct("ids", "sims", F.lit(None).cast("binary").alias("fresh")).alias("part"), F.lit(0).alias("room"))
     if old is not None:
         part = part.unionByName(old.select("node", F.struct("ids", "sims", "fresh").alias("part"), "room"))
-    return C.written(part.groupBy("node").agg(F.collect_list("part").alias("parts"), F.max("room").alias("room")).mapInArrow(_merge(o), GRAPH))
+    return C.written(part.groupBy("node").agg(F.collect_list("part").alias("parts"), F.max("room").alias("room")).mapInArrow(_merge(o, room), GRAPH))
 
 
 def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> DataFrame:
@@ -205,7 +207,7 @@ def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> DataFrame
     dealt = C.written(cells.join(size, ["tree", "cell", "dim"]).select("node", "tree", F.xxhash64("tree", "cell", "dim", chunk).alias("chunk")))
     lists = C.written(dealt.join(nodes.select("node", "vec"), "node").select("chunk", "node", "vec").groupBy("chunk").applyInPandas(_start(o, kind, room), LIST))
     stars = lists.filter("star != node").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct()
-    graph = _gather(lists, None, o)
+    graph = _gather(lists, None, o, room)
     block = C.written(dealt.filter("tree = 0").select("node", F.col("chunk").alias("block")).dropDuplicates(["node"]))
     for _ in range(o.rounds):
         flat = C.written(graph.select("node", "ids", "sims", "fresh").mapInArrow(_unfold, "node long, other long, fresh boolean, sim double"))
@@ -219,7 +221,7 @@ def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> DataFrame
         state = C.written(graph.select("node", "room", "ids", "sims").mapInArrow(_worst, "node long, room int, worst double").join(nodes.select("node", "vec"), "node"))
         vectors = need.join(state, "node")
         met = edges.groupBy("block").cogroup(vectors.groupBy("at")).applyInPandas(_meet(o, kind), LIST)
-        graph = _gather(C.written(met), graph, o)
+        graph = _gather(C.written(met), graph, o, room)
         changed = graph.agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("n")).first()["n"]
         if changed < o.settled * n * room:
             break
@@ -267,11 +269,22 @@ def _whole(nodes: DataFrame, label: DataFrame, kind: str, o: Options) -> DataFra
     return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("key").applyInPandas(_counted(o, kind), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, kind: str, o: Options) -> float:
-    """Share of the links of a bounded sample of nodes that were found; the sample meets all nodes in blocks."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(o.audited).select("node", "vec", "dim").toArrow().to_pylist()
+def audit(nodes: DataFrame, links: DataFrame, kind: str, o: Options) -> tuple[float, bool]:
+    """Mean share of the links found over the linked nodes of a sample, and whether it holds enough of them (or all nodes)."""
+    size = o.audited
+    while True:
+        shares, n = _shares(nodes, links, kind, o, size)
+        enough = len(shares) >= o.linked or n < size
+        if enough or size >= 16 * o.audited:
+            return (sum(shares) / len(shares) if shares else 1.0), enough
+        size = 16 * o.audited
+
+
+def _shares(nodes: DataFrame, links: DataFrame, kind: str, o: Options, size: int) -> tuple[list[float], int]:
+    """Share of the links found of each linked node in a sample, and the sample's size; the sample meets all nodes in blocks."""
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(size).select("node", "vec", "dim").toArrow().to_pylist()
     if not sample:
-        return 1.0
+        return [], 0
     sent = C.shared(nodes.sparkSession, sample)
     threshold = o.threshold
 
@@ -297,8 +310,48 @@ def audit(nodes: DataFrame, links: DataFrame, kind: str, o: Options) -> float:
         for r in f.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect():
             truth[r["node"]] = truth.get(r["node"], 0) + r["links"]
     found = {r["node"]: r["links"] for r in links.filter(F.col("node").isin([s["node"] for s in sample])).collect()}
-    want = sum(truth.values())
-    return sum(min(found.get(k, 0), v) for k, v in truth.items()) / want if want else 1.0
+    return [min(found.get(k, 0), v) / v for k, v in truth.items() if v], len(sample)
+
+
+def _spanned(o: Options, kind: str):
+    """Links that span what two blocks hold: each node with the smallest one that it reaches in them."""
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        left, right = (blocks[blocks["side"] == s] for s in (0, 1))
+        out = [np.zeros((0, 2), np.int64)]
+        if len(left):
+            a, x = left["node"].to_numpy(), _units(left["vec"].tolist(), kind)
+            b, y = (right["node"].to_numpy(), _units(right["vec"].tolist(), kind)) if len(right) else (a, x)
+            i, j = np.nonzero(x @ y.T >= o.threshold)
+            one, two = a[i], b[j]
+            node, at = np.unique(np.concatenate((one, two)), return_inverse=True)
+            i, j, label = at[: len(one)], at[len(one) :], np.arange(len(node))
+            while True:
+                new = label.copy()
+                np.minimum.at(new, i, label[j])
+                np.minimum.at(new, j, label[i])
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            out.append(np.stack((node, node[label]), 1)[label != np.arange(len(node))])
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return run
+
+
+#: Vectors of a block when all are compared.
+BLOCK = 1024
+
+
+def exact(nodes: DataFrame, kind: str, o: Options) -> DataFrame:
+    """Links (a, b) with the components of all links: every block of vectors meets every other."""
+    blocks = nodes.count() // BLOCK + 1
+    placed = nodes.select("node", "vec", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    side = (F.col("block") > F.col("with")).cast("int")
+    placed = placed.select("node", "vec", side.alias("side"), F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    # a block against an empty one would meet itself, which its own pair does already
+    return placed.groupBy("low", "high").applyInPandas(_spanned(o, kind), "a long, b long").distinct()
 
 
 def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -335,14 +388,18 @@ def _pack(kind: str):
 
 def _linked(nodes: DataFrame, kind: str, o: Options) -> DataFrame:
     """node, n_links, component_id of every node; all vectors have one length."""
-    links, label, edges = None, None, None
+    links, label, edges, recall = None, None, None, 0.0
     for attempt in range(o.attempts):
         new = C.written(_refined(nodes, kind, o, attempt))
         edges = new if edges is None else C.written(edges.unionByName(new).distinct())
         label = components(edges)
         links = C.written(_whole(nodes, label, kind, o))
-        if audit(nodes, links, kind, o) >= o.recall:
+        recall, enough = audit(nodes, links, kind, o)
+        if recall >= o.recall and enough:
             break
+    if recall < o.recall:
+        label = components(C.written(exact(nodes, kind, o)))
+        links = C.written(_whole(nodes, label, kind, o))
     own = C.written(nodes.select("node", "n", "first").join(label, "node", "left").select("node", "n", "first", F.coalesce("label", "node").alias("label")))
     whole = C.written(own.groupBy("label").agg(F.min("first").alias("component_id")))
     return own.join(whole, "label").join(links, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")

@@ -241,6 +241,30 @@ def test_vectors(spark):
     assert nndescent.link(df.limit(0), o).count() == 0
 
 
+def test_vectors_audit_and_exact_pass(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(200, 16))
+    x = np.concatenate([base, base[:40] + r.normal(size=(40, 16)) * 0.02, base[:1] + r.normal(size=(60, 16)) * 0.02]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    nodes = spark.createDataFrame([(i, v.tobytes(), 16, 1, i) for i, v in enumerate(x)], "node long, vec binary, dim int, n long, first long")
+    group = [0, *range(240, 300)]
+    links = spark.createDataFrame([(i, int(linked[i].sum())) for i in group], "node long, links long")
+    recall, enough = nndescent.audit(nodes, links, "<f4", nndescent.Options())
+    assert enough and recall < 0.7  # the group is whole, all pairs apart from it are missed
+    # no search at all: the pass over all blocks finds every link
+    for block in (1024, 64):
+        old, nndescent.BLOCK = nndescent.BLOCK, block
+        try:
+            df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+            got = {r_.vec_id: r_ for r_ in nndescent.link(df, nndescent.Options(attempts=0)).collect()}
+        finally:
+            nndescent.BLOCK = old
+        assert [got[i].n_links for i in range(len(x))] == linked.sum(1).tolist()
+        assert [got[i].component_id for i in range(3)] == [0, 1, 2] and got[201].component_id == 1
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.label) for r in graph.components(e).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
