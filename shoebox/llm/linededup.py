@@ -28,7 +28,8 @@ from . import common as C
 class Options:
     #: What parts units: a line end, or blank lines for paragraphs.
     separator: str = "\n"
-    min_words: int = 3
+    #: Units of fewer words, parted by ASCII spaces, stay; 1 leaves no floor.
+    min_words: int = 1
 
 
 SPACE = re.compile(r"[\t\f\r\n ]+")

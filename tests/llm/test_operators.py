@@ -195,6 +195,14 @@ def test_line_dedup(spark, docs, none):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r[n] for n in names)) for r in queries.op10_line_dedup(spark, SF).collect())
 
 
+def test_line_dedup_of_short_units(spark):
+    texts = ["Menu\n这是一个很长的句子没有空格\nhttps://example.org/a", "这是一个很长的句子没有空格\nmenu\n\nhttps://example.org/a\nown", "全角\u3000空格\n全角\u3000空格"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.dedup(df).collect()}
+    assert got == {0: (0, texts[0]), 1: (3, "\nown"), 2: (1, "全角\u3000空格")}
+    assert linededup.dedup(df, linededup.Options(min_words=3)).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_toxicity(spark, docs, none, real):
     labels = common.table(spark, SF, "labels")
     odd = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, 1, 1), (5, 1, None), (6, 0, 7)], "doc_id long, quality int, toxic int")
