@@ -17,6 +17,7 @@ def test_copy_suffixes(spark):
     df = spark.createDataFrame(list(cases.items()), "name string, want string")
     bad = df.withColumn("got", names.normalize_key("name")).filter("got <> want").collect()
     assert not bad
+    assert one(spark, names.normalize_key(F.lit("a" + "(1)" * 12 + " - Copy" * 12 + ".jpg"))) == "a" and one(spark, names.normalize_key(F.lit("(1)" * 30 + ".jpg"))) == "(1)"
     assert one(spark, names.is_copy_name(F.lit(" a .jpg"))) and not one(spark, names.is_copy_name(F.lit("a.jpg")))
 
 
