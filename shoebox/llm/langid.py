@@ -116,7 +116,7 @@ def infer(values: list[str | None], langs: list[str], model: np.ndarray, options
     pi, _ = _mixtures(like, first, size, every, options.rounds)
     rank = np.argsort(np.argsort(-pi, 1, kind="stable"), 1, kind="stable")
     held = None
-    for k in range(1, min(len(langs), 4) + 1):
+    for k in range(1, len(langs) + 1):  # all sizes for each document, whatever its neighbours
         pi, ll = _mixtures(like, first, size, (rank < k).astype(float), 1 if k == 1 else options.rounds)
         value = ll - (k - 1) * (0.5 + options.penalty) * np.log(size + 1)
         if held is None:
@@ -124,8 +124,6 @@ def infer(values: list[str | None], langs: list[str], model: np.ndarray, options
         else:
             better = value > held[1]
             held = [np.where(better[:, None], pi, held[0]), np.maximum(value, held[1])]
-            if not better.any():
-                break
     pi = held[0]
     # how sure: the share of the leading language, drawn to the middle for documents of few words
     total = np.add.reduceat(logs, first, 0)

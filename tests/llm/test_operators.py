@@ -228,6 +228,18 @@ def test_languages(docs, none, spark):
     assert r.filter("lang = lang_pred").count() > 0.95 * r.count()
 
 
+def test_languages_of_a_text_in_five():
+    kinds = ["aaaa", "eeee", "iiii", "oooo", "uuuu"]
+    model = np.full((5, 1 << 12), -12.0)
+    for i, w in enumerate(kinds):
+        data, starts, ends, _ = common.words([w])
+        model[i, langid._cells(data, 1 << 12)[common.WORD[data]]] = -1.0
+    mixed = " ".join(kinds * 40)
+    alone, *_ = langid.infer([mixed], list("vwxyz"), model)
+    assert sorted(alone[2]) == list("vwxyz")
+    assert langid.infer([mixed, "aaaa " * 50], list("vwxyz"), model)[0] == alone
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(300, 16))
