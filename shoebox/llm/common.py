@@ -35,8 +35,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; in a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "shoebox-checkpoints")
+    """A new path in the shared folder that spark.checkpoint.dir names. Where that is unset, a temporary one, but only if driver and executors are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "shoebox-checkpoints")
     return f"{root}/shoebox-{uuid.uuid4().hex}"
 
 
@@ -65,6 +69,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: What tells rows apart: the id (0 for a null one) and a hash of the id and the text. Only texts with one id could share a hash by chance.
+KEYS = ["row_id", "row_key"]
+
+
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> list:
+    """The columns of KEYS."""
+    own = F.col(doc_id).cast("long")
+    return [F.coalesce(own, F.lit(0)).alias(KEYS[0]), F.xxhash64(own, F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(KEYS[1])]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of KEYS."""
+    return texts(docs).select("doc_id", "text", *row_keys())
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m

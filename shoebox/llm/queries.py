@@ -51,11 +51,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed places as "start-stop start-stop ...", in characters of the original text; lines of three words or more, as its SQL defines."""
-    out = linededup.dedup(C.table(spark, sf_dir, "documents"), linededup.Options(min_words=3))
+    """Bytes removed as n_removed; removed places as "start-stop start-stop ...", in characters of the original text. Every line that is not blank counts."""
+    out = linededup.dedup(C.table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["stop"])), " ")
-    kept = F.when(F.col("n_removed") < F.col("n_units"), F.sha2("text", 256))
-    return out.select("doc_id", "n_units", "n_removed", kept.alias("kept_sha256"), spans.alias("removed"))
+    kept = F.when(F.col("n_units_removed") < F.col("n_units"), F.sha2("text", 256))
+    return out.select("doc_id", "n_units", "n_units_removed", "n_bytes", "n_removed", kept.alias("kept_sha256"), spans.alias("removed"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -184,9 +184,9 @@ def test_suffix_dedup(docs, none, real):
 def test_line_dedup(spark, docs, none):
     assert linededup.dedup(none).count() == 0
     got = {r.doc_id: r for r in linededup.dedup(docs).filter("doc_id in (1, 3, 10)").collect()}
-    assert (got[1].n_units, got[1].n_removed, got[1].text) == (4, 1, "alpha beta gamma\n\nshort") and got[1].removed[0]["start"] == 17 and got[3].n_removed == 0
+    assert (got[1].n_units, got[1].n_units_removed, got[1].n_removed, got[1].text) == (4, 1, 16, "alpha beta gamma\n\nshort") and got[1].removed[0]["start"] == 17 and got[3].n_removed == 0
     assert ids(linededup.dedup(docs)) == ALL
-    twelve = linededup.dedup(docs).filter("doc_id = 12").agg(F.sum("n_removed")).first()[0]
+    twelve = linededup.dedup(docs).filter("doc_id = 12").agg(F.sum("n_units_removed")).first()[0]
     assert twelve == 1  # the same words in other case and spacing
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
@@ -198,8 +198,10 @@ def test_line_dedup(spark, docs, none):
 def test_line_dedup_of_short_units(spark):
     texts = ["Menu\n这是一个很长的句子没有空格\nhttps://example.org/a", "这是一个很长的句子没有空格\nmenu\n\nhttps://example.org/a\nown", "全角\u3000空格\n全角\u3000空格"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.dedup(df).collect()}
+    got = {r.doc_id: (r.n_units_removed, r.text) for r in linededup.dedup(df).collect()}
     assert got == {0: (0, texts[0]), 1: (3, "\nown"), 2: (1, "全角\u3000空格")}
+    paragraphs = linededup.dedup(spark.createDataFrame([(0, "a\nb\n\nc"), (1, "x\n\na\nB"), (2, "a\n\nb")], "doc_id long, text string"), linededup.Options(separator="\n\n"))
+    assert {r.doc_id: (r.n_units_removed, r.n_removed, r.text) for r in paragraphs.collect()} == {0: (0, 0, "a\nb\n\nc"), 1: (1, 3, "x"), 2: (0, 0, "a\n\nb")}
     assert linededup.dedup(df, linededup.Options(min_words=3)).agg(F.sum("n_removed")).first()[0] == 0
 
 
@@ -216,6 +218,69 @@ def test_toxicity(spark, docs, none, real):
     assert r.filter("predicted = toxic").count() > 0.97 * r.count() and r.filter("score < 0 or score > 1").count() == 0
     model = toxicity.fit(many, truth)
     assert toxicity.clean(many, model).count() < 700
+    assert [round(float(x), 6) for x in toxicity.features(model, ["", None, "!!!"])[0][:, :3].ravel()] == [0.0] * 9
+    same = toxicity.score(spark.createDataFrame([(1, LONG), (2, LONG)], "doc_id long, text string"), model)
+    assert same.select("score").distinct().count() == 1
+
+
+def test_toxicity_models_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    p = 1 / np.arange(1, 61)
+    texts = [(int(k % 4 == 0), [vocabulary[i] for i in r.choice(60, 12, p=p / p.sum())] + (["vile"] * (k % 3) if k % 4 == 0 else [])) for k in range(80)]
+    pairs, counts = spark.createDataFrame([(t, y) for y, t in [(y, " ".join(t)) for y, t in texts]], "text string, toxic int"), [Counter(), Counter()]
+    for y, t in texts:
+        counts[y].update(zip(["<s>", *t[:-1]], t, strict=True))
+    model = toxicity._model(pairs.mapInArrow(toxicity._count, "u long, w long, c0 long, c1 long").groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+
+    def discount(values, whole):
+        of = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        d = toxicity.discounts(of, whole)
+        return lambda c: float(d[min(c, 3)])
+
+    both = counts[0] + counts[1]
+    words = sorted({w for _, w in both})
+    n = Counter(w for _, w in both)
+    d = discount(n.values(), False)
+    total = sum(n.values())
+    spare = sum(d(c) for c in n.values()) / total
+    shared = lambda w: (n[w] - d(n[w])) / total + spare / (len(words) + 1)
+
+    def of_class(k):
+        own = Counter(w for _, w in counts[k])
+        d1, d2 = discount(own.values(), True), discount(counts[k].values(), True)
+        size = sum(own.values())
+        back = sum(d1(c) for c in own.values()) / size
+        one = lambda w: (own[w] - d1(own[w])) / size + back * shared(w)
+
+        def two(u, w):
+            after = {x: c for (v, x), c in counts[k].items() if v == u}
+            s = sum(after.values())
+            return one(w) if not s else (after.get(w, 0) - d2(after.get(w, 0))) / s + sum(map(d2, after.values())) / s * one(w)
+
+        return one, two
+
+    (one0, two0), (one1, two1) = of_class(0), of_class(1)
+    unknown = "neverseen"
+    for one, two in ((one0, two0), (one1, two1)):
+        assert sum(map(one, words)) + one(unknown) == pytest.approx(1)
+        for u in ("<s>", *words[:10], "vile", unknown):
+            assert sum(two(u, w) for w in words) + two(u, unknown) == pytest.approx(1)
+    text = [*words, "vile", "vile", unknown, words[0], words[3]]
+    got, alone, _ = toxicity.differences(model, [" ".join(text)])
+    assert alone == pytest.approx([math.log(one1(w) / one0(w)) for w in text], abs=1e-5)
+    assert got == pytest.approx([math.log(two1(u, w) / two0(u, w)) for u, w in zip(["<s>", *text[:-1]], text, strict=True)], abs=1e-5)
+
+
+@pytest.mark.parametrize("bound", [2400, 6000])
+def test_toxicity_whatever_the_bound(spark, bound):
+    """The share of toxic documents found and of others left alone, on held-out rows, whether the bound on labelled rows binds or not."""
+    sf = "/root/testdata/sf0.1"
+    labels, o = common.table(spark, sf, "labels"), toxicity.Options(max_docs=bound)
+    truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    r = toxicity.classify(common.table(spark, sf, "documents"), labels, o).join(truth, "doc_id").filter(common.crc_mod("doc_id", 3) == 1)
+    found = {(x.toxic, x.predicted): x["count"] for x in r.groupBy("toxic", "predicted").count().collect()}
+    assert found[1, 1] > 0.85 * (found[1, 1] + found[1, 0]) and found.get((0, 1), 0) < 0.01 * found[0, 0]
 
 
 def test_languages(docs, none, spark):
@@ -304,5 +369,7 @@ def test_pipeline(spark, real):
 
 
 def test_scratch_is_the_shared_folder():
-    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value if key == "spark.checkpoint.dir" else default))
-    assert common.scratch(session("hdfs:///shared")).startswith("hdfs:///shared/shoebox-") and os.path.isabs(common.scratch(session(None)))
+    session = lambda value, master="local[2]": SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda key, default=None: value if key == "spark.checkpoint.dir" else default))
+    assert common.scratch(session("hdfs:///shared", "yarn")).startswith("hdfs:///shared/shoebox-") and os.path.isabs(common.scratch(session(None)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(session(None, "spark://host:7077"))
