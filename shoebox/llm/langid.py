@@ -7,10 +7,10 @@ penalised likelihood is the document's: a further language has to gain more than
 
 The trigram models are fitted on a bounded sample of the documents with a language (Options.max_docs of each, the
 smallest by a hash of the id), counted in Spark; what is broadcast has Options.cells x languages numbers whatever the
-corpus holds. Inference is one pass over all documents, many documents at once in numpy, without a shuffle.
+corpus holds, at most Options.numbers while there are no more than 16,384 languages. Inference is one pass over all documents, many documents at once in numpy, without a shuffle.
 
-Cases: null or empty texts and texts without a letter are `und` with score 0; without any document to learn from all are
-`und`; null languages are not learned; null ids are predicted, and not learned from; equal texts get equal results, ties go to the
+Cases: null or empty texts and texts without a letter are `und` with score 0; without any document to learn from, as with an empty table, all are
+`und` and known() has nothing to judge by, so all rows stay; a very long text is taken whole, alone in its chunk; only the named columns are read, so others may have any name; null languages are not learned; null ids are predicted, and not learned from; equal texts get equal results, ties go to the
 first language in alphabetical order.
 """
 
@@ -31,9 +31,9 @@ from . import common as C
 class Options:
     #: Documents that a language's model is fitted on, at most.
     max_docs: int = 1500
-    #: Languages, at most: those with the most documents to learn from.
-    max_langs: int = 64
+    #: Cells of a language's model, at most; with many languages fewer (a power of two, 1,024 at least), so that all models have at most `numbers`. No language is left out.
     cells: int = 1 << 18
+    numbers: int = 1 << 24
     hold_out: int = 3
     rounds: int = 6
     #: Nats that each further language must gain, times the log of the number of words, on top of half of it.
@@ -57,16 +57,16 @@ def _cells(data: np.ndarray, cells: int) -> np.ndarray:
 def fit(docs: DataFrame, options: Options = Options()) -> tuple[list[str], np.ndarray] | None:
     """Languages and their models: log-probabilities, languages x cells."""
     rows = docs.filter("doc_id is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter(C.crc_mod("doc_id", options.hold_out) != 1)
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(options.max_langs).collect())
+    # the first of each language, cut to their number in every task before they meet
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
+    use = C.written(rows.withColumn("place", place).filter(F.col("place") <= options.max_docs).groupBy("doc_id").agg(F.min("lang").alias("lang")))
+    langs = sorted(r["lang"] for r in use.select("lang").distinct().collect())
     if not langs:
         return None
-    use = None
-    for lang in langs:  # a bounded number of bounded top-k reports
-        part = rows.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(options.max_docs)
-        use = part if use is None else use.unionByName(part)
-    use = C.written(use.groupBy("doc_id").agg(F.min("lang").alias("lang")))
     sample = C.texts(docs).join(F.broadcast(use), "doc_id").select("text", "lang")
     number, cells = {x: i for i, x in enumerate(langs)}, options.cells
+    while cells > 1024 and cells * len(langs) > options.numbers:
+        cells //= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), cells), np.int64)
