@@ -8,12 +8,13 @@ needs once. A list that is full of links is saturated and gets twice the room in
 The links at the threshold close to components. What a list of bounded room could not hold is then made whole: within each component the
 links of every vector are counted against all members, in tiles of bounded size and without emitting the pairs. An audit compares a sample of
 vectors with all others and takes the mean share of their links that were found, each linked vector counting once; under Options.recall, or with too few linked vectors
-in the sample, another attempt follows with more cells and longer lists. If recall is low after the last attempt, all vectors are compared in blocks.
+in the sample, another attempt follows with more cells and longer lists. If recall is low after the last attempt, all vectors are compared in blocks. Half of the sample
+is of vectors that have a neighbour near the threshold, so that it holds linked ones where links are rare.
 
 Equal vectors are one node and are expanded only in the counts. Similarities are in double precision.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths do not link; rows with equal ids each
-count as a vector; null ids are passed on and never name a component with others; an empty table gives an empty one.
+count as a vector; null ids are passed on and never name a component with others; equal similarities go to the smaller hash; an empty table gives an empty one; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ class Options:
     #: Vectors of the audit, at most in 16-fold for as many linked ones; recall to reach, attempts before all vectors are compared.
     audited: int = 128
     linked: int = 32
+    #: The audit's vectors are drawn, half from all, half from those with a neighbour no further below the threshold than this.
+    margin: float = 0.05
     recall: float = 0.99
     attempts: int = 3
 
@@ -154,11 +157,11 @@ def _meet(o: Options, kind: str):
         vectors = vectors.sort_values("node")
         node, x = vectors["node"].to_numpy(), _units(vectors["vec"].tolist(), kind)
         worst, room = vectors["worst"].to_numpy(), vectors["room"].to_numpy()
-        edges = edges.sort_values(["node", "other"])
+        edges = edges.sort_values(["node", "part", "other"])
         at = np.searchsorted(node, edges["other"].to_numpy())
         fresh = edges["fresh"].to_numpy()
-        own = edges["node"].to_numpy()
-        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+        own, part = edges["node"].to_numpy(), edges["part"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (part[1:] != part[:-1]), [True])))
         met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             p, f = at[a:b], fresh[a:b]
@@ -196,8 +199,8 @@ def _gather(lists: DataFrame, old: DataFrame | None, o: Options, room: int) -> D
     return C.written(part.groupBy("node").agg(F.collect_list("part").alias("parts"), F.max("room").alias("room")).mapInArrow(_merge(o, room), GRAPH))
 
 
-def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> DataFrame:
-    """Links (a, b) that the graph holds after refinement."""
+def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that the graph holds after refinement, and the nodes (node) whose best neighbour is nearly at the threshold or beyond it."""
     trees, room = o.trees << attempt, o.k << attempt
     n = nodes.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / o.leaf)))
@@ -209,14 +212,14 @@ def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> DataFrame
     stars = lists.filter("star != node").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct()
     graph = _gather(lists, None, o, room)
     block = C.written(dealt.filter("tree = 0").select("node", F.col("chunk").alias("block")).dropDuplicates(["node"]))
-    for _ in range(o.rounds):
+    for turn in range(o.rounds):
         flat = C.written(graph.select("node", "ids", "sims", "fresh").mapInArrow(_unfold, "node long, other long, fresh boolean, sim double"))
-        # a vector that very many have as a neighbour passes on some of them; they also meet through their other neighbours
-        many = flat.groupBy("other").agg(F.count("*").alias("n")).filter(F.col("n") > 8 * room)
-        back = flat.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh").join(many.withColumnRenamed("other", "node"), "node", "left")
-        back = back.filter(F.col("n").isNull() | (F.pmod(F.xxhash64("node", "other"), F.col("n")) < 8 * room)).drop("n")
-        around = flat.select("node", "other", "fresh").unionByName(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
-        edges = C.written(around.join(block, "node").select("block", "node", "other", "fresh"))
+        # a vector that very many have as a neighbour passes them on in parts, dealt anew in each round, each with its own neighbours
+        many = flat.groupBy(F.col("other").alias("node")).agg(F.ceil(F.count("*") / (8 * room)).cast("int").alias("parts")).filter("parts > 1")
+        own = flat.select("node", "other", "fresh").join(many, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        back = flat.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh").join(many, "node", "left").withColumn("part", F.pmod(F.xxhash64("node", "other", F.lit(turn)), F.coalesce("parts", F.lit(1))).cast("int"))
+        around = own.unionByName(back).groupBy("node", "part", "other").agg(F.max("fresh").alias("fresh"))
+        edges = C.written(around.join(block, "node").select(F.when(F.col("part") == 0, F.col("block")).otherwise(F.xxhash64("node", "part")).alias("block"), "node", "part", "other", "fresh"))
         need = edges.select(F.col("block").alias("at"), F.col("other").alias("node")).distinct()
         state = C.written(graph.select("node", "room", "ids", "sims").mapInArrow(_worst, "node long, room int, worst double").join(nodes.select("node", "vec"), "node"))
         vectors = need.join(state, "node")
@@ -226,7 +229,8 @@ def _refined(nodes: DataFrame, kind: str, o: Options, attempt: int) -> DataFrame
         if changed < o.settled * n * room:
             break
     flat = graph.select("node", "ids", "sims", "fresh").mapInArrow(_unfold, "node long, other long, fresh boolean, sim double")
-    return flat.filter(F.col("sim") >= o.threshold).select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(stars).distinct()
+    found = flat.filter(F.col("sim") >= o.threshold).select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(stars).distinct()
+    return found, flat.filter(F.col("sim") >= o.threshold - o.margin).select("node").distinct()
 
 
 def _worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,20 +273,24 @@ def _whole(nodes: DataFrame, label: DataFrame, kind: str, o: Options) -> DataFra
     return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("key").applyInPandas(_counted(o, kind), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, kind: str, o: Options) -> tuple[float, bool]:
+def audit(nodes: DataFrame, links: DataFrame, kind: str, o: Options, near: DataFrame | None = None) -> tuple[float, bool]:
     """Mean share of the links found over the linked nodes of a sample, and whether it holds enough of them (or all nodes)."""
     size = o.audited
     while True:
-        shares, n = _shares(nodes, links, kind, o, size)
+        shares, n = _shares(nodes, links, kind, o, size, near)
         enough = len(shares) >= o.linked or n < size
         if enough or size >= 16 * o.audited:
             return (sum(shares) / len(shares) if shares else 1.0), enough
         size = 16 * o.audited
 
 
-def _shares(nodes: DataFrame, links: DataFrame, kind: str, o: Options, size: int) -> tuple[list[float], int]:
+def _shares(nodes: DataFrame, links: DataFrame, kind: str, o: Options, size: int, near: DataFrame | None) -> tuple[list[float], int]:
     """Share of the links found of each linked node in a sample, and the sample's size; the sample meets all nodes in blocks."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(size).select("node", "vec", "dim").toArrow().to_pylist()
+    first = lambda df, n: df.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(n).select("node", "vec", "dim").toArrow().to_pylist()
+    sample = first(nodes, size if near is None else size // 2)
+    if near is not None:
+        have = {s["node"] for s in sample}
+        sample += [s for s in first(nodes.join(near, "node", "left_semi"), size) if s["node"] not in have][: size - size // 2]
     if not sample:
         return [], 0
     sent = C.shared(nodes.sparkSession, sample)
@@ -361,9 +369,14 @@ def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
     v = F.col("v") if kind == "<f4" else F.col("v").cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     good = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("node", F.when(good, F.xxhash64("v")))
-    packed = rows.filter("node is not null").groupBy("node").agg(F.min_by(v, F.col("vec_id")).alias("v"), F.first(v).alias("any"), F.count("*").alias("n"), F.min("vec_id").alias("first"))
-    nodes = C.written(packed.select("node", F.coalesce("v", "any").alias("v"), "n", "first").mapInArrow(_pack(kind), "node long, vec binary, dim int, n long, first long"))
+    salt = 0
+    while True:  # two different vectors with one hash: all get another
+        rows = rows.withColumn("node", F.when(good, F.xxhash64(F.lit(salt), "v")))
+        packed = rows.filter("node is not null").groupBy("node", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+        nodes = C.written(packed.select("node", v.alias("v"), "n", "first").mapInArrow(_pack(kind), "node long, vec binary, dim int, n long, first long"))
+        if not C.unlike(nodes.select("node", "vec"), "node", "vec"):
+            break
+        salt += 1
     if nodes.select("dim").distinct().count() > 1:
         frames = [_linked(C.written(nodes.filter(F.col("dim") == r["dim"])), kind, o) for r in nodes.select("dim").distinct().orderBy("dim").collect()]
         linked = frames[0]
@@ -390,11 +403,12 @@ def _linked(nodes: DataFrame, kind: str, o: Options) -> DataFrame:
     """node, n_links, component_id of every node; all vectors have one length."""
     links, label, edges, recall = None, None, None, 0.0
     for attempt in range(o.attempts):
-        new = C.written(_refined(nodes, kind, o, attempt))
+        new, near = _refined(nodes, kind, o, attempt)
+        new, near = C.written(new), C.written(near)
         edges = new if edges is None else C.written(edges.unionByName(new).distinct())
         label = components(edges)
         links = C.written(_whole(nodes, label, kind, o))
-        recall, enough = audit(nodes, links, kind, o)
+        recall, enough = audit(nodes, links, kind, o, near)
         if recall >= o.recall and enough:
             break
     if recall < o.recall:
