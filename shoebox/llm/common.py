@@ -84,6 +84,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", "text", *row_keys())
 
 
+def unlike(keyed: DataFrame, key: str, what: str) -> bool:
+    """Whether some rows with one key differ in what it should stand for: two different things have one hash."""
+    return keyed.groupBy(key).agg(F.min(what).alias("low"), F.max(what).alias("high")).filter("low <> high").limit(1).count() > 0
+
+
+def told_apart(docs: DataFrame) -> int:
+    """The first salt under which row_key() tells all ids apart."""
+    own, salt = texts(docs), 0
+    while unlike(own.select(F.coalesce("doc_id", F.lit(0)).alias("id"), row_key(salt).alias("key")), "key", "id"):
+        salt += 1
+    return salt
+
+
+def row_key(salt: int, doc_id: str = "doc_id", text: str = "text"):
+    """A number for each different id and text."""
+    return F.xxhash64(F.lit(salt), F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m

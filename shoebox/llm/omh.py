@@ -12,7 +12,8 @@ that no chain of links joins yet are compared, with a growing part of each other
 of near copies takes about one comparison for each text. Links are closed to classes by connected components.
 
 Cases: null and empty texts are equal texts of one class; texts of fewer words than a k-mer are one k-mer; texts without
-any word have only equal texts; rows with the same id and text are one document; null ids rank last in their class; an empty table gives an empty one.
+any word have only equal texts; a very long text is sketched whole, alone in its chunk, and aligned in bands that widen only as far as needed; rows with the same id and text are one document;
+of a class the smallest id stays, ties go to the smaller hash of id and text; null ids rank last in their class; an empty table gives an empty one; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two word sequences if it is at most `most`: first in a narrow band, then in the whole one.
+    """Edit distance of two word sequences if it is at most `most`: first in a narrow band, then in wider ones.
 
     An edit changes one word and two pairs of words: sequences that share too few of either are not aligned.
     """
@@ -143,34 +144,44 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return None
     if max(len(a), len(b)) - 1 - _shared(a[:-1] << 32 | a[1:], b[:-1] << 32 | b[1:]) > 2 * most:
         return None
-    found = _banded(a, b, min(most, NARROW))
-    return found if found is not None or most <= NARROW else _rows(a.tolist(), b.tolist(), most)
+    found, width = _banded(a, b, min(most, NARROW)), NARROW
+    while found is None and width < most:  # wider bands, so that few edits take little whatever the length
+        width = min(max(width, 1) * 8, most)
+        found = _columns(a.tolist(), b.tolist(), width)
+    return found
 
 
-def _rows(a: list[int], b: list[int], most: int) -> int | None:
-    """The same for the whole band, a column of differences at a time in the bits of numbers; left when the band is."""
+def _columns(a: list[int], b: list[int], most: int) -> int | None:
+    """Edit distance if it is at most `most`, in a band of 2 * most + 1 diagonals: for each word of b the differences of neighbouring cells of the
+    band are the bits of a few numbers, and the band moves one word of a further on. Time is len(b) times the band's width in machine words."""
     n, m = len(a), len(b)
-    if not n:
-        return m if m <= most else None
-    places: dict[int, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    mask, last = (1 << n) - 1, 1 << (n - 1)
-    more, less, score = mask, 0, n
+    if abs(n - m) > most:
+        return None
+    width = 2 * most + 1
+    full = (1 << width) - 1
+    more = full >> most << most  # the cell below is larger by one: rows 1 and on; above the first row the cells grow upwards
+    less = full ^ more
+    score = abs(n - m)
+    end = 1 << (most + n - m)  # the diagonal of the last cell
+    places: dict[int, tuple[int, int]] = {}  # of a word: its bits in the band, and for which column
+    for i, x in enumerate(a[:most]):  # the band's last row enters with its column
+        bits, at = places.get(x, (0, 0))
+        places[x] = bits | 1 << (i + 1 + most), 0
     for j, x in enumerate(b, 1):
-        equal = places.get(x, 0)
-        down = equal | less
-        across = (((equal & more) + more) ^ more) | equal
-        up, off = less | (~(across | more) & mask), more & across
-        if up & last:
+        if (i := j + most - 1) < n:
+            bits, at = places.get(a[i], (0, j))
+            places[a[i]] = bits >> (j - at) | 1 << (2 * most), j
+        bits, at = places.get(x, (0, j))
+        equal = bits >> (j - at)
+        diagonal = ((((equal & more) + more) ^ more) | equal | less) & full
+        up, down = less | (full & ~(diagonal | more)), diagonal & more
+        if j > m - n and not diagonal & end:
             score += 1
-        elif off & last:
-            score -= 1
-        if score - (m - j) > most:
-            return None
-        up, off = (up << 1 | 1) & mask, (off << 1) & mask
-        more, less = off | (~(down | up) & mask), up & down
-    return score if score <= most else None
+            if score > most:
+                return None
+        ahead = diagonal >> 1
+        more, less = down | (full & ~(ahead | up)), ahead & up
+    return score
 
 
 def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -203,7 +214,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, ends, doc = C.words(t.column("text").to_pylist())
         w = (C.hash_runs(data, starts, ends) >> np.uint64(32)).astype("<u4")
         cut = np.searchsorted(doc, np.arange(len(t) + 1))
-        yield pa.record_batch([t.column("row_key").combine_chunks(), pa.array([w[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "words"])
+        yield pa.record_batch([t.column("node").combine_chunks(), pa.array([w[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "words"])
 
 
 def _verify(o: Options):
@@ -220,8 +231,8 @@ def _verify(o: Options):
 
 def _tested(pairs: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
     """a, b, ok of each pair: whether the two texts are similar."""
-    used = C.written(pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct())
-    words = C.written(rows.join(used, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(_tokens, "node long, words binary"))
+    used = C.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    words = C.written(rows.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_tokens, "node long, words binary"))
     left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
     return C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean"))
@@ -262,7 +273,7 @@ def _closed(every: DataFrame, tested: DataFrame, rows: DataFrame, o: Options) ->
 
 
 def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
-    """Verified links (a, b); nodes: node, rank, n_words, keys; rows: row_key, text."""
+    """Verified links (a, b); nodes: node, rank, n_words, keys; rows: node, text."""
     members = nodes.filter("n_words > 0").select("node", "rank", "n_words", F.posexplode(_bands("keys", o)).alias("band", "key"))
     order = F.struct("rank", "node", "n_words")
     crowd = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
@@ -306,33 +317,37 @@ def _bands(keys: str, o: Options):
 
 
 def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept of every row, with its row_key."""
+    """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept of every row, with the columns C.KEYS."""
     C.tune(docs.sparkSession)
-    rows = C.texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    digests = rows.withColumn("d1", F.xxhash64("text")).withColumn("d2", F.xxhash64(F.lit(1), F.reverse("text")))
-    sketched = C.written(digests.mapInArrow(_sketch(o), SKETCH))
+    rows, salt = C.keyed(docs), 0
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    nodes = C.written(
-        sketched.groupBy("d1", "d2")
-        .agg(F.min(F.struct(order.alias("rank"), F.col("row_key").alias("node"), "n_words", "keys")).alias("x"), F.count("*").alias("n"))
-        .select("d1", "d2", "n", "x.*")
-    )
-    label = components(_links(nodes.select("node", "rank", "n_words", "keys"), rows, o))
-    own = nodes.join(label, "node", "left").select("d1", "d2", "n", "rank", "node", F.coalesce("label", "node").alias("label"))
-    own = C.written(own)
-    whole = C.written(own.groupBy("label").agg(F.min(F.struct("rank", "node")).alias("first"), F.sum("n").alias("class_size")))
-    found = C.written(own.join(whole, "label").select("d1", "d2", "first", "class_size"))
+    while True:  # two different texts with one hash: all get another
+        digests = rows.withColumn("d1", F.xxhash64(F.lit(salt), "text")).withColumn("d2", F.xxhash64(F.lit(1), F.reverse("text")))
+        sketched = C.written(digests.mapInArrow(_sketch(o), SKETCH))
+        nodes = C.written(
+            sketched.groupBy("d1", "d2")
+            .agg(F.min(F.struct(order.alias("rank"), "row_key", "n_words", "keys")).alias("x"), F.count("*").alias("n"))
+            .select(F.col("d1").alias("node"), "d2", "n", "x.*")
+        )
+        if not C.unlike(nodes.select("node", "d2"), "node", "d2"):
+            break
+        salt += 1
+    text = rows.select(F.xxhash64(F.lit(salt), "text").alias("node"), "text")
+    label = components(_links(nodes.select("node", "rank", "n_words", "keys"), text, o))
+    own = C.written(nodes.join(label, "node", "left").select("node", "n", "rank", "row_key", F.coalesce("label", "node").alias("label")))
+    whole = C.written(own.groupBy("label").agg(F.min(F.struct("rank", "row_key")).alias("first"), F.sum("n").alias("class_size")))
+    found = C.written(own.join(whole, "label").select(F.col("node").alias("d1"), "first", "class_size"))
     class_id = F.when(F.col("first.rank") < (1 << 63) - 1, F.col("first.rank"))
-    return sketched.select("doc_id", "row_key", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", class_id.alias("class_id"), "class_size", (F.col("row_key") == F.col("first.node")).alias("kept"), "row_key")
+    kept = F.struct(order.alias("rank"), "row_key") == F.col("first")
+    return sketched.select("doc_id", "row_key", "d1").join(found, "d1").select("doc_id", class_id.alias("class_id"), "class_size", kept.alias("kept"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "row_key")
 
 
 def representatives(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row of docs of each class, with all its columns; of rows with the same id and text one."""
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    kept = C.written(classes(docs, o).filter("kept").groupBy("row_key").agg(F.count("*").alias("times")))
-    once = kept.filter("times = 1").select(F.col("row_key").alias("__once"))
-    more = kept.filter("times > 1").select(F.col("row_key").alias("__more"))
-    out = docs.join(once, own == F.col("__once"), "left_semi")
+    kept = C.written(classes(docs, o).filter("kept").groupBy(*C.KEYS).agg(F.count("*").alias("times")))
+    pick = lambda test: kept.filter(test).select(*(F.col(k).alias(f"__{k}") for k in C.KEYS))
+    same = lambda one: docs.join(one, [k == F.col(f"__{n}") for k, n in zip(C.row_keys(), C.KEYS, strict=True)], "left_semi")
+    out, more = same(pick("times = 1")), pick("times > 1")
     if more.limit(1).count():
-        out = out.unionByName(docs.join(more, own == F.col("__more"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        out = out.unionByName(same(more).dropDuplicates(["doc_id", "text"]))
     return out
