@@ -13,7 +13,7 @@ each bucket the different runs of an anchor are a collection of documents whose
 (suffixes.py); neighbours with a common prefix of at least Options.match bytes are equal substrings.
 
 Cases: null and empty texts stay empty; texts under Options.match bytes stay whole; rows with the same id and text are one document and each
-gets its result; documents with one id and different texts rank by a hash of the text; null ids rank last; an empty table gives an empty one.
+gets its result; documents with one id and different texts rank by a hash of the text; null ids rank last; a very long text is cut to runs like any other; an empty table gives an empty one; names of other columns may be any but KEY and GONE with their two underscores.
 """
 
 from __future__ import annotations
@@ -362,7 +362,7 @@ def spans(rows: DataFrame, o: Options) -> DataFrame:
 def dedup(docs: DataFrame, o: Options = Options(), digest: bool = False) -> DataFrame:
     """Each document's bytes without what is a repeat, with the places of what was removed; digest: columns as DIGEST says."""
     C.tune(docs.sparkSession)
-    rows = C.texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = C.texts(docs).withColumn("row_key", C.row_key(C.told_apart(docs)))
     gone = spans(rows, o).groupBy("row_key").agg(F.collect_list("spans").alias("spans"))
     return rows.join(gone, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_apply(digest), DIGEST if digest else RESULT)
 
@@ -374,8 +374,8 @@ KEY, GONE = "__row_key", "__gone"
 def cleaned(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """docs with the repeats cut out of their texts (a character cut in two goes whole) and n_chars, if there, counted anew."""
     C.tune(docs.sparkSession)
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    gone = spans(C.texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")), o).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list("spans").alias(GONE))
+    own = C.row_key(C.told_apart(docs))
+    gone = spans(C.texts(docs).withColumn("row_key", own), o).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list("spans").alias(GONE))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
