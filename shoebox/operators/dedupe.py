@@ -6,12 +6,14 @@ in grouped-map functions, on rows in the order of seq; everything else is window
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,21 +147,30 @@ def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str) -> DataFr
     tol = max(0, int(np.floor(tolerance_sec + 0.5)))
     seconds = timed.withColumn("_s", F.floor(F.col("capture_ms") / 1000).cast("long"))
     runs = time_islands(seconds, "_s", tol, *by, out="_run")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.schema) + ", bucket string"
+    # the seconds of a run, each once; most runs are shorter than the tolerance and one bucket, others are folded to the starts of theirs
     keys = [*by, "_run"]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["capture_ms", "path"])
-        bucket, start, number = [], None, -1
-        for s in rows["_s"].tolist():
-            if start is None or s - start > tol:
-                start, number = s, number + 1
-            bucket.append(number)
-        name = ":".join(str(rows[k].iloc[0]) for k in keys)
-        rows = rows.drop(columns=["_s", "_run"]).assign(bucket=[f"{name}:{b}" for b in bucket])
-        return rows[np.bincount(bucket)[bucket] >= 2]
-
-    return by_groups(runs, keys, fold, schema)
+    sizes = runs.groupBy(*keys).agg(F.count("*").alias("_n"), F.sort_array(F.collect_set("_s")).alias("_seconds")).filter("_n >= 2").drop("_n")
+    one = F.element_at("_seconds", -1) - F.col("_seconds")[0] <= tol
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema[:-1]) + ", _s bigint, _start bigint"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, second, begin = [], [], []
+            for i, seconds in enumerate(batch.column(len(keys)).to_pylist()):
+                start = None
+                for s in seconds:
+                    if start is None or s - start > tol:
+                        start = s
+                    row.append(i)
+                    second.append(s)
+                    begin.append(start)
+            take = pa.array(row, pa.int64())
+            yield pa.record_batch([*(batch.column(k).take(take) for k in range(len(keys))), pa.array(second, pa.int64()), pa.array(begin, pa.int64())], [*keys, "_s", "_start"])
+
+    short = sizes.filter(one).select(*keys, F.explode("_seconds").alias("_s"), F.col("_seconds")[0].alias("_start"))
+    folded = short.unionByName(sizes.filter(~one).mapInArrow(fold, schema))
+    placed = runs.join(folded, [*keys, "_s"]).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_start"))).filter("_n >= 2")
+    return placed.withColumn("bucket", F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.col("_start").cast("string"))).select(*timed.columns, "bucket")
 
 
 def first_fit(paths: list[str], prints: list[int], distance: int) -> list[list[int]]:
@@ -297,10 +308,10 @@ def summary(grouped: DataFrame) -> DataFrame:
     return grouped.agg(F.countDistinct("group_id").alias("groups"), F.count(F.when(F.col("role") == "delete", 1)).alias("deletable_files"), F.coalesce(F.sum(F.when(F.col("role") == "delete", F.col("size"))), F.lit(0)).alias("wasted_bytes"))
 
 
-def scan(media: DataFrame, o: ScanOptions = ScanOptions(), source: str = "path", hasher=None, reader=None) -> DataFrame:
+def scan(media: DataFrame, o: ScanOptions = ScanOptions(), source: str = "path", hasher=None, reader=None, printer=None) -> DataFrame:
     """All stages over media files with seq: groups in long form with role, origin, wasted, kind and distance.
 
-    hasher and reader give the hash and the capture time of column `source`; columns that are there already are used as they are. Only files that
+    hasher, reader and printer give the hash, the capture time and, for similar pictures, the fingerprint of column `source`; columns that are there already are used as they are. Only files that
     passed a stage reach the next one's reader.
     """
     from ..sources import files as S
@@ -315,7 +326,11 @@ def scan(media: DataFrame, o: ScanOptions = ScanOptions(), source: str = "path",
         timed = timed.join(targets.select("path_key", hasher(source).alias("hash")), "path_key")
     exact = exact_groups(timed, "time_group").drop("block", "time_group").withColumn("kind", F.lit("exact"))
     found = with_roles(exact).withColumn("distance", F.lit(None).cast("int"))
-    if o.similar and "phash" in media.columns:
+    if o.similar:
+        if "capture_ms" not in media.columns:
+            media = media.withColumn("_c", reader(source, "ext")).select("*", "_c.capture_ms", "_c.subsec_known", F.col("_c.source").alias("capture_source")).drop("_c")
+        if "phash" not in media.columns:
+            media = media.withColumn("phash", F.when(~N.is_video("ext"), (printer or S.phash_embedded)(source)))
         found = _with_similar(media, found, o)
     out = with_totals(with_origins(found))
     return out.withColumn("group_distance", F.coalesce(F.max("distance").over(Window.partitionBy("group_id")), F.lit(0)))

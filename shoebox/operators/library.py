@@ -53,9 +53,11 @@ def snapshot(df: DataFrame, root: str, name: str) -> str:
     return f"{root}/{name}.v{version}"
 
 
-def upsert(photos: DataFrame, new: DataFrame, scan_id: int) -> DataFrame:
-    """New rows replace old ones of the same path, but keep their rating and recognition."""
-    n = new.dropDuplicates(["path"])
+def upsert(photos: DataFrame, new: DataFrame, scan_id: int, order: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same path, but keep their rating and recognition. Of several new rows of a path the last one counts, by `order` or as the rows stand."""
+    rest = [c for c in new.columns if c != "path"]
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    n = new.withColumn("_place", place).groupBy("path").agg(F.max_by(F.struct(*rest), "_place").alias("_row")).select("path", "_row.*")
     kind = F.when(F.col("kind") == "video", "video").otherwise("photo")
     origin = F.when(F.col("origin").isin("camera", "phone"), F.col("origin")).otherwise("")
     n = n.withColumn("kind", kind).withColumn("origin", origin).withColumn("scan_id", F.lit(scan_id).cast("bigint")).withColumn("_new", F.lit(True))
@@ -252,6 +254,33 @@ def titles(people: DataFrame) -> DataFrame:
     return people.withColumn("_n", nth).select("id", F.when(F.coalesce("name", F.lit("")) == "", F.concat(F.lit("人物 "), F.col("_n").cast("string"))).otherwise(F.col("name")).alias("title"))
 
 
+def photo(photos: DataFrame, path: str) -> DataFrame:
+    """The row of a path, in its exact case."""
+    return photos.filter(F.col("path") == path)
+
+
+def photo_faces(faces: DataFrame, path: str) -> DataFrame:
+    """id and name of a photo's faces, by id."""
+    return faces.filter(F.col("path") == path).select("id", "name").orderBy("id")
+
+
+def state(photos: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row: photos and videos, their number and bytes, and the last scan's summary as JSON, null if there is none or it is broken."""
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).cast("bigint")
+    totals = photos.filter(F.col("kind").isin("photo", "video")).agg(
+        F.count("*").alias("total"), of("photo", 1).alias("photos"), of("video", 1).alias("videos"), of("photo", F.col("size")).alias("photo_bytes"), of("video", F.col("size")).alias("video_bytes")
+    )
+    summary = meta.filter("key = 'summary'").agg(F.max(F.when(F.try_parse_json("value").isNotNull(), F.col("value"))).alias("summary"))
+    return totals.join(F.broadcast(summary))
+
+
+def sync_deleted(photos: DataFrame, grouped: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The library and the groups without the files that were deleted."""
+    from .plan import without_paths
+
+    return removed(photos, paths), without_paths(grouped, paths)
+
+
 def present(photos: DataFrame, paths: list[str]) -> DataFrame:
     keys = photos.sparkSession.createDataFrame([(p,) for p in paths[:MAX_PATHS]], "path string").select(N.ascii_lower("path").alias("_k")).distinct()
     return photos.withColumn("_k", N.ascii_lower("path")).join(F.broadcast(keys), "_k", "left_semi").select("path")

@@ -5,8 +5,11 @@ cluster() follows an order through all faces, so it is one task by definition of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +22,76 @@ SAME_PERSON = 0.32
 WINDOW_MS = 4 * 60 * 60 * 1000
 
 
-def nearest(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON, broadcast_rows: int = 100_000) -> DataFrame:
+#: Bytes of vectors in double precision that are sent to all tasks at once.
+SENT = 64 << 20
+
+
+def _vectors(rows: list, dims: dict[int, list[int]]) -> dict[int, np.ndarray]:
+    return {d: np.array([rows[i] for i in at], float).reshape(len(at), d) for d, at in dims.items()}
+
+
+def _by_length(values: list) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        out.setdefault(len(v or ()), []).append(i)
+    return out
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of every row of x with every row of y, over the common length; 0 with a row that is zero there."""
+    n = min(x.shape[1], y.shape[1])
+    return _unit_rows64(x[:, :n]) @ _unit_rows64(y[:, :n]).T
+
+
+def _unit_rows64(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _block_nearest(sent, threshold: float):
+    """Of each face the best person of a block, the last of equals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sent.value  # in the order of ids
+        people = _by_length(vectors)
+        blocks = _vectors(vectors, people)
+        for batch in batches:
+            faces = batch.column(1).to_pylist()
+            score, who = np.full(len(faces), -np.inf), np.zeros(len(faces), np.int64)
+            for d, at in _by_length(faces).items():
+                x = np.array([faces[i] for i in at], float).reshape(len(at), d)
+                for k, y in blocks.items():
+                    s = _cosines(x, y)
+                    last = s.shape[1] - 1 - s[:, ::-1].argmax(1)
+                    best, own = s[np.arange(len(at)), last], np.array(ids)[people[k]][last]
+                    better = (best > score[at]) | ((best == score[at]) & (own > who[at]))
+                    score[at] = np.where(better, best, score[at])
+                    who[at] = np.where(better, own, who[at])
+            hit = np.flatnonzero(score >= threshold)
+            yield pa.record_batch([batch.column(0).take(pa.array(hit)), pa.array(who[hit]), pa.array(score[hit])], ["face_id", "person_id", "score"])
+
+    return run
+
+
+def nearest(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON, sent_bytes: int = SENT) -> DataFrame:
     """Of each face (id, embedding) the person (id, embedding) with the largest cosine of at least the threshold, the last of equals; null if none.
 
-    Every face meets every person: people are few and are sent to all tasks only while their number is at most broadcast_rows;
-    beyond that they are dealt in blocks, and each block's best is aggregated.
+    Every face meets every person as blocks of matrices: people are few. As many as sent_bytes hold are sent to all tasks at once; more come in blocks, one after
+    another, and each face keeps the best of its blocks.
     """
-    f = faces.select(F.col("id").alias("face_id"), F.col("embedding").alias("fe"))
-    p = people.filter("embedding is not null").select(F.col("id").alias("person_id"), F.col("embedding").alias("pe"))
-    n = p.count()
-    blocks = n // broadcast_rows + 1
-    p = p.withColumn("_b", F.pmod(F.xxhash64("person_id"), F.lit(blocks)))
-    f = f.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = f.join(F.broadcast(p) if blocks == 1 else p, "_b").withColumn("score", cosine("fe", "pe")).filter(F.col("score") >= threshold)
-    best = pairs.groupBy("face_id").agg(F.max_by("person_id", F.struct("score", "person_id")).alias("person_id"), F.max("score").alias("score"))
-    return faces.select(F.col("id").alias("face_id")).join(best, "face_id", "left")
+    f = faces.select(F.col("id").cast("bigint").alias("face_id"), F.col("embedding").alias("fe"))
+    p = people.filter("embedding is not null").select(F.col("id").cast("bigint").alias("person_id"), F.col("embedding").alias("pe"))
+    size = p.agg(F.coalesce(F.sum(F.size("pe") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
+    blocks, best = int(size // sent_bytes) + 1, None
+    for k in range(blocks):
+        own = p if blocks == 1 else p.filter(F.pmod(F.xxhash64("person_id"), F.lit(blocks)) == k)
+        rows = own.orderBy("person_id").toArrow()
+        sent = faces.sparkSession.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+        part = f.mapInArrow(_block_nearest(sent, threshold), "face_id bigint, person_id bigint, score double")
+        best = part if best is None else best.unionByName(part)
+    if blocks > 1:
+        best = best.groupBy("face_id").agg(F.max_by("person_id", F.struct("score", "person_id")).alias("person_id"), F.max("score").alias("score"))
+    return f.select("face_id").join(best, "face_id", "left")
 
 
 def best_name(faces: DataFrame, named: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
@@ -171,11 +229,42 @@ def rebuild(faces: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return out, people
 
 
-def attach_loose(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
-    """Faces without a person get the nearest one; those near nobody keep 0, for the next rebuild."""
+def attach_loose(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON) -> tuple[DataFrame, DataFrame]:
+    """Faces without a person, in the order of id, get the nearest one, with their name, or become a new person whom later faces may be near; faces and people with the new ones.
+
+    Who is new depends on all faces before, so the loose faces, and they alone, are folded in one task.
+    """
     known = people.filter("exemplar is not null").select("id", F.col("exemplar").alias("embedding"))
-    near = nearest(faces.filter("person_id = 0"), known, threshold).select(F.col("face_id").alias("id"), F.col("person_id").alias("_near"))
-    return faces.join(near, "id", "left").withColumn("person_id", F.when(F.col("person_id") == 0, F.coalesce("_near", F.lit(0))).otherwise(F.col("person_id"))).drop("_near")
+    loose = faces.filter("person_id = 0")
+    near = nearest(loose, known, threshold).select(F.col("face_id").alias("id"), F.col("person_id").alias("_near"), F.col("score").alias("_score"))
+    top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        leaders: list[tuple[int, np.ndarray]] = []
+        who, fresh = [], []
+        for e, person, score in zip(rows["embedding"], rows["_near"], rows["_score"], strict=True):
+            person, score = (int(person), score) if score == score and score is not None else (0, threshold)
+            for n, x in leaders:
+                c = _cos(e, x)
+                if c >= score:
+                    person, score = n, c
+            fresh.append(not person)
+            if not person:
+                person = top + len(leaders) + 1
+                leaders.append((person, np.asarray(e, float)))
+            who.append(person)
+        return pd.DataFrame({"id": rows["id"], "_who": who, "_fresh": fresh, "_embedding": rows["embedding"]})
+
+    folded = loose.select("id", "embedding").join(near, "id").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda r: fold(r.drop(columns="_all")), "id bigint, _who bigint, _fresh boolean, _embedding array<float>")
+    joined = faces.join(folded, "id", "left")
+    own = loose.select("id", F.coalesce("name", F.lit("")).alias("name"))
+    new = folded.filter("_fresh").join(own, "id").select(F.col("_who").alias("id"), "name", F.col("_embedding").alias("exemplar"))
+    everyone = people.select("id", "name", "exemplar").unionByName(new)
+    named = everyone.select(F.col("id").alias("_who"), F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).alias("_name"))
+    out = joined.join(named, "_who", "left")
+    name = F.when(F.col("_who").isNotNull(), F.coalesce("_name", "name", F.lit(""))).otherwise(F.col("name"))
+    return out.select(*(name.alias(c) if c == "name" else F.coalesce("_who", "person_id").alias(c) if c == "person_id" else F.col(c) for c in faces.columns)), everyone
 
 
 def recognized_labels(items: DataFrame) -> DataFrame:
@@ -201,6 +290,23 @@ def within(left: DataFrame, right: DataFrame, lms: str, rms: str, window_ms: int
     return l.join(r, "_bin").filter(F.abs(F.col(lms) - F.col(rms)) <= window_ms).drop("_bin")
 
 
+def counts_within(left: DataFrame, right: DataFrame, lms: str, rms: str, window_ms: int) -> DataFrame:
+    """Columns of left + around: how many rows of right are at most the window away in time.
+
+    Counted as the difference of two running counts, each the sum over whole bins before and a running count within a bin: no pair is made, so a burst of shots costs no more than its rows.
+    """
+    width = max(1, window_ms)
+    rows = left.withColumn("_row", F.monotonically_increasing_id())
+    asked = rows.select("_row", F.explode(F.array(F.struct((F.col(lms) + window_ms).alias("ms"), F.lit(1).alias("sign")), F.struct((F.col(lms) - window_ms - 1).alias("ms"), F.lit(-1).alias("sign")))).alias("q")).select("_row", "q.*")
+    points = right.select(F.lit(None).cast("bigint").alias("_row"), F.col(rms).alias("ms"), F.lit(0).alias("sign")).filter("ms is not null")
+    both = asked.unionByName(points).withColumn("_bin", F.floor(F.col("ms") / width))
+    whole = both.groupBy("_bin").agg(F.count(F.when(F.col("sign") == 0, 1)).alias("n"))
+    before = whole.select("_bin", (F.sum("n").over(Window.orderBy("_bin")) - F.col("n")).alias("_before"))  # a row for each bin, not for each shot
+    inside = F.count(F.when(F.col("sign") == 0, 1)).over(Window.partitionBy("_bin").orderBy("ms"))
+    upto = both.withColumn("_in", inside).filter("sign <> 0").join(before, "_bin").groupBy("_row").agg(F.sum(F.col("sign") * (F.col("_before") + F.col("_in"))).alias("around"))
+    return rows.join(upto, "_row", "left").withColumn("around", F.coalesce("around", F.lit(0))).drop("_row")
+
+
 def link_back_views(shots: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """path, person_id of shots with a body and no face that belong to whom the faces around them show.
 
@@ -210,7 +316,7 @@ def link_back_views(shots: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     blank = shots.filter((F.size("person_ids") == 0) & F.col("body")).select("path", "capture_ms")
     seen = within(blank, faced, "capture_ms", "face_ms", window_ms).groupBy("path", "person_id").agg(F.count("*").alias("n"))
     top = seen.groupBy("path").agg(F.max_by("person_id", F.struct("n", -F.col("person_id"))).alias("person_id"), F.max("n").alias("top"), F.sum("n").alias("total"), F.count("*").alias("persons"))
-    around = within(blank, blank.select(F.col("capture_ms").alias("other_ms")), "capture_ms", "other_ms", window_ms).groupBy("path").agg(F.count("*").alias("faceless"))
+    around = counts_within(blank, blank.select(F.col("capture_ms").alias("other_ms")), "capture_ms", "other_ms", window_ms).select("path", F.col("around").alias("faceless"))
     sure = (F.col("top") >= F.col("faceless")) & ((F.col("persons") == 1) | ((F.col("top") >= 2) & (F.col("top") / F.col("total") >= 0.8)))
     return top.join(around, "path").filter(sure).select("path", "person_id")
 

@@ -17,11 +17,12 @@ SKIPPED = {
 HEADER = ("组", "处理", "来源", "操作", "文件名", "拍摄时间", "大小", "路径", "内容哈希")
 
 
-def deletions(grouped: DataFrame, listing: DataFrame, rehash=None, max_distance: int | None = None, enabled: DataFrame | None = None) -> DataFrame:
+def deletions(grouped: DataFrame, listing: DataFrame, rehash=None, max_distance: int | None = None, enabled: DataFrame | None = None, refingerprint=None) -> DataFrame:
     """Every file to delete of enabled groups, with reason null if it may go: path, path_key, size, group_id, reason.
 
-    listing: path_key, size, mtime_ms of files as they are now. rehash: function of a path column, asked only for files whose time of change moved. Similar files (phash there) are
-    compared again with the group's distance.
+    listing: path_key, size, mtime_ms of files as they are now. rehash: function of a path column that reads the content anew; only files whose time of change moved are
+    read, and without it they stay. refingerprint: the same for pictures; files that are alike but not equal, and their kept ones, get new fingerprints and are compared within
+    max_distance; without it they stay.
     """
     own = Window.partitionBy("group_id")
     rows = grouped if enabled is None else grouped.join(enabled.filter("enabled").select("group_id"), "group_id", "left_semi")
@@ -30,22 +31,47 @@ def deletions(grouped: DataFrame, listing: DataFrame, rehash=None, max_distance:
     is_keep = F.col("role") == "keep"
     of_keep = lambda c: F.max(F.when(is_keep, F.col(c))).over(own)
     rows = rows.withColumn("_keepers", F.count(F.when(is_keep, 1)).over(own))
-    for c in ("path_key", "size", "now_size", "hash") + (("phash",) if "phash" in grouped.columns else ()):
+    for c in ("path", "path_key", "size", "now_size", "hash"):
         rows = rows.withColumn(f"_keep_{c}", of_keep(c))
     same = F.coalesce((F.col("hash") == F.col("_keep_hash")), F.lit(False))
     moved = (F.abs(F.col("now_mtime") - F.col("mtime_ms")) > 2) & same
-    again = F.when(moved, rehash("path")) if rehash else F.lit(None).cast("string")
-    rows = rows.filter("role = 'delete'").withColumn("_again", again)
-    near = F.bit_count(F.col("_keep_phash").bitwiseXOR(F.col("phash"))) <= (max_distance if max_distance is not None else -1) if "phash" in grouped.columns else F.lit(False)
+    rows = rows.filter("role = 'delete'")
+    read = lambda paths, f, out: paths.dropDuplicates(["path"]).repartition("path").select(F.col("path").alias(f"_of{out}"), f("path").alias(out))
+    if rehash:
+        rows = rows.join(read(rows.filter(moved).select("path"), rehash, "_again"), F.col("path") == F.col("_of_again"), "left")
+    else:
+        rows = rows.withColumn("_again", F.lit(None).cast("string"))
+    near = F.lit(False)
+    if refingerprint and max_distance is not None:
+        alike = rows.filter((F.col("kind") == "similar") & ~same & F.col("_keep_path").isNotNull())
+        new = read(alike.select("path").union(alike.select("_keep_path")), refingerprint, "_print")
+        rows = rows.join(new, F.col("path") == F.col("_of_print"), "left").drop("_of_print")
+        rows = rows.join(new.select("_of_print", F.col("_print").alias("_keep_print")), F.col("_keep_path") == F.col("_of_print"), "left")
+        near = F.bit_count(F.col("_keep_print").bitwiseXOR(F.col("_print"))) <= max_distance
     similar = (F.col("kind") == "similar") & F.lit(max_distance is not None)
     reason = (
         F.when(F.col("_keepers") != 1, SKIPPED["keepers"]).when(F.col("_keep_now_size").isNull(), SKIPPED["keep_gone"]).when(F.col("_keep_now_size") != F.col("_keep_size"), SKIPPED["keep_changed"])
         .when(F.col("path_key") == F.col("_keep_path_key"), SKIPPED["is_kept"]).when(F.col("now_size").isNull(), SKIPPED["gone"]).when(F.col("now_size") != F.col("size"), SKIPPED["size"])
-        .when(moved & F.lit(rehash is not None) & (F.coalesce("_again", F.lit("")) != F.col("_keep_hash")), SKIPPED["content"]).when(same, None).when(~similar, SKIPPED["unlike"]).when(~F.coalesce(near, F.lit(False)), SKIPPED["picture"])
+        .when(moved & (F.coalesce("_again", F.lit("")) != F.col("_keep_hash")), SKIPPED["content"]).when(same, None).when(~similar, SKIPPED["unlike"]).when(~F.coalesce(near, F.lit(False)), SKIPPED["picture"])
     )
     return rows.select("path", "path_key", "size", "group_id", reason.alias("reason"))
 
 
+def with_sidecars(plan: DataFrame, listing: DataFrame) -> DataFrame:
+    """Columns + sidecars: of the files that may go, those beside them that go along."""
+    from ..sources.files import sidecars
+
+    go = plan.filter("reason is null").select("path").distinct()
+    return plan.join(sidecars(go, listing), "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.array().cast("array<string>")))
+
+
+def enabled_totals(grouped: DataFrame) -> DataFrame:
+    """One row: of enabled groups (enabled: a column) their number, the files to delete and the bytes to gain."""
+    on = grouped.filter("enabled")
+    gone = F.when(F.col("role") == "delete", F.col("size"))
+    return on.agg(F.countDistinct("group_id").alias("groups"), F.count(gone).alias("files"), F.coalesce(F.sum(gone), F.lit(0)).alias("bytes"))
+
+
 def freed_bytes(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("files"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("size"))), F.lit(0)).alias("freed_bytes"))
 

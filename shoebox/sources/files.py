@@ -140,7 +140,7 @@ def pruned(files: DataFrame, roots: list[str], excluded: list[str] | None = None
     own = tree.groupBy("_dir").agg(F.bool_or(~is_photo_related("name")).alias("other"))
     dirs = dirs.join(own, dirs.dir == own._dir, "left")
     soft = is_software("dir") if mixed else F.lit(False)
-    whole = (soft & (F.col("dir") != F.col("_root"))) | (soft & (F.col("dir") == F.col("_root"))) | N.is_excluded("dir", excluded or [])
+    whole = soft | N.is_excluded("dir", excluded or [])
     if mixed:
         whole = whole | (F.coalesce("other", F.lit(False)) & below_first_level("dir"))
     bad = dirs.filter(whole).select(F.col("dir").alias("bad")).distinct()
@@ -156,7 +156,8 @@ def media(files: DataFrame, extensions: tuple[str, ...], empty: bool = False) ->
     by_path = Window.partitionBy("path_key").orderBy("path")
     linked = Window.partitionBy("dev", "ino", F.when(F.coalesce("nlink", F.lit(1)) > 1, F.lit("")).otherwise(F.col("path_key"))).orderBy("path")
     once = found.withColumn("_n", F.row_number().over(by_path)).filter("_n = 1").withColumn("_n", F.row_number().over(linked)).filter("_n = 1").drop("_n")
-    return once.withColumn("seq", F.xxhash64("path_key"))
+    # ranges of paths in order, each sorted: the id that grows along them is an order of all
+    return once.repartitionByRange("path_key").sortWithinPartitions("path_key").withColumn("seq", F.monotonically_increasing_id())
 
 
 def _over_paths(name: str, kind: str):

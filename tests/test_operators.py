@@ -190,7 +190,7 @@ def test_nearest_and_clusters(spark):
     p = spark.createDataFrame([(7, [1.0, 0.1]), (8, [2.0, 0.2]), (9, None)], "id bigint, embedding array<float>")
     got = {r.face_id: r.person_id for r in people.nearest(f, p).collect()}
     assert got == {1: 8, 2: None}
-    assert {r.face_id: r.person_id for r in people.nearest(f, p, broadcast_rows=1).collect()} == got  # dealt in blocks
+    assert {r.face_id: r.person_id for r in people.nearest(f, p, sent_bytes=20).collect()} == got  # dealt in blocks
     r = np.random.default_rng(3)
     a, b = r.normal(size=64), r.normal(size=64)
     v = np.stack([a + r.normal(size=64) * 0.1 for _ in range(12)] + [b + r.normal(size=64) * 0.1 for _ in range(9)]).astype(np.float32)
@@ -241,4 +241,48 @@ def test_recognised_faces(spark):
     faces, labels = people.recognized(items, marks(spark).people.filter("id = 1"))
     assert sorted((r.ord, r.person_id) for r in faces.collect()) == [(0, 1), (2, 0)] and labels.count() == 1
     loose = faces.withColumn("id", F.col("ord"))
-    assert sorted(r.person_id for r in people.attach_loose(loose, marks(spark).people.filter("id = 2")).collect()) == [1, 2]
+    known = marks(spark).people.filter("id = 2").select("id", "name", F.lit(None).cast("array<float>").alias("exemplar"))
+    rows = [(5, "z", [1.0, 0.0], None, 0), (6, "z", [0.0, 1.0], "Bo", 0), (7, "z", [0.9, 0.1], "", 0), (8, "z", [1.0, 0.0], "Ann", 1)]
+    found, everyone = people.attach_loose(spark.createDataFrame(rows, library.FACES), known)
+    assert {r.id: (r.person_id, r.name) for r in found.collect()} == {5: (3, ""), 6: (4, "Bo"), 7: (3, ""), 8: (1, "Ann")}
+    assert {r.id: r.name for r in everyone.filter("id > 2").collect()} == {3: "", 4: "Bo"}
+    first = marks(spark).people.filter("exemplar is not null")
+    assert sorted(r.person_id for r in people.attach_loose(loose.withColumn("name", F.lit("")), first)[0].collect())[0] == 1
+
+
+def test_counts_within_match_pairs(spark):
+    r = np.random.default_rng(5)
+    left, right = r.integers(-50, 200, 80).tolist(), r.integers(-50, 200, 120).tolist()
+    for w in (0, 7, 1000):
+        out = people.counts_within(spark.createDataFrame([(x,) for x in left], "t bigint"), spark.createDataFrame([(x,) for x in right], "u bigint"), "t", "u", w)
+        assert sorted((x.t, x.around) for x in out.collect()) == sorted((x, sum(abs(x - y) <= w for y in right)) for x in left)
+
+
+def test_deletions_read_again(spark):
+    media = spark.createDataFrame([file(1, "/a/x.jpg"), file(2, "/b/x.jpg"), file(3, "/c/x.jpg")], FILE)
+    g = dedupe.scan(media)
+    kept = g.filter("role = 'keep'").first()
+    now = media.select("path_key", "size", F.when(F.col("path") == "/c/x.jpg", F.col("mtime_ms") + 9).otherwise(F.col("mtime_ms")).alias("mtime_ms"))
+    reasons = lambda **o: {r.path: r.reason for r in plan.deletions(g, now, **o).collect()}
+    assert reasons() == {"/b/x.jpg": None, "/c/x.jpg": plan.SKIPPED["content"]}  # a moved file that nothing can read anew stays
+    assert reasons(rehash=lambda p: F.lit("other")) == reasons() and reasons(rehash=lambda p: F.lit(kept["hash"]))["/c/x.jpg"] is None
+    alike = g.withColumn("kind", F.lit("similar")).withColumn("hash", F.when(F.col("role") == "keep", F.col("hash")).otherwise(F.lit("differs")))
+    same = media.select("path_key", "size", "mtime_ms")
+    prints = lambda p: F.when(F.col(p) == "/b/x.jpg", F.lit(0b111)).otherwise(F.lit(0b1)).cast("bigint")
+    see = lambda **o: {r.path: r.reason for r in plan.deletions(alike, same, **o).collect()}
+    assert see(max_distance=1) == {"/b/x.jpg": plan.SKIPPED["picture"], "/c/x.jpg": plan.SKIPPED["picture"]}
+    assert see(max_distance=1, refingerprint=prints) == {"/b/x.jpg": plan.SKIPPED["picture"], "/c/x.jpg": None}
+    assert plan.with_sidecars(plan.deletions(g, same), spark.createDataFrame([("/B/X.xmp",), ("/b/y.xmp",)], "path string")).filter("path = '/b/x.jpg'").first()["sidecars"] == ["/B/X.xmp"]
+
+
+def test_library_look_ups(spark):
+    photos = spark.createDataFrame([("/p/A.jpg", "photo", 3), ("/p/a.jpg", "photo", 4), ("/v", "video", 10)], "path string, kind string, size bigint")
+    faces = spark.createDataFrame([(9, "/p/a.jpg", "x"), (2, "/p/a.jpg", ""), (3, "/q", "y")], "id bigint, path string, name string")
+    assert library.photo(photos, "/p/a.jpg").first()["size"] == 4 and library.photo(photos, "/P/a.jpg").count() == 0
+    assert [(r.id, r.name) for r in library.photo_faces(faces, "/p/a.jpg").collect()] == [(2, ""), (9, "x")]
+    meta = library.put_meta(spark.createDataFrame([], library.META), "summary", {"added": 1})
+    assert tuple(library.state(photos, meta).first()) == (3, 2, 1, 7, 10, '{"added": 1}')
+    assert library.state(photos, library.put_meta(meta, "summary", "{broken")).first()["summary"] is None
+    twice = spark.createDataFrame([("/n", 1, 1), ("/n", 2, 0)], "path string, size bigint, place int")
+    one = library.upsert(photos.withColumn("rating", F.lit(0)).withColumn("recognized", F.lit(0)).withColumn("origin", F.lit("")).withColumn("scan_id", F.lit(0)), twice.withColumn("kind", F.lit("photo")).withColumn("origin", F.lit("")), 3, "place")
+    assert one.filter("path = '/n'").first()["size"] == 1
