@@ -46,11 +46,6 @@ def exact_duplicate_groups(spark, sf_dir):
     return docs.groupBy("chars", "hash", "lang").agg(F.count("*").alias("files"), F.min("doc_id").alias("first_id"), ((F.count("*") - 1) * F.first("size")).alias("wasted")).filter("files >= 2")
 
 
-@query(f"WITH {FILES}, k AS (SELECT doc_id, count(*) OVER (PARTITION BY size, CASE lower(ext) WHEN '.jpeg' THEN '.jpg' ELSE lower(ext) END, {KEY}) AS n FROM files) SELECT doc_id FROM k WHERE n >= 2")
-def duplicate_candidates(spark, sf_dir):
-    return dedupe.pregroup(X.files(spark, sf_dir)).select("doc_id")
-
-
 @query(f"WITH {GROUPED} SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY size, hash {KEEP}) = 1 THEN 'keep' ELSE 'delete' END AS role FROM grouped")
 def keep_order(spark, sf_dir):
     return dedupe.with_roles(grouped(spark, sf_dir)).select("doc_id", "role")
@@ -235,13 +230,6 @@ def anchored_buckets(spark, sf_dir):
     return b.groupBy("user_id", "bucket").agg(F.min(F.floor(F.col("capture_ms") / 1000)).alias("start_s"), F.count("*").alias("n")).drop("bucket")
 
 
-@query(f"WITH {EVENTS} SELECT event_id, count(*) OVER (ORDER BY capture_ms RANGE BETWEEN 600000 PRECEDING AND 600000 FOLLOWING) AS around FROM shots")
-def time_window_density(spark, sf_dir):
-    e = X.events(spark, sf_dir).select("event_id", "capture_ms")
-    pairs = people.within(e, e.select(F.col("capture_ms").alias("other_ms")), "capture_ms", "other_ms", 600_000)
-    return pairs.groupBy("event_id").agg(F.count("*").alias("around"))
-
-
 @query(f"WITH {EVENTS} SELECT a.path, b.user_id AS person_id, count(*) AS n FROM shots a JOIN shots b ON a.event_type = 'error' AND b.event_type <> 'error' AND abs(a.capture_ms - b.capture_ms) <= 600000 GROUP BY a.path, b.user_id")
 def interval_join_counts(spark, sf_dir):
     s = X.shots(spark, sf_dir)
@@ -281,7 +269,7 @@ def hamming_pairs(spark, sf_dir):
 
 @query()
 def phash_clusters(spark, sf_dir):
-    b = X.fingerprints(spark, sf_dir).withColumn("bucket", F.lit("all")).select("path", "phash", "bucket")
+    b = X.fingerprints(spark, sf_dir).withColumn("bucket", F.expr("CAST(CAST(path AS BIGINT) % 97 AS STRING)")).select("path", "phash", "bucket")
     return dedupe.phash_clusters(b, 22)
 
 
@@ -399,20 +387,18 @@ def duplicate_scan(spark, sf_dir):
     return dedupe.scan(media, o).select("group_id", "kind", "doc_id", "role", "origin", "wasted", "distance")
 
 
-@query()
-def main_subjects(spark, sf_dir):
-    e = X.table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("path"), "embedding", (F.col("vec_id") % 17).cast("double").alias("area"), F.col("vec_id").alias("ord"))
-    return people.main_subjects(e).select("path", "area", "ord")
-
-
 @query(f"WITH {FILES} SELECT doc_id, CASE WHEN size * 5 < 1000 THEN '' WHEN size * 5 >= 1000000 THEN printf('%.1f Mbps', size * 5 / 1000000) ELSE CAST(CAST(floor(size * 5 / 1000 + 0.5) AS BIGINT) AS VARCHAR) || ' kbps' END AS bitrate FROM files")
 def bitrate_format(spark, sf_dir):
     return X.files(spark, sf_dir).select("doc_id", formats.bitrate_text(formats.bitrate(F.col("size") * 5, F.lit(8))).alias("bitrate"))
 
 
 def queries() -> dict[str, Query]:
+    from . import more  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(SQL)
