@@ -8,8 +8,8 @@ within the band that the threshold allows decides.
 Equal texts count once. In a bucket of texts with equal sketches each text is compared with one centre, never with all
 others: all that are similar to the centre are linked to it. Of those that are not, one for each class that has shown so far goes to
 a next round with more centres, until no bucket has two such texts. Similarity is not transitive, so this leaves pairs of a bucket untested: then all texts of a bucket
-that no chain of links joins yet are compared, with a growing part of each other class, until a link is found or the whole class is tested. Nothing is capped, and a large group
-of near copies takes about one comparison for each text. Links are closed to classes by connected components.
+that no chain of links joins yet are compared, with a growing part of each other class, until a link is found or the whole class is tested; only those are left out that the
+triangle inequality rules out by their edits to the bucket's first centre. Nothing is capped, and a large group of near copies takes about one comparison for each text. Links are closed to classes by connected components.
 
 Cases: null and empty texts are equal texts of one class; texts of fewer words than a k-mer are one k-mer; texts without
 any word have only equal texts; a very long text is sketched whole, alone in its chunk, and aligned in bands that widen only as far as needed; rows with the same id and text are one document;
@@ -134,21 +134,33 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(np.bincount(number[: len(a)], minlength=top), np.bincount(number[len(a) :], minlength=top)).sum())
 
 
-def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two word sequences if it is at most `most`: first in a narrow band, then in wider ones.
+def compared(a: np.ndarray, b: np.ndarray, most: int) -> tuple[bool, int]:
+    """Whether two word sequences have an edit distance of at most `most`, and the distance; if not, a number that it is not below.
 
-    An edit changes one word and two pairs of words: sequences that share too few of either are not aligned.
+    An edit changes one word and two pairs of words: sequences that share too few of either are not aligned. Others are aligned first in a narrow band, then in wider ones,
+    so that few edits take little whatever the length; a distance up to twice the limit is told exactly.
     """
     a, b = a.astype(np.int64), b.astype(np.int64)
-    if max(len(a), len(b)) - _shared(a, b) > most:
-        return None
-    if max(len(a), len(b)) - 1 - _shared(a[:-1] << 32 | a[1:], b[:-1] << 32 | b[1:]) > 2 * most:
-        return None
-    found, width = _banded(a, b, min(most, NARROW)), NARROW
-    while found is None and width < most:  # wider bands, so that few edits take little whatever the length
-        width = min(max(width, 1) * 8, most)
+    long = max(len(a), len(b))
+    low = long - _shared(a, b)
+    if low <= 2 * most and long:
+        low = max(low, -(-(long - 1 - _shared(a[:-1] << 32 | a[1:], b[:-1] << 32 | b[1:])) // 2))
+    if low > 2 * most:
+        return False, low
+    width, last = min(most, NARROW), 2 * most
+    found = _banded(a, b, width) if low <= width else None
+    while found is None and width < last:
+        width = min(max(width, 1) * 8, last)
         found = _columns(a.tolist(), b.tolist(), width)
-    return found
+    if found is None:
+        return False, max(low, 2 * most + 1)
+    return found <= most, found
+
+
+def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance of two word sequences if it is at most `most`."""
+    near, distance = compared(a, b, most)
+    return distance if near else None
 
 
 def _columns(a: list[int], b: list[int], most: int) -> int | None:
@@ -220,22 +232,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(o: Options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            found = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                ok.append(aligned(a, b, int((1 - o.threshold) * max(len(a), len(b)) + 1e-9)) is not None)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "ok"])
+                found.append(compared(a, b, int((1 - o.threshold) * max(len(a), len(b)) + 1e-9)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.bool_()), pa.array([n for _, n in found], pa.int64())], ["a", "b", "ok", "distance"])
 
     return run
 
 
 def _tested(pairs: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
-    """a, b, ok of each pair: whether the two texts are similar."""
+    """a, b, ok, distance of each pair: whether the two texts are similar, and how many edits they are apart, at least if they are not."""
     used = C.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     words = C.written(rows.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_tokens, "node long, words binary"))
     left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    return C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean"))
+    return C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean, distance long"))
 
 
 #: Members of a class that a text of another class in the bucket meets in the first round, and those of a bucket that one task pairs.
@@ -243,9 +255,10 @@ PART, DEALT = 16, 2048
 
 
 def _closed(every: DataFrame, tested: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
-    """Tested pairs, until texts of a bucket are in one class or have been compared; every: band, key, node, rank, n_words of all crowded buckets.
+    """Tested pairs, until texts of a bucket are in one class, have been compared, or cannot be similar; every: band, key, node, rank, n_words, low, up of all crowded buckets.
 
-    Texts of a bucket's largest class need not meet each other, so the others meet all: about one comparison for each text outside that class and member of another.
+    low and up bound the edits between a text and its bucket's first centre. Edit distances obey the triangle inequality: two texts whose distances to the centre differ by more edits than
+    the threshold allows are not compared. So a text far from a large group of near copies meets none of them. Texts of a bucket's largest class need not meet each other.
     """
     part = PART
     while True:
@@ -260,8 +273,10 @@ def _closed(every: DataFrame, tested: DataFrame, rows: DataFrame, o: Options) ->
         own = C.written(own.join(top.drop("most"), ["band", "key"]))
         left = own.filter("label != top").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
         right = own.join(size, ["band", "key", "label"]).filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part)) == 0)
-        right = right.select("band", "key", F.col("node").alias("node2"), F.col("rank").alias("rank2"), F.col("n_words").alias("words2"), F.col("label").alias("label2"), F.pmod(F.xxhash64("node", "band"), F.col("deals")).cast("int").alias("deal"))
+        right = right.select("band", "key", F.col("node").alias("node2"), F.col("rank").alias("rank2"), F.col("n_words").alias("words2"), F.col("low").alias("low2"), F.col("up").alias("up2"), F.col("label").alias("label2"), F.pmod(F.xxhash64("node", "band"), F.col("deals")).cast("int").alias("deal"))
         close = F.least("n_words", "words2") >= o.threshold * F.greatest("n_words", "words2") - 1e-6
+        reach = F.lit(1 - o.threshold) * F.greatest("n_words", "words2") + 1e-6
+        close = close & (F.col("low") - F.col("up2") <= reach) & (F.col("low2") - F.col("up") <= reach)
         met = left.join(right, ["band", "key", "deal"]).filter((F.col("label") != F.col("label2")) & close)
         later = F.expr("struct(rank, node) > struct(rank2, node2)")
         pairs = met.select(F.when(later, F.col("node")).otherwise(F.col("node2")).alias("a"), F.when(later, F.col("node2")).otherwise(F.col("node")).alias("b")).distinct()
@@ -279,7 +294,7 @@ def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
     crowd = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
     centre = C.written(crowd.select("band", "key", "c.*").toDF("band", "key", "c_rank", "centre", "c_words"))
     members, tested, centres = C.written(members.join(centre.select("band", "key"), ["band", "key"])), None, 1
-    every, labels = members, None
+    every, labels = None, None
     while True:
         close = F.least("n_words", "c_words") >= o.threshold * F.greatest("n_words", "c_words") - 1e-6
         met = C.written(members.join(centre, ["band", "key"]).filter(F.expr("struct(rank, node) > struct(c_rank, centre)") & close))
@@ -287,6 +302,12 @@ def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
         pairs = C.written(near if tested is None else near.join(tested, ["a", "b"], "left_anti"))
         new = _tested(pairs, rows, o)
         tested = new if tested is None else tested.unionByName(new)
+        if every is None:  # what the first centre of each bucket tells of its texts
+            of = members.join(centre, ["band", "key"]).join(new.select(F.col("a").alias("node"), F.col("b").alias("centre"), "ok", "distance"), ["node", "centre"], "left")
+            own = F.col("node") == F.col("centre")
+            low = F.when(own, 0).otherwise(F.coalesce("distance", F.abs(F.col("n_words") - F.col("c_words"))))
+            up = F.when(own, 0).when(F.col("ok"), F.col("distance")).otherwise(F.greatest("n_words", "c_words"))
+            every = C.written(of.select("band", "key", "node", "rank", "n_words", low.cast("long").alias("low"), up.cast("long").alias("up")))
         # those that are similar to no centre of their bucket, centres apart
         joined = C.written(met.join(tested.filter("ok").select(F.col("a").alias("node"), F.col("b").alias("centre")), ["node", "centre"]).select("band", "key", "node", "c_rank", "centre"))
         done = joined.select("band", "key", "node").unionByName(centre.select("band", "key", F.col("centre").alias("node")))
