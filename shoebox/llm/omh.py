@@ -138,14 +138,14 @@ def compared(a: np.ndarray, b: np.ndarray, most: int) -> tuple[bool, int]:
     """Whether two word sequences have an edit distance of at most `most`, and the distance; if not, a number that it is not below.
 
     An edit changes one word and two pairs of words: sequences that share too few of either are not aligned. Others are aligned first in a narrow band, then in wider ones,
-    so that few edits take little whatever the length; a distance up to twice the limit is told exactly.
+    so that few edits take little whatever the length; of those a distance up to twice the limit is told exactly.
     """
     a, b = a.astype(np.int64), b.astype(np.int64)
     long = max(len(a), len(b))
     low = long - _shared(a, b)
-    if low <= 2 * most and long:
+    if low <= most and long:
         low = max(low, -(-(long - 1 - _shared(a[:-1] << 32 | a[1:], b[:-1] << 32 | b[1:])) // 2))
-    if low > 2 * most:
+    if low > most:
         return False, low
     width, last = min(most, NARROW), 2 * most
     found = _banded(a, b, width) if low <= width else None
@@ -180,6 +180,8 @@ def _columns(a: list[int], b: list[int], most: int) -> int | None:
         bits, at = places.get(x, (0, 0))
         places[x] = bits | 1 << (i + 1 + most), 0
     for j, x in enumerate(b, 1):
+        if not j % width:  # forget words that the band has passed
+            places = {w: (bits >> (j - 1 - at), j - 1) for w, (bits, at) in places.items() if bits >> (j - 1 - at)}
         if (i := j + most - 1) < n:
             bits, at = places.get(a[i], (0, j))
             places[a[i]] = bits >> (j - at) | 1 << (2 * most), j
