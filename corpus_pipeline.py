@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before has kept, and its decisions take effect: toxic documents and documents without a language go,
 one document of each class of near-duplicates stays, repeated passages are cut out, and what is left is packed.
+
+Cases: null texts are empty; an empty text is not toxic, has no language and goes in the second stage; of repeated rows one stays after the third stage; null ids are kept like others; an empty table gives an empty one
+in each stage. Without labels of both classes, or without any language to learn from, there is nothing to judge by and a stage keeps all rows. Only doc_id, text, lang and n_chars are read; other columns are passed on, whatever
+their names, but those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: Models and tokenizers are beyond SQL; tests hold each stage against a brute-force version.
+#: Models and tokenizers are beyond SQL; tests hold the operators of the stages against brute force on small tables, and the stages together to their columns and rows.
 ORACLE_SQL = None
 
 
