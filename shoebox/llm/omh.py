@@ -243,10 +243,8 @@ def _verify(o: Options):
     return run
 
 
-def _tested(pairs: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
-    """a, b, ok, distance of each pair: whether the two texts are similar, and how many edits they are apart, at least if they are not."""
-    used = C.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    words = C.written(rows.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_tokens, "node long, words binary"))
+def _tested(pairs: DataFrame, words: DataFrame, o: Options) -> DataFrame:
+    """a, b, ok, distance of each pair: whether the two texts are similar, and how many edits they are apart, at least if they are not; words: node and its words' hashes."""
     left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
     return C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean, distance long"))
@@ -256,22 +254,27 @@ def _tested(pairs: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
 PART, DEALT = 16, 2048
 
 
-def _closed(every: DataFrame, tested: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
-    """Tested pairs, until texts of a bucket are in one class, have been compared, or cannot be similar; every: band, key, node, rank, n_words, low, up of all crowded buckets.
+def _closed(every: DataFrame, tested: DataFrame, words: DataFrame, o: Options) -> DataFrame:
+    """node, label of all linked texts, once those of a bucket are in one class, have been compared, or cannot be similar; every: band, key, node, rank, n_words, low, up of all crowded buckets.
 
     low and up bound the edits between a text and its bucket's first centre. Edit distances obey the triangle inequality: two texts whose distances to the centre differ by more edits than
     the threshold allows are not compared. So a text far from a large group of near copies meets none of them. Texts of a bucket's largest class need not meet each other.
+    A first round compares with a part of each other class, which joins most of what belongs together; a second one with whole classes. Classes so far are kept as stars.
     """
-    part = PART
+    part, most, links = 0, 1, tested.filter("ok").select("a", "b")
     while True:
-        label = components(tested.filter("ok").select("a", "b"))
+        label = components(links)
+        if most <= part:
+            return label
+        star = label.filter("node != label").toDF("a", "b")
         own = every.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         size = C.written(own.groupBy("band", "key", "label").agg(F.count("*").alias("size")))
         top = size.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
         top = C.written(top.select("band", "key", F.col("top.label").alias("top"), F.col("top.size").alias("most"), F.ceil(F.col("n") / DEALT).cast("int").alias("deals")))
         most = top.agg(F.max("most")).first()[0]
         if most is None:
-            return tested
+            return label
+        part = max(most, PART) if part else PART
         own = C.written(own.join(top.drop("most"), ["band", "key"]))
         left = own.filter("label != top").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
         right = own.join(size, ["band", "key", "label"]).filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part)) == 0)
@@ -282,27 +285,26 @@ def _closed(every: DataFrame, tested: DataFrame, rows: DataFrame, o: Options) ->
         met = left.join(right, ["band", "key", "deal"]).filter((F.col("label") != F.col("label2")) & close)
         later = F.expr("struct(rank, node) > struct(rank2, node2)")
         pairs = met.select(F.when(later, F.col("node")).otherwise(F.col("node2")).alias("a"), F.when(later, F.col("node2")).otherwise(F.col("node")).alias("b")).distinct()
-        new = _tested(C.written(pairs.join(tested, ["a", "b"], "left_anti")), rows, o)
-        tested = tested.unionByName(new)
-        if most <= part:
-            return tested
-        part *= 16
+        new = _tested(C.written(pairs.join(tested, ["a", "b"], "left_anti")), words, o)
+        tested, links = tested.unionByName(new), star.unionByName(new.filter("ok").select("a", "b"))
 
 
-def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
-    """Verified links (a, b); nodes: node, rank, n_words, keys; rows: node, text."""
+def _linked(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
+    """node, label of all texts that verified links join; nodes: node, rank, n_words, keys; rows: node, text."""
     members = nodes.filter("n_words > 0").select("node", "rank", "n_words", F.posexplode(_bands("keys", o)).alias("band", "key"))
     order = F.struct("rank", "node", "n_words")
     crowd = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
     centre = C.written(crowd.select("band", "key", "c.*").toDF("band", "key", "c_rank", "centre", "c_words"))
     members, tested, centres = C.written(members.join(centre.select("band", "key"), ["band", "key"])), None, 1
+    used = members.select("node").distinct()
+    words = C.written(rows.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_tokens, "node long, words binary"))
     every, labels = None, None
     while True:
         close = F.least("n_words", "c_words") >= o.threshold * F.greatest("n_words", "c_words") - 1e-6
         met = C.written(members.join(centre, ["band", "key"]).filter(F.expr("struct(rank, node) > struct(c_rank, centre)") & close))
         near = met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
         pairs = C.written(near if tested is None else near.join(tested, ["a", "b"], "left_anti"))
-        new = _tested(pairs, rows, o)
+        new = _tested(pairs, words, o)
         tested = new if tested is None else tested.unionByName(new)
         if every is None:  # what the first centre of each bucket tells of its texts
             of = members.join(centre, ["band", "key"]).join(new.select(F.col("a").alias("node"), F.col("b").alias("centre"), "ok", "distance"), ["node", "centre"], "left")
@@ -324,7 +326,7 @@ def _links(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
         far = C.written(far.groupBy("band", "key", "label").agg(F.min(F.struct("rank", "node", "n_words")).alias("m")).select("band", "key", "m.*"))
         crowd = C.written(far.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key"))
         if not crowd.limit(1).count():
-            return _closed(every, tested, rows, o).filter("ok").select("a", "b")
+            return _closed(every, tested, words, o)
         members, centres = C.written(far.join(crowd, ["band", "key"])), centres * 16
         first = F.row_number().over(Window.partitionBy("band", "key").orderBy("rank", "node"))
         centre = C.written(members.withColumn("first", first).filter(F.col("first") <= centres).select("band", "key", F.col("rank").alias("c_rank"), F.col("node").alias("centre"), F.col("n_words").alias("c_words")))
@@ -356,7 +358,7 @@ def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
             break
         salt += 1
     text = rows.select(F.xxhash64(F.lit(salt), "text").alias("node"), "text")
-    label = components(_links(nodes.select("node", "rank", "n_words", "keys"), text, o))
+    label = _linked(nodes.select("node", "rank", "n_words", "keys"), text, o)
     own = C.written(nodes.join(label, "node", "left").select("node", "n", "rank", "row_key", F.coalesce("label", "node").alias("label")))
     whole = C.written(own.groupBy("label").agg(F.min(F.struct("rank", "row_key")).alias("first"), F.sum("n").alias("class_size")))
     found = C.written(own.join(whole, "label").select(F.col("node").alias("d1"), "first", "class_size"))
