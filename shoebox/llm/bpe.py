@@ -9,7 +9,8 @@ Splitting: texts whose characters all are in PLAIN, a range for which the regex
 character) to split as the library does, are split by its pattern; all other texts by the library itself. Special tokens in a text are found
 first, as the library does.
 
-Cases: null and empty texts have no ids and decode to an empty text; null ids are passed on; repeated rows are each encoded; an empty table gives an empty one.
+Cases: null and empty texts have no ids and decode to an empty text; null ids are passed on; repeated rows are each encoded; a very long text is encoded whole, alone in its block; an empty
+table gives an empty one; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ documents gets the part of the automaton that its texts can reach, builds it, an
 pairs are known by 64-bit hashes.
 
 Cases: null and empty texts are the end token alone; null ids are scored but not learned from, their held_out is null; repeated rows are each
-learned from and scored; without training documents, N and V are 0 and every token has the probability of an unknown word, 1.
+learned from and scored; without training documents, N and V are 0 and every token has the probability of an unknown word, 1; a very long text is read whole, alone in its block; an empty
+table gives an empty one; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def _count(requests: pd.DataFrame) -> list[bytes]:
     word = np.zeros(len(every), bool)
     word[inverse[(both & 1) == 1]] = True
     head = np.array([(total[word] > 0).sum(), total[word].sum()], np.int64).tobytes()
-    counts = total.astype(np.uint32)[inverse]
+    counts = total.astype(np.uint64)[inverse]  # of the whole corpus, so beyond 32 bits
     out, at = [], 0
     for k in keys:
         out.append((head if not out else bytes(16)) + X.squeeze(counts[at : at + len(k)]))
@@ -147,7 +148,7 @@ def _traverse(o: Options, edges: np.ndarray, n: int, v: int):
             return pd.DataFrame(columns=names)
         b = _Block(block["seq"], block["words"], block["sizes"], block["mods"])
         keys, _, _ = b.keys()
-        counts = np.concatenate([X.unsqueeze(answers[k][16:], np.uint32) for k in range(len(edges)) if k in answers]) if answers else np.zeros(0, np.uint32)
+        counts = np.concatenate([X.unsqueeze(answers[k][16:], np.uint64) for k in range(len(edges)) if k in answers]) if answers else np.zeros(0, np.uint64)
         # the part of the automaton that this block can reach: states are words
         seen = counts[np.searchsorted(keys, b.words)].astype(float)
         root = (seen + o.add) / (n + o.add * (v + 1))  # the root's arcs

@@ -10,7 +10,8 @@ rather open are emptied; their pieces meet those of Options.merge other shards i
 again by sums of squares, and what then stays open is placed by best fit, the longest first. All groups have a bounded size whatever the
 input; long documents spread over shards.
 
-Cases: null and empty texts have the end token alone; rows with equal or null ids are packed each on its own; an empty table gives an empty one.
+Cases: null and empty texts have the end token alone; rows with equal or null ids are packed each on its own; a very long text is cut to pieces of a sequence; an empty table gives an empty one; only the id
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
