@@ -8,7 +8,7 @@ within the band that the threshold allows decides.
 Equal texts count once. In a bucket of texts with equal sketches each text is compared with one centre, never with all
 others: all that are similar to the centre are linked to it. Of those that are not, one for each class that has shown so far goes to
 a next round with more centres, until no bucket has two such texts. Similarity is not transitive, so this leaves pairs of a bucket untested: then all texts of a bucket
-that no chain of links joins yet are compared, with a growing part of each other class, until a link is found or the whole class is tested; only those are left out that the
+that no chain of links joins yet are compared, first with a part of each other class, then, if no link is found, with all of it; only those are left out that the
 triangle inequality rules out by their edits to the bucket's first centre. Nothing is capped, and a large group of near copies takes about one comparison for each text. Links are closed to classes by connected components.
 
 Cases: null and empty texts are equal texts of one class; texts of fewer words than a k-mer are one k-mer; texts without
