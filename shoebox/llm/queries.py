@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, langid, linededup, lm, media, nndescent, omh, packing, suffixdedup, toxicity
+from . import bpe, langid, linededup, lm, media, nndescent, omh, packing, resampling, suffixdedup, toxicity, whitening
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", "n_units_removed", "n_bytes", "n_removed", kept.alias("kept_sha256"), spans.alias("removed"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whitened(C.table(spark, sf_dir, "embeddings")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op4_embedding_near_dedup, op5_packing, op6_minhash_near_dedup, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op4_embedding_near_dedup, op5_packing, op6_minhash_near_dedup, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup, op11_whitening, op12_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
