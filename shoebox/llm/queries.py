@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, langid, linededup, lm, media, nndescent, omh, packing, resampling, suffixdedup, toxicity, whitening
+from . import bpe, langid, linededup, lm, media, nndescent, omh, packing, pages, resampling, suffixdedup, toxicity, whitening
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(C.table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op4_embedding_near_dedup, op5_packing, op6_minhash_near_dedup, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup, op11_whitening, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_media_webp, op4_embedding_near_dedup, op5_packing, op6_minhash_near_dedup, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_line_dedup, op11_whitening, op12_importance_resampling, op13_html_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
