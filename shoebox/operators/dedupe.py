@@ -13,11 +13,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .stages import Stages
 
 
 @dataclass(frozen=True)
@@ -35,23 +35,39 @@ class ScanOptions:
         return min(12, max(0, self.similar_distance))
 
 
-def by_groups(df: DataFrame, keys: list[str], f, schema: str, shards: int | None = None) -> DataFrame:
-    """f over the rows of each group. Small groups share a task's call: they are dealt to shards by a hash, so a call costs little for each."""
-    n = shards or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def by_groups(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """f over the rows of each group. Groups stream through a task in the order of their keys, so a call costs little for each and one group is in memory at a time."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_shard")
-        return pd.concat([f(g) for _, g in rows.groupby(keys, sort=False, dropna=False)])
+    def key(rows: pd.DataFrame) -> list:
+        return [None if pd.isna(v) else v for v in (rows[k].iloc[0] for k in keys)]
 
-    return df.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_shard").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the rows of the last group so far
+        for rows in batches:
+            parts = [g for _, g in rows.groupby(keys, sort=False, dropna=False)]
+            if held and parts and key(held[0]) == key(parts[0]):
+                held.append(parts.pop(0))
+            for part in parts:
+                if held:
+                    yield f(pd.concat(held))
+                held = [part]
+        if held:
+            yield f(pd.concat(held))
 
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
-def pregroup(files: DataFrame, mode: str = "normalized") -> DataFrame:
-    """Files that share size, family and name key with another one; block tells which share."""
+
+def with_blocks(files: DataFrame, mode: str = "normalized") -> DataFrame:
+    """Columns + block: which files share size, family and name key; null for a file that shares them with none."""
     block = F.xxhash64("size", "_family", "_key")
     keyed = files.withColumn("_family", N.family("ext")).withColumn("_key", N.name_key("name", mode))
     alike = Window.partitionBy("size", "_family", "_key")
-    return keyed.withColumn("_n", F.count("*").over(alike)).filter("_n >= 2").withColumn("block", block).drop("_n", "_family", "_key")
+    return keyed.withColumn("_n", F.count("*").over(alike)).withColumn("block", F.when(F.col("_n") >= 2, block)).drop("_n", "_family", "_key")
+
+
+def pregroup(files: DataFrame, mode: str = "normalized") -> DataFrame:
+    """Files that share size, family and name key with another one; block tells which share."""
+    return with_blocks(files, mode).filter("block is not null")
 
 
 def time_islands(df: DataFrame, ms: str, gap_ms: int | Column, *by: str, out: str = "island") -> DataFrame:
@@ -130,47 +146,73 @@ def has_camera_pair(*by: str) -> Column:
     return F.max(N.is_raw("ext").cast("int")).over(w).cast("boolean") & F.max(N.is_rendered("ext").cast("int")).over(w).cast("boolean")
 
 
-def without_camera_pairs(grouped: DataFrame, group: str = "group_id") -> DataFrame:
-    """Groups with a camera's raw and rendered file of one shot, split to raw and other files; parts of one file are dropped. Columns + part."""
+def without_camera_pairs(grouped: DataFrame, group: str = "group_id", marked: bool = False) -> DataFrame:
+    """Groups with a camera's raw and rendered file of one shot, split to raw and other files; parts of one file are dropped, or kept with skipped set if marked. Columns + part."""
     pair = grouped.withColumn("_pair", has_camera_pair(group))
     mixed = F.max(F.col("_pair").cast("int")).over(Window.partitionBy(group)) == 1
     part = F.when(mixed, N.is_raw("ext").cast("int")).otherwise(F.lit(2))
     sized = pair.withColumn("part", part).withColumn("_mixed", mixed).withColumn("_n", F.count("*").over(Window.partitionBy(group, "part")))
-    return sized.filter((F.col("_n") >= 2) | ~F.col("_mixed")).drop("_pair", "_mixed", "_n")
+    skipped = sized.withColumn("skipped", (F.col("_n") < 2) & F.col("_mixed")).drop("_pair", "_mixed", "_n")
+    return skipped if marked else skipped.filter("not skipped").drop("skipped")
 
 
-def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str) -> DataFrame:
-    """Buckets of whole seconds that begin with their first file and last for the tolerance; those of two or more. Columns + bucket.
+def _nearest_points(asked: DataFrame, points: DataFrame, width: int, by: tuple[str, ...], forward: bool) -> DataFrame:
+    """Columns of asked (by, x) + found: the first point at or after x, or the last one at or before it, at most width away.
 
-    A bucket never crosses a gap over the tolerance, so runs without such gaps are folded on their own.
+    An equal or adjacent bin of that width holds it: a window within each bin, and a join with what the adjacent bin begins (or ends) with.
+    """
+    bin_ = F.floor(F.col("x") / width)
+    both = asked.select(*by, "x", F.lit(None).cast("long").alias("p")).unionByName(points.select(*by, F.col("s").alias("x"), F.col("s").alias("p"))).withColumn("_bin", bin_)
+    w = Window.partitionBy(*by, "_bin").orderBy(F.desc("x") if forward else F.asc("x"))
+    near = both.withColumn("own", F.min("p").over(w) if forward else F.max("p").over(w)).filter("p is null")
+    edge = points.groupBy(*by, F.floor(F.col("s") / width).alias("_bin")).agg((F.min("s") if forward else F.max("s")).alias("other"))
+    beside = edge.withColumn("_bin", F.col("_bin") + (-1 if forward else 1))
+    found = F.coalesce("own", "other")
+    reach = F.when(F.abs(found - F.col("x")) <= width, found)
+    return near.join(beside, [*by, "_bin"], "left").select(*by, "x", reach.alias("found"))
+
+
+def bucket_starts(seconds: DataFrame, tol: int, stages: Stages, *by: str) -> DataFrame:
+    """Of distinct seconds (by, s) the start of each one's bucket: (by, s, start). A bucket begins with its first second and lasts for the tolerance; the next one begins with the first second beyond.
+
+    After a gap over the tolerance a bucket surely begins. Every other start is the successor of a start, the first second beyond its tolerance, so starts are what is reached from the sure ones: pointers are squared
+    round by round, and the rounds are the logarithm of the most buckets between two gaps. No step orders more than one bin of seconds.
+    """
+    if tol == 0:
+        return seconds.withColumn("start", F.col("s"))
+    before = _nearest_points(seconds.select(*by, (F.col("s") - 1).alias("x")), seconds, tol, by, forward=False)
+    sure = before.filter(F.col("found").isNull() | (F.col("x") + 1 - F.col("found") > tol)).select(*by, (F.col("x") + 1).alias("s"))
+    starts = stages.put(sure, "starts")
+    # within a run the next second beyond the tolerance is less than a tolerance further
+    after = _nearest_points(seconds.select(*by, (F.col("s") + tol + 1).alias("x")), seconds, tol, by, forward=True)
+    jump = after.filter("found is not null").select(*by, (F.col("x") - tol - 1).alias("s"), F.col("found").alias("to"))
+    known = starts.select(*by, F.col("s").alias("to"))
+    # a jump to a sure start leads nowhere new
+    jump = stages.put(jump.join(known, [*by, "to"], "left_anti").select(*by, "s", "to"), "jumps", jumps=F.count("*"))
+    while stages.counts["jumps"]:
+        reached = starts.join(jump, [*by, "s"]).select(*by, F.col("to").alias("s")).join(starts, [*by, "s"], "left_anti").distinct()
+        starts = stages.put(starts.unionByName(reached), "starts")
+        onward = jump.select(*by, F.col("s").alias("to"), F.col("to").alias("beyond"))
+        jump = stages.put(jump.join(onward, [*by, "to"]).select(*by, "s", F.col("beyond").alias("to")), "jumps", jumps=F.count("*"))
+    last = _nearest_points(seconds.select(*by, F.col("s").alias("x")), starts, tol, by, forward=False)
+    return last.select(*by, F.col("x").alias("s"), F.col("found").alias("start"))
+
+
+def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str, stages: Stages | None = None) -> DataFrame:
+    """Buckets of whole seconds that begin with their first file and last for the tolerance; those of two or more. Columns + bucket. Without keys all files form one sequence; it is never in one task.
+
+    Rows meet their bucket by their second; whether a bucket has two is counted on seconds, not on rows.
     """
     tol = max(0, int(np.floor(tolerance_sec + 0.5)))
-    seconds = timed.withColumn("_s", F.floor(F.col("capture_ms") / 1000).cast("long"))
-    runs = time_islands(seconds, "_s", tol, *by, out="_run")
-    # the seconds of a run, each once; most runs are shorter than the tolerance and one bucket, others are folded to the starts of theirs
-    keys = [*by, "_run"]
-    sizes = runs.groupBy(*keys).agg(F.count("*").alias("_n"), F.sort_array(F.collect_set("_s")).alias("_seconds")).filter("_n >= 2").drop("_n")
-    one = F.element_at("_seconds", -1) - F.col("_seconds")[0] <= tol
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema[:-1]) + ", _s bigint, _start bigint"
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, second, begin = [], [], []
-            for i, seconds in enumerate(batch.column(len(keys)).to_pylist()):
-                start = None
-                for s in seconds:
-                    if start is None or s - start > tol:
-                        start = s
-                    row.append(i)
-                    second.append(s)
-                    begin.append(start)
-            take = pa.array(row, pa.int64())
-            yield pa.record_batch([*(batch.column(k).take(take) for k in range(len(keys))), pa.array(second, pa.int64()), pa.array(begin, pa.int64())], [*keys, "_s", "_start"])
-
-    short = sizes.filter(one).select(*keys, F.explode("_seconds").alias("_s"), F.col("_seconds")[0].alias("_start"))
-    folded = short.unionByName(sizes.filter(~one).mapInArrow(fold, schema))
-    placed = runs.join(folded, [*keys, "_s"]).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_start"))).filter("_n >= 2")
-    return placed.withColumn("bucket", F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.col("_start").cast("string"))).select(*timed.columns, "bucket")
+    stages = stages or Stages(timed.sparkSession)
+    second = F.floor(F.col("capture_ms") / 1000).cast("long")
+    rows = timed.filter("capture_ms is not null").withColumn("_s", second)
+    seconds = stages.put(rows.groupBy(*by, F.col("_s").alias("s")).agg(F.count("*").alias("n")), "seconds")
+    placed = seconds.join(bucket_starts(seconds.select(*by, "s"), tol, stages, *by), [*by, "s"])
+    shared = placed.groupBy(*by, "start").agg(F.sum("n").alias("n")).filter("n >= 2").select(*by, "start")
+    own = stages.put(placed.join(shared, [*by, "start"]).select(*by, F.col("s").alias("_s"), "start"), "buckets")
+    name = F.concat_ws(":", *(F.col(k).cast("string") for k in by), F.col("start").cast("string"))
+    return rows.join(own, [*by, "_s"]).withColumn("bucket", name).select(*timed.columns, "bucket")
 
 
 def first_fit(paths: list[str], prints: list[int], distance: int) -> list[list[int]]:
@@ -308,51 +350,76 @@ def summary(grouped: DataFrame) -> DataFrame:
     return grouped.agg(F.countDistinct("group_id").alias("groups"), F.count(F.when(F.col("role") == "delete", 1)).alias("deletable_files"), F.coalesce(F.sum(F.when(F.col("role") == "delete", F.col("size"))), F.lit(0)).alias("wasted_bytes"))
 
 
-def scan(media: DataFrame, o: ScanOptions = ScanOptions(), source: str = "path", hasher=None, reader=None, printer=None) -> DataFrame:
+def scan(media: DataFrame, o: ScanOptions = ScanOptions(), source: str = "path", hasher=None, reader=None, printer=None, stages: Stages | None = None) -> DataFrame:
     """All stages over media files with seq: groups in long form with role, origin, wasted, kind and distance.
 
-    hasher, reader and printer give the hash, the capture time and, for similar pictures, the fingerprint of column `source`; columns that are there already are used as they are. Only files that
-    passed a stage reach the next one's reader.
+    hasher, reader and printer give the hash, the capture time and, for similar pictures, the fingerprint of column `source`; columns that are there already are used as they are. Each stage is written before the next one
+    reads it, so media is read once and each file by each of the three at most once: times of candidates, and of all pictures if similar ones are looked for; hashes of time groups; fingerprints of pictures in a bucket of two or more.
+
+    stages: where they are written; its counts are the run's counters (see run_counters), and closing it deletes the result too.
     """
     from ..sources import files as S
 
-    hasher, reader = hasher or S.content_hash, reader or S.capture
-    blocked = pregroup(media, o.name_mode)
-    if "capture_ms" not in media.columns:
-        blocked = blocked.withColumn("_c", reader(source, "ext")).select("*", "_c.capture_ms", "_c.subsec_known", F.col("_c.source").alias("capture_source")).drop("_c")
-    timed = time_groups(blocked, o)
-    if "hash" not in media.columns:
-        targets = timed.select("path_key", source).dropDuplicates(["path_key"]).repartition("path_key")
-        timed = timed.join(targets.select("path_key", hasher(source).alias("hash")), "path_key")
+    stages = stages or Stages(media.sparkSession)
+    hasher, reader, printer = hasher or S.content_hash, reader or S.capture, printer or S.phash_embedded
+    picture, seen = ~N.is_video("ext"), media.columns
+    wanted = with_blocks(media, o.name_mode)
+    asked = F.col("block").isNotNull() | (picture if o.similar else F.lit(False))
+    listed = stages.put(wanted.filter(asked), "listed", candidates=F.count("block"))
+    counts = {}
+    if "capture_ms" not in seen:
+        listed = listed.withColumn("_c", reader(source, "ext")).select("*", "_c.capture_ms", "_c.subsec_known", F.col("_c.source").alias("capture_source"), F.col("_c.bytes_read").alias("_bytes")).drop("_c")
+        counts = {"meta_bytes": F.sum("_bytes"), "meta_files": F.count("*")}
+    known = stages.put(listed, "known", **counts).drop("_bytes") if counts else listed
+    timed = time_groups(known.filter("block is not null"), o)
+    if "hash" not in seen:
+        timed = timed.withColumn("hash", hasher(source))
+    timed = stages.put(timed, "timed", hash_files=F.count("*"), hash_bytes=F.sum("size"))
     exact = exact_groups(timed, "time_group").drop("block", "time_group").withColumn("kind", F.lit("exact"))
     found = with_roles(exact).withColumn("distance", F.lit(None).cast("int"))
     if o.similar:
-        if "capture_ms" not in media.columns:
-            media = media.withColumn("_c", reader(source, "ext")).select("*", "_c.capture_ms", "_c.subsec_known", F.col("_c.source").alias("capture_source")).drop("_c")
-        if "phash" not in media.columns:
-            media = media.withColumn("phash", F.when(~N.is_video("ext"), (printer or S.phash_embedded)(source)))
-        found = _with_similar(media, found, o)
+        found = _with_similar(known.filter(picture).drop("block"), stages.put(found, "exact"), o, source, None if "phash" in seen else printer, stages)
+    else:
+        stages.counts["camera_pairs_skipped"] = 0
     out = with_totals(with_origins(found))
-    return out.withColumn("group_distance", F.coalesce(F.max("distance").over(Window.partitionBy("group_id")), F.lit(0)))
+    out = out.withColumn("group_distance", F.coalesce(F.max("distance").over(Window.partitionBy("group_id")), F.lit(0)))
+    gone = F.col("role") == "delete"
+    done = stages.put(out, "found", groups=F.count(F.when(F.col("role") == "keep", 1)), deletable_files=F.count(F.when(gone, 1)), wasted_bytes=F.sum(F.when(gone, F.col("size"))))
+    stages.keep_only("found")
+    return done
+
+
+#: Counters of a run, in the order of its stages.
+COUNTERS = ("candidates", "meta_files", "meta_bytes", "hash_files", "hash_bytes", "printed_files", "camera_pairs_skipped", "groups", "deletable_files", "wasted_bytes")
+
+
+def run_counters(stages: Stages) -> DataFrame:
+    """One row: what a run's stages counted while they were written; 0 for a stage that was not needed."""
+    return stages.spark.createDataFrame([tuple(stages.counts.get(c, 0) for c in COUNTERS)], ", ".join(f"{c} bigint" for c in COUNTERS))
 
 
-def _with_similar(media: DataFrame, exact: DataFrame, o: ScanOptions) -> DataFrame:
-    """Exact groups, with similar pictures added or in groups of their own."""
-    pictures = media.filter(~N.is_video("ext"))
-    buckets = anchored_buckets(pictures.filter("capture_ms is not null"), o.tolerance())
+def _with_similar(pictures: DataFrame, exact: DataFrame, o: ScanOptions, source: str, printer, stages: Stages) -> DataFrame:
+    """Exact groups, with similar pictures added or in groups of their own. printer is null where fingerprints are known."""
+    buckets = anchored_buckets(pictures.filter("capture_ms is not null"), o.tolerance(), stages=stages)
     if o.match_without_time:
         key = N.name_key("name", "normalized" if o.name_mode == "ignore" else o.name_mode)
         nameless = pictures.filter("capture_ms is null").withColumn("bucket", F.concat(F.lit("n:"), key))
         buckets = buckets.unionByName(nameless.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).filter("_n >= 2").drop("_n"))
-    parts = without_camera_pairs(phash_clusters(buckets, o.distance()), "cluster")
+    if printer is not None:
+        buckets = buckets.withColumn("phash", printer(source))
+    printed = stages.put(buckets, "printed", printed_files=F.count("*"))
+    split = without_camera_pairs(phash_clusters(printed, o.distance()), "cluster", marked=True)
+    parts = stages.put(split, "parts", camera_pairs_skipped=F.count(F.when(F.col("skipped"), 1))).filter("not skipped").drop("skipped")
     placed = similar_parts(parts.withColumn("part_id", F.concat_ws("#", "cluster", "part")), exact)
     ranked = with_roles(placed)
     joins = F.startswith("group_id", F.lit("e"))
-    keeper = exact.filter("role = 'keep'").join(media.select("path", F.col("phash").alias("keep_phash")), "path").select("group_id", "keep_phash")
+    # a group's kept file has a fingerprint only if it is in a bucket itself
+    keeper = exact.filter("role = 'keep'").select("path", "group_id").join(printed.select("path", F.col("phash").alias("keep_phash")), "path").select("group_id", "keep_phash")
     own = Window.partitionBy("group_id")
-    kept = F.coalesce(F.col("keep_phash"), F.max(F.when(F.col("role") == "keep", F.col("phash"))).over(own))
-    away = ranked.join(keeper, "group_id", "left").withColumn("role", F.when(joins, "delete").otherwise(F.col("role"))).withColumn("distance", F.bit_count(kept.bitwiseXOR(F.col("phash"))).cast("int")).withColumn("kind", F.lit("similar"))
-    away = away.withColumn("distance", F.when(~joins & (F.col("role") == "keep"), 0).otherwise(F.col("distance")))
+    kept = F.when(joins, F.col("keep_phash")).otherwise(F.max(F.when(F.col("role") == "keep", F.col("phash"))).over(own))
+    away = ranked.join(keeper, "group_id", "left").withColumn("distance", F.bit_count(kept.bitwiseXOR(F.col("phash"))).cast("int")).withColumn("kind", F.lit("similar"))
+    away = away.withColumn("distance", F.when(~joins & (F.col("role") == "keep"), 0).otherwise(F.col("distance"))).withColumn("role", F.when(joins, "delete").otherwise(F.col("role")))
+    away = stages.put(away, "away")
     grown = away.filter(joins).select("group_id").distinct().withColumn("_grown", F.lit(True))
     old = exact.join(grown, "group_id", "left").withColumn("kind", F.when(F.col("_grown"), "similar").otherwise("exact")).drop("_grown")
     return old.unionByName(away.select(*[c for c in old.columns if c in away.columns]), allowMissingColumns=True)

@@ -290,35 +290,57 @@ def within(left: DataFrame, right: DataFrame, lms: str, rms: str, window_ms: int
     return l.join(r, "_bin").filter(F.abs(F.col(lms) - F.col(rms)) <= window_ms).drop("_bin")
 
 
+def _counts_around(asked: DataFrame, points: DataFrame, window_ms: int, *by: str) -> DataFrame:
+    """Of each asked (by, t) how many points (by, ms, n) are at most the window away in time: (by, t, around).
+
+    In bins of the window's width the window around t covers the whole of t's own bin, the end of the one before and the beginning of the one after: three look-ups in running counts within bins, whatever the number of points.
+    """
+    width = max(1, window_ms)
+    own = F.floor(F.col("t") / width)
+    looks = F.array(
+        F.struct((own - 1).alias("_bin"), (F.col("t") - window_ms - 1).alias("ms"), F.lit("after").alias("look")),
+        F.struct(own.alias("_bin"), F.col("t").alias("ms"), F.lit("all").alias("look")),
+        F.struct((own + 1).alias("_bin"), (F.col("t") + window_ms).alias("ms"), F.lit("upto").alias("look")),
+    )
+    look = asked.select(*by, "t", F.explode(looks).alias("l")).select(*by, "t", "l.*", F.lit(0).cast("long").alias("n"))
+    seen = points.select(*by, F.lit(None).cast("long").alias("t"), F.floor(F.col("ms") / width).alias("_bin"), "ms", F.lit(None).cast("string").alias("look"), F.col("n").cast("long").alias("n"))
+    w = Window.partitionBy(*by, "_bin")
+    both = look.unionByName(seen).withColumn("_upto", F.sum("n").over(w.orderBy("ms"))).withColumn("_all", F.sum("n").over(w)).filter("look is not null")
+    part = F.when(F.col("look") == "upto", F.col("_upto")).when(F.col("look") == "all", F.col("_all")).otherwise(F.col("_all") - F.col("_upto"))
+    return both.groupBy(*by, "t").agg(F.sum(part).alias("around"))
+
+
 def counts_within(left: DataFrame, right: DataFrame, lms: str, rms: str, window_ms: int) -> DataFrame:
     """Columns of left + around: how many rows of right are at most the window away in time.
 
-    Counted as the difference of two running counts, each the sum over whole bins before and a running count within a bin: no pair is made, so a burst of shots costs no more than its rows.
+    Counted once for each different time of left and joined back by that time: no pair is made, so a burst of shots costs no more than its rows, and no row needs a number of its own.
     """
-    width = max(1, window_ms)
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
-    asked = rows.select("_row", F.explode(F.array(F.struct((F.col(lms) + window_ms).alias("ms"), F.lit(1).alias("sign")), F.struct((F.col(lms) - window_ms - 1).alias("ms"), F.lit(-1).alias("sign")))).alias("q")).select("_row", "q.*")
-    points = right.select(F.lit(None).cast("bigint").alias("_row"), F.col(rms).alias("ms"), F.lit(0).alias("sign")).filter("ms is not null")
-    both = asked.unionByName(points).withColumn("_bin", F.floor(F.col("ms") / width))
-    whole = both.groupBy("_bin").agg(F.count(F.when(F.col("sign") == 0, 1)).alias("n"))
-    before = whole.select("_bin", (F.sum("n").over(Window.orderBy("_bin")) - F.col("n")).alias("_before"))  # a row for each bin, not for each shot
-    inside = F.count(F.when(F.col("sign") == 0, 1)).over(Window.partitionBy("_bin").orderBy("ms"))
-    upto = both.withColumn("_in", inside).filter("sign <> 0").join(before, "_bin").groupBy("_row").agg(F.sum(F.col("sign") * (F.col("_before") + F.col("_in"))).alias("around"))
-    return rows.join(upto, "_row", "left").withColumn("around", F.coalesce("around", F.lit(0))).drop("_row")
+    points = right.filter(F.col(rms).isNotNull()).groupBy(F.col(rms).alias("ms")).agg(F.count("*").alias("n"))
+    asked = left.filter(F.col(lms).isNotNull()).select(F.col(lms).alias("t")).distinct()
+    found = _counts_around(asked, points, window_ms).select(F.col("t").alias("_t"), "around")
+    return left.join(found, F.col(lms) == F.col("_t"), "left").withColumn("around", F.coalesce("around", F.lit(0).cast("long"))).drop("_t")
 
 
 def link_back_views(shots: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """path, person_id of shots with a body and no face that belong to whom the faces around them show.
 
     The most frequent person must be seen at least as often as there are faceless shots around, and be the only one, or seen twice or more and four times in five.
+
+    Who is in reach is looked up by bins of time and person, and how often by running counts, so rows grow with shots and with the people around each, not with pairs of shots.
     """
-    faced = shots.filter(F.size("person_ids") > 0).select(F.col("capture_ms").alias("face_ms"), F.explode(F.array_distinct("person_ids")).alias("person_id"))
-    blank = shots.filter((F.size("person_ids") == 0) & F.col("body")).select("path", "capture_ms")
-    seen = within(blank, faced, "capture_ms", "face_ms", window_ms).groupBy("path", "person_id").agg(F.count("*").alias("n"))
-    top = seen.groupBy("path").agg(F.max_by("person_id", F.struct("n", -F.col("person_id"))).alias("person_id"), F.max("n").alias("top"), F.sum("n").alias("total"), F.count("*").alias("persons"))
-    around = counts_within(blank, blank.select(F.col("capture_ms").alias("other_ms")), "capture_ms", "other_ms", window_ms).select("path", F.col("around").alias("faceless"))
+    width = max(1, window_ms)
+    timed = shots.filter("capture_ms is not null")
+    faced = timed.filter(F.size("person_ids") > 0).select(F.col("capture_ms").alias("ms"), F.explode(F.array_distinct("person_ids")).alias("person_id")).groupBy("person_id", "ms").agg(F.count("*").alias("n"))
+    blank = timed.filter((F.size("person_ids") == 0) & F.col("body")).select("path", "capture_ms")
+    times = blank.select(F.col("capture_ms").alias("t")).distinct()
+    bins = times.select("t", F.explode(F.sequence(F.floor(F.col("t") / width) - 1, F.floor(F.col("t") / width) + 1)).alias("_bin"))
+    near = bins.join(faced.select("person_id", F.floor(F.col("ms") / width).alias("_bin")).distinct(), "_bin").select("person_id", "t").distinct()
+    seen = _counts_around(near, faced, window_ms, "person_id").filter("around > 0")
+    top = seen.groupBy("t").agg(F.max_by("person_id", F.struct("around", "person_id")).alias("person_id"), F.max("around").alias("top"), F.sum("around").alias("total"), F.count("*").alias("persons"))
+    faceless = _counts_around(times, blank.groupBy(F.col("capture_ms").alias("ms")).agg(F.count("*").alias("n")), window_ms)
     sure = (F.col("top") >= F.col("faceless")) & ((F.col("persons") == 1) | ((F.col("top") >= 2) & (F.col("top") / F.col("total") >= 0.8)))
-    return top.join(around, "path").filter(sure).select("path", "person_id")
+    linked = top.join(faceless.withColumnRenamed("around", "faceless"), "t").filter(sure).select("t", "person_id")
+    return blank.join(linked, blank["capture_ms"] == linked["t"]).select("path", "person_id")
 
 
 def relinked(shots_: DataFrame, m: Marks, window_ms: int = WINDOW_MS) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox.operators import dedupe, library, people, plan, search
+from shoebox.operators.stages import Stages
 
 FILE = "path string, path_key string, name string, ext string, size bigint, mtime_ms bigint, birthtime_ms bigint, capture_ms bigint, subsec_known boolean, hash string, phash bigint, seq bigint"
 
@@ -286,3 +287,90 @@ def test_library_look_ups(spark):
     twice = spark.createDataFrame([("/n", 1, 1), ("/n", 2, 0)], "path string, size bigint, place int")
     one = library.upsert(photos.withColumn("rating", F.lit(0)).withColumn("recognized", F.lit(0)).withColumn("origin", F.lit("")).withColumn("scan_id", F.lit(0)), twice.withColumn("kind", F.lit("photo")).withColumn("origin", F.lit("")), 3, "place")
     assert one.filter("path = '/n'").first()["size"] == 1
+
+
+def test_counts_do_not_depend_on_how_rows_are_dealt(spark):
+    r = random.Random(8)
+    times = [r.randrange(0, 40000) for _ in range(3000)]
+    base = spark.createDataFrame([(i, t, i % 7) for i, t in enumerate(times)], "k bigint, t bigint, g int")
+    other = spark.createDataFrame([(g,) for g in range(7)], "g int")
+    shapes = {"dealt": base.repartition(13), "joined": base.join(other, "g"), "grouped": base.groupBy("k", "g").agg(F.max("t").alias("t")), "repeated": base.unionByName(base).repartition(3)}
+    for name, df in shapes.items():
+        n = 2 if name == "repeated" else 1
+        want = {i: n * sum(abs(t - u) <= 500 for u in times) for i, t in enumerate(times[:60])}
+        out = people.counts_within(df, df.select(F.col("t").alias("u")), "t", "u", 500).filter("k < 60").collect()
+        assert len(out) == 60 * n and all(want[x.k] == x.around for x in out), name
+    missing = people.counts_within(spark.createDataFrame([(None,), (5,)], "t bigint"), spark.createDataFrame([(None,), (5,)], "u bigint"), "t", "u", 3).collect()
+    assert {x.t: x.around for x in missing} == {None: 0, 5: 1}
+
+
+def folded(times, tol):
+    start, out = None, {}
+    for t in sorted(x for x in times if x is not None):
+        s = t // 1000
+        if start is None or s - start > tol:
+            start = s
+        out.setdefault(start, []).append(t)
+    return sorted(sorted(v) for v in out.values() if len(v) >= 2)
+
+
+def test_buckets_of_one_sequence_match_a_fold(spark):
+    r = random.Random(11)
+    for tol, n, spread in ((0, 200, 150), (1, 200, 260), (3, 400, 500), (7, 300, 900), (120, 500, 20000), (2, 400, 399)):
+        times = [None if r.random() < 0.05 else r.randrange(-spread * 300, spread * 700) for _ in range(n)]
+        df = spark.createDataFrame([(t,) for t in times], "capture_ms bigint").repartition(5)
+        stages = Stages(spark)
+        got = dedupe.anchored_buckets(df, tol, stages=stages).groupBy("bucket").agg(F.sort_array(F.collect_list("capture_ms")).alias("t")).collect()
+        assert sorted(x.t for x in got) == folded(times, tol), (tol, n)
+        stages.close()
+    every = list(range(0, 700_000, 1000))  # one run without a gap: a chain of 234 buckets
+    got = dedupe.anchored_buckets(spark.createDataFrame([(t,) for t in every], "capture_ms bigint"), 2).groupBy("bucket").count().collect()
+    assert len(got) == 233 and {x["count"] for x in got} == {3}
+
+
+def test_each_file_is_read_at_most_once(spark, tmp_path):
+    rows = [file(i, f"/a{i % 7}/IMG_{i // 3}.{'mp4' if i % 5 == 0 else 'jpg'}", size=i // 6) for i in range(60)]
+    media = spark.createDataFrame(rows, FILE).drop("capture_ms", "subsec_known", "hash", "phash").repartition(3)
+    log = str(tmp_path)
+
+    def noted(kind, value):
+        def run(path: pd.Series) -> pd.Series:
+            for p in path:
+                with open(f"{log}/{kind}", "a") as f:
+                    f.write(p + "\n")
+            return path.map(value)
+
+        return run
+
+    def reader(source, ext):
+        stamp = F.pandas_udf(noted("times", lambda p: len(p) * 1000), "bigint")(source)
+        return F.struct(stamp.alias("capture_ms"), F.lit(True).alias("subsec_known"), F.lit("exif").alias("source"), F.lit(10).cast("bigint").alias("bytes_read"))
+
+    hasher = F.pandas_udf(noted("hashes", lambda p: "h"), "string")
+    printer = F.pandas_udf(noted("prints", lambda p: len(p) % 3), "bigint")
+    stages = Stages(spark)
+    found = dedupe.scan(media, dedupe.ScanOptions(similar=True), reader=reader, hasher=hasher, printer=printer, stages=stages)
+    read = {k: open(f"{log}/{k}").read().split() for k in ("times", "hashes", "prints")}
+    assert all(len(v) == len(set(v)) for v in read.values())
+    pictures = {x[0] for x in rows if not x[0].endswith(".mp4")}
+    assert pictures <= set(read["times"]) and set(read["prints"]) <= pictures
+    counted = dedupe.run_counters(stages).first()
+    candidates = {x.path for x in dedupe.pregroup(media).collect()}
+    assert set(read["times"]) == pictures | candidates and counted.candidates == len(candidates)
+    assert (counted.meta_files, counted.meta_bytes, counted.hash_files, counted.printed_files) == (len(read["times"]), 10 * len(read["times"]), len(read["hashes"]), len(read["prints"]))
+    total = dedupe.summary(found).first()
+    assert tuple(counted)[-3:] == (total["groups"], total.deletable_files, total.wasted_bytes)
+    stages.close()
+
+
+def test_scan_has_no_single_partition(spark):
+    rows = [file(i, f"/a{i % 7}/IMG_{i // 3}.jpg", size=i // 6, ms=i * 700, phash=i % 4) for i in range(60)]
+    plans = []
+
+    class Watched(Stages):
+        def put(self, rows, name, **counts):
+            plans.append((name, rows._jdf.queryExecution().executedPlan().toString()))
+            return super().put(rows, name, **counts)
+
+    dedupe.scan(spark.createDataFrame(rows, FILE), dedupe.ScanOptions(similar=True, tolerance_sec=2), stages=Watched(spark))
+    assert plans and not [n for n, p in plans if "SinglePartition" in p]
