@@ -172,33 +172,69 @@ def _nearest_points(asked: DataFrame, points: DataFrame, width: int, by: tuple[s
     return near.join(beside, [*by, "_bin"], "left").select(*by, "x", reach.alias("found"))
 
 
-def bucket_starts(seconds: DataFrame, tol: int, stages: Stages, *by: str) -> DataFrame:
+#: A panel is as many tolerances of time, two at least: what one task folds at once.
+PANEL = 1024
+
+
+def _panel_exits(rows: pd.DataFrame, tol: int, panel: int) -> pd.DataFrame:
+    """Of the seconds at which a panel may be entered, and of its sure starts, where the chain of buckets from there leaves the panel."""
+    rows = rows.sort_values("s")
+    s, to, sure = rows["s"].to_numpy(), rows["to"].fillna(-1).to_numpy(dtype=np.int64), rows["sure"].to_numpy(dtype=bool)
+    known = rows["to"].notna().to_numpy()
+    at = np.searchsorted(s, to)
+    left = np.full(len(s), -1, np.int64)  # the row whose jump leaves the panel, -1 if none does
+    for i in range(len(s) - 1, -1, -1):
+        if known[i]:
+            left[i] = i if at[i] == len(s) else -1 if sure[at[i]] else left[at[i]]
+    begin = s[0] // (panel * tol) * panel * tol
+    told = ((s < begin + 2 * tol) | sure) & (left >= 0)
+    return rows[told].assign(beyond=to[left[told]])
+
+
+def _panel_starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """The starts of a panel, from the sure ones and the one at which it is entered."""
+    rows = rows.sort_values("s")
+    s, begins = rows["s"].to_numpy(), rows["sure"].to_numpy(dtype=bool) | rows["entered"].to_numpy(dtype=bool)
+    known = rows["to"].notna().to_numpy()
+    at = np.searchsorted(s, rows["to"].fillna(-1).to_numpy(dtype=np.int64))
+    for i in range(len(s)):
+        if begins[i] and known[i] and at[i] < len(s):
+            begins[at[i]] = True
+    return rows[begins]
+
+
+def bucket_starts(seconds: DataFrame, tol: int, stages: Stages, *by: str, panel: int = PANEL) -> DataFrame:
     """Of distinct seconds (by, s) the start of each one's bucket: (by, s, start). A bucket begins with its first second and lasts for the tolerance; the next one begins with the first second beyond.
 
-    After a gap over the tolerance a bucket surely begins. Every other start is the successor of a start, the first second beyond its tolerance, so starts are what is reached from the sure ones: pointers are squared
-    round by round, and the rounds are the logarithm of the most buckets between two gaps. No step orders more than one bin of seconds.
+    After a gap over the tolerance a bucket surely begins. Every other start is the successor of a start, the first second beyond its tolerance, so starts are what is reached from the sure ones. Within a panel of time a
+    task follows the chain; from panel to panel pointers are squared round by round, so the rounds are the logarithm of the most panels between two gaps. No step orders more than one panel.
     """
     if tol == 0:
         return seconds.withColumn("start", F.col("s"))
     before = _nearest_points(seconds.select(*by, (F.col("s") - 1).alias("x")), seconds, tol, by, forward=False)
-    sure = before.filter(F.col("found").isNull() | (F.col("x") + 1 - F.col("found") > tol)).select(*by, (F.col("x") + 1).alias("s"))
-    starts = stages.put(sure, "starts")
+    sure = before.select(*by, (F.col("x") + 1).alias("s"), (F.col("found").isNull() | (F.col("x") + 1 - F.col("found") > tol)).alias("sure"))
     # within a run the next second beyond the tolerance is less than a tolerance further
     after = _nearest_points(seconds.select(*by, (F.col("s") + tol + 1).alias("x")), seconds, tol, by, forward=True)
-    jump = after.filter("found is not null").select(*by, (F.col("x") - tol - 1).alias("s"), F.col("found").alias("to"))
-    known = starts.select(*by, F.col("s").alias("to"))
-    # a jump to a sure start leads nowhere new
-    jump = stages.put(jump.join(known, [*by, "to"], "left_anti").select(*by, "s", "to"), "jumps", jumps=F.count("*"))
-    while stages.counts["jumps"]:
-        reached = starts.join(jump, [*by, "s"]).select(*by, F.col("to").alias("s")).join(starts, [*by, "s"], "left_anti").distinct()
-        starts = stages.put(starts.unionByName(reached), "starts")
-        onward = jump.select(*by, F.col("s").alias("to"), F.col("to").alias("beyond"))
-        jump = stages.put(jump.join(onward, [*by, "to"]).select(*by, "s", F.col("beyond").alias("to")), "jumps", jumps=F.count("*"))
+    jump = after.select(*by, (F.col("x") - tol - 1).alias("s"), F.col("found").alias("to"))
+    steps = stages.put(sure.join(jump, [*by, "s"]).withColumn("_panel", F.floor(F.col("s") / (panel * tol))), "steps")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.schema)
+    own, keys = [*by, "s"], [*by, "_panel"]
+    exits = stages.put(by_groups(steps, keys, lambda rows: _panel_exits(rows, tol, panel), f"{kinds}, beyond bigint"), "exits", chains=F.count(F.when(~F.col("sure"), 1)), sure_exits=F.count(F.when(F.col("sure"), 1)))
+    entered = exits.filter("sure").select(*by, F.col("beyond").alias("s")).distinct()
+    if stages.counts["sure_exits"]:
+        entered, leap = stages.put(entered, "entered"), exits.filter("not sure").select(*by, "s", "beyond")
+        while stages.counts["chains"]:
+            reached = entered.join(leap, own).select(*by, F.col("beyond").alias("s"))
+            entered = stages.put(entered.unionByName(reached).distinct(), "entered")
+            onward = leap.select(*by, F.col("s").alias("beyond"), F.col("beyond").alias("_next"))
+            leap = stages.put(leap.join(onward, [*by, "beyond"]).select(*by, "s", F.col("_next").alias("beyond")), "leaps", chains=F.count("*"))
+    marked = steps.join(entered.withColumn("entered", F.lit(True)), own, "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    starts = stages.put(by_groups(marked, keys, _panel_starts, f"{kinds}, entered boolean").select(*by, "s"), "starts")
     last = _nearest_points(seconds.select(*by, F.col("s").alias("x")), starts, tol, by, forward=False)
     return last.select(*by, F.col("x").alias("s"), F.col("found").alias("start"))
 
 
-def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str, stages: Stages | None = None) -> DataFrame:
+def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str, stages: Stages | None = None, panel: int = PANEL) -> DataFrame:
     """Buckets of whole seconds that begin with their first file and last for the tolerance; those of two or more. Columns + bucket. Without keys all files form one sequence; it is never in one task.
 
     Rows meet their bucket by their second; whether a bucket has two is counted on seconds, not on rows.
@@ -208,7 +244,7 @@ def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str, stages: S
     second = F.floor(F.col("capture_ms") / 1000).cast("long")
     rows = timed.filter("capture_ms is not null").withColumn("_s", second)
     seconds = stages.put(rows.groupBy(*by, F.col("_s").alias("s")).agg(F.count("*").alias("n")), "seconds")
-    placed = seconds.join(bucket_starts(seconds.select(*by, "s"), tol, stages, *by), [*by, "s"])
+    placed = seconds.join(bucket_starts(seconds.select(*by, "s"), tol, stages, *by, panel=panel), [*by, "s"])
     shared = placed.groupBy(*by, "start").agg(F.sum("n").alias("n")).filter("n >= 2").select(*by, "start")
     own = stages.put(placed.join(shared, [*by, "start"]).select(*by, F.col("s").alias("_s"), "start"), "buckets")
     name = F.concat_ws(":", *(F.col(k).cast("string") for k in by), F.col("start").cast("string"))

@@ -323,6 +323,10 @@ def test_buckets_of_one_sequence_match_a_fold(spark):
         got = dedupe.anchored_buckets(df, tol, stages=stages).groupBy("bucket").agg(F.sort_array(F.collect_list("capture_ms")).alias("t")).collect()
         assert sorted(x.t for x in got) == folded(times, tol), (tol, n)
         stages.close()
+    many = [r.randrange(0, 3_000_000) for _ in range(6000)]  # a run over several panels of 1024 tolerances, with a gap here and there
+    for panel in (dedupe.PANEL, 40, 2):
+        got = dedupe.anchored_buckets(spark.createDataFrame([(t,) for t in many], "capture_ms bigint"), 2, panel=panel).groupBy("bucket").agg(F.sort_array(F.collect_list("capture_ms")).alias("t")).collect()
+        assert sorted(x.t for x in got) == folded(many, 2)
     every = list(range(0, 700_000, 1000))  # one run without a gap: a chain of 234 buckets
     got = dedupe.anchored_buckets(spark.createDataFrame([(t,) for t in every], "capture_ms bigint"), 2).groupBy("bucket").count().collect()
     assert len(got) == 233 and {x["count"] for x in got} == {3}
