@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .names import col, js_trim
 
+# How Exif and ISO write times, the tags of XMP that hold one in order of priority, and what stands between a tag and its time.
 EXIF = r"^(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2})"
 ISO = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?"
 XMP_TAGS = ("exif:DateTimeOriginal", "xmp:CreateDate", "photoshop:DateCreated")
+XMP_VALUE = r'(?:>|=")(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?)'
 LABELS = {"exif": "EXIF", "xmp": "XMP", "quicktime": "视频拍摄时间", "mvhd": "视频创建时间"}
 NO_TIME = "无拍摄时间"
 
@@ -41,8 +43,7 @@ def iso_date(text: Column | str) -> Column:
 
 def xmp_date(text: Column | str) -> Column:
     """The first tag, in order of priority, whose time can be parsed."""
-    pattern = r'(?:>|=")(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?)'
-    return F.coalesce(*(iso_date(F.regexp_extract(col(text), tag + pattern, 1)) for tag in XMP_TAGS))
+    return F.coalesce(*(iso_date(F.regexp_extract(col(text), tag + XMP_VALUE, 1)) for tag in XMP_TAGS))
 
 
 def choose_exif(original: Column | str, digitized: Column | str, modified: Column | str, sub_original: Column | str, sub_digitized: Column | str, sub_modified: Column | str) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from ..functions.names import EXTENSIONS
+from ..functions.times import EXIF, ISO, XMP_TAGS, XMP_VALUE
 
 KIB, MIB = 1 << 10, 1 << 20
 # Bytes of a TIFF value by type; tags of dates, each with its fraction's tag.
@@ -21,12 +22,15 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 DATE_TAGS = {0x9003: 0x9291, 0x9004: 0x9292, 0x0132: 0x9290}
 EXIF_IFD, GPS_IFD = 0x8769, 0x8825
 MAC_EPOCH = timegm((1904, 1, 1, 0, 0, 0))
-XMP_TAGS = ("exif:DateTimeOriginal", "xmp:CreateDate", "photoshop:DateCreated")
 CREATION_KEY = "com.apple.quicktime.creationdate"
 TEXT_FACTS = {0x010F: "make", 0x0110: "model", 0x010E: "description", 0x0131: "software", 0x013B: "artist", 0x8298: "copyright", 0xA434: "lens"}
 RATIO_FACTS = {0x829A: "exposure", 0x829D: "aperture", 0x920A: "focal", 0x9204: "bias"}
 SHORT_FACTS = {0x8827: "iso", 0x8822: "program", 0x9207: "metering", 0x9209: "flash", 0xA403: "white_balance"}
 SIZE_FACTS = {0xA405: "focal35", 0xA002: "width", 0x0100: "width", 0xA003: "height", 0x0101: "height"}
+# Limits beyond which a structure counts as broken: entries and depth of TIFF directories for dates and for facts, bytes of a date's text and of a fact's, keys of QuickTime, and items of HEIF with their extents.
+DATE_ENTRIES, DATE_DEPTH, DATE_BYTES = 512, 4, 2_000_000
+FACT_ENTRIES, FACT_DEPTH, FACT_BYTES = 400, 6, 400
+QUICKTIME_KEYS, HEIF_ITEMS, HEIF_EXTENTS = 400, 64, 8
 
 
 @dataclass
@@ -84,18 +88,18 @@ def wall_clock(fields: tuple[str, ...], fraction: str | None, source: str) -> Ca
 
 
 def exif_time(text: str | None, fraction: str | None) -> Capture | None:
-    m = re.match(r"(\d{4}):(\d\d):(\d\d)[ T](\d\d):(\d\d):(\d\d)", (text or "").strip(), re.A)
+    m = re.match(EXIF, (text or "").strip(), re.A)
     return wall_clock(m.groups(), fraction, "exif") if m else None
 
 
 def iso_time(text: str | None, source: str) -> Capture | None:
-    m = re.match(r"(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:\.(\d+))?", (text or "").strip(), re.A)
+    m = re.match(ISO, (text or "").strip(), re.A)
     return wall_clock(m.groups()[:6], m[7], source) if m else None
 
 
 def xmp_time(text: str) -> Capture | None:
     for tag in XMP_TAGS:
-        m = re.search(tag + r'(?:>|=")(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?)', text, re.A)
+        m = re.search(tag + XMP_VALUE, text, re.A)
         if m and (found := iso_time(m[1], "xmp")):
             return found
     return None
@@ -162,8 +166,8 @@ def tiff_capture(data: bytes) -> Capture | More | None:
     tiff = Tiff(data)
     dates: dict[int, str] = {}
     fractions: dict[int, str] = {}
-    for tag, kind, n, at in tiff.entries((EXIF_IFD,), 512, 4):
-        if kind != 2 or n > 2_000_000 or tag not in DATE_TAGS and tag not in DATE_TAGS.values():
+    for tag, kind, n, at in tiff.entries((EXIF_IFD,), DATE_ENTRIES, DATE_DEPTH):
+        if kind != 2 or n > DATE_BYTES or tag not in DATE_TAGS and tag not in DATE_TAGS.values():
             continue
         if at + min(n, 4) > len(data):
             tiff.need = max(tiff.need, at + n)
@@ -266,7 +270,7 @@ def quicktime_meta(data: bytes, box: Box) -> Capture | None:
     for b in boxes(data, box.body + 4, box.end):
         if b.kind == b"keys":
             at, count = b.body + 8, int.from_bytes(data[b.body + 4 : b.body + 8], "big")
-            while count <= 400 and len(keys) < count and at + 8 <= b.end:
+            while count <= QUICKTIME_KEYS and len(keys) < count and at + 8 <= b.end:
                 size = int.from_bytes(data[at : at + 4], "big")
                 if size < 8 or at + size > b.end:
                     break
@@ -305,7 +309,7 @@ def exif_items(meta: bytes, body: int) -> Iterator[tuple[int, int]]:
     tables = {b.kind: meta[b.body : b.end] for b in boxes(meta, body + 4, len(meta))}
     info, place = tables.get(b"iinf", b""), tables.get(b"iloc", b"")
     wanted: set[int] = set()
-    if len(info) >= 6 and int.from_bytes(info[4:6], "big") <= 64:
+    if len(info) >= 6 and int.from_bytes(info[4:6], "big") <= HEIF_ITEMS:
         for b in boxes(info, 6, len(info)):
             version = info[b.body] if b.body < b.end else 0
             wide = 2 if version == 2 else 4
@@ -325,12 +329,12 @@ def exif_items(meta: bytes, body: int) -> Iterator[tuple[int, int]]:
 
     try:
         count = take(2 if version < 2 else 4)
-        for _ in range(count if count <= 64 else 0):
+        for _ in range(count if count <= HEIF_ITEMS else 0):
             item = take(2 if version < 2 else 4)
             method = take(2) & 15 if version in (1, 2) else 0
             take(2)
             base, extents = take(sizes[2]), take(2)
-            if extents > 8:
+            if extents > HEIF_EXTENTS:
                 return
             for _ in range(extents):
                 take(sizes[3])
@@ -438,10 +442,10 @@ def tiff_facts(data: bytes) -> dict | None:
     facts: dict = {}
     angle: dict[int, float] = {}
     refs: dict[int, str] = {}
-    for tag, kind, n, at in tiff.entries((EXIF_IFD, GPS_IFD), 400, 6):
+    for tag, kind, n, at in tiff.entries((EXIF_IFD, GPS_IFD), FACT_ENTRIES, FACT_DEPTH):
         if at is None or n <= 0:
             continue
-        text = tiff.text(at, n, "utf8").strip() if n <= 400 and at + n <= len(data) else ""
+        text = tiff.text(at, n, "utf8").strip() if n <= FACT_BYTES and at + n <= len(data) else ""
         if tag in TEXT_FACTS:
             facts[TEXT_FACTS[tag]] = text
         elif tag in (0x9003, 0x0132):
