@@ -6,9 +6,11 @@ listing. Decoders read header ranges by path where workers can open it and the c
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.times import parts as date_parts
 from ..functions.udfs import vectorised
-from . import decode
+from . import decode, jpeg
 
 # Names of directories that hold software or its assets, marks of installed programs, names at a drive's root.
 SOFTWARE = (
@@ -208,25 +210,31 @@ def content_hash(source: pd.Series) -> pd.Series:
 
 @vectorised("bigint")
 def phash_embedded(source: pd.Series) -> pd.Series:
-    """The difference hash of pictures; null where the optional imaging library is missing, and then similar pictures are not looked for."""
+    """The difference hash of pictures, by path or content: of JPEG files, and of others by the JPEG picture in them, as raw files have one. Other formats are read if an optional imaging library is there, and null otherwise."""
+    return source.map(lambda p: None if p is None else picture_hash(p)).astype("Int64")
+
+
+def picture_hash(source: str | bytes) -> int | None:
+    try:
+        with decode.Reader(source) as r:
+            head = r.read(0, 2)
+            data = r.read(0, r.size if head == b"\xff\xd8" else jpeg.PREVIEW_BYTES)
+    except OSError:
+        return None
+    found = None if head in (b"\xff\xd8", b"II", b"MM") else _decoded_elsewhere(source)
+    return jpeg.fingerprint(data) if found is None else found
+
+
+def _decoded_elsewhere(source: str | bytes) -> int | None:
     try:
         from PIL import Image, ImageOps
     except ImportError:
-        return pd.Series([None] * len(source), dtype="Int64")
-
-    def one(p):
-        try:
-            im = ImageOps.exif_transpose(Image.open(p)).convert("L").resize((9, 8))
-        except Exception:
-            return None
-        px = list(im.getdata())
-        bits = 0
-        for y in range(8):
-            for x in range(8):
-                bits = bits << 1 | (px[9 * y + x + 1] > px[9 * y + x])
-        return bits - (1 << 64) if bits >> 63 else bits
-
-    return source.map(one).astype("Int64")
+        return None
+    try:
+        grey = ImageOps.exif_transpose(Image.open(io.BytesIO(source) if isinstance(source, bytes) else source)).convert("L")
+    except Exception:  # whatever the library cannot read has no fingerprint
+        return None
+    return jpeg.difference_hash(np.asarray(grey, float))
 
 
 def catalog(files: DataFrame, kind: str, min_edge: int = 0, zone: str | None = None) -> DataFrame:
