@@ -1,6 +1,6 @@
 """Catalogues of media files as DataFrames.
 
-Files are listed by Spark's binaryFile source, which reads no content unless it is asked for; directories are pruned with joins on the
+Files are listed by Spark's binaryFile source, which reads no content unless it is asked for, or level by level by the workers, who see hidden and empty files, links and birth times; directories are pruned with joins on the
 listing. Decoders read header ranges by path where workers can open it and the content column elsewhere.
 """
 
@@ -9,15 +9,18 @@ from __future__ import annotations
 import io
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.times import parts as date_parts
 from ..functions.udfs import vectorised
+from ..operators.stages import Stages
 from . import decode, jpeg
 
 # Names of directories that hold software or its assets, marks of installed programs, names at a drive's root.
@@ -97,6 +100,12 @@ def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
     return _named(files.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms")))
 
 
+def _stamps(s: os.stat_result) -> tuple[int, int]:
+    """When a file was changed and born, in whole milliseconds; where its birth is not known it is the change."""
+    changed = s.st_mtime_ns // 1_000_000
+    return changed, int(getattr(s, "st_birthtime", 0) * 1000) or changed
+
+
 def listed_local(spark: SparkSession, roots: list[str]) -> DataFrame:
     """The same through the driver's file system, with birth times and hard links, which Spark's listing lacks. For roots of one machine."""
     rows = []
@@ -108,12 +117,62 @@ def listed_local(spark: SparkSession, roots: list[str]) -> DataFrame:
                 if os.path.islink(p):
                     continue
                 s = os.lstat(p)
-                birth = getattr(s, "st_birthtime", s.st_mtime)
-                rows.append((p, s.st_size, int(s.st_mtime * 1000), int(birth * 1000), s.st_dev, s.st_ino, s.st_nlink))
+                rows.append((p, s.st_size, *_stamps(s), s.st_dev, s.st_ino, s.st_nlink))
     raw = spark.createDataFrame(rows, "path string, size bigint, mtime_ms bigint, birthtime_ms bigint, dev bigint, ino bigint, nlink int")
     return _named(raw)
 
 
+LISTED = "kind string, path string, size bigint, mtime_ms bigint, birthtime_ms bigint, dev bigint, ino bigint, nlink int, error string"
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is in each folder: files, hidden and empty ones too, and folders; links are passed over, and what cannot be read is named with its error."""
+    kinds = {"kind": pa.string(), "path": pa.string(), **dict.fromkeys(("size", "mtime_ms", "birthtime_ms", "dev", "ino"), pa.int64()), "nlink": pa.int32(), "error": pa.string()}
+    for batch in batches:
+        rows: list[tuple] = []
+        for folder in batch.column(0).to_pylist():
+            try:
+                entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            except OSError as e:
+                rows.append(("error", folder, *[None] * 6, str(e)))
+                continue
+            for entry in entries:
+                try:
+                    path = entry.path.encode().decode()  # a name that is no UTF-8 has no place in a string column
+                    if entry.is_symlink():
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        rows.append(("folder", path, *[None] * 7))
+                    elif entry.is_file(follow_symlinks=False):
+                        s = os.lstat(path)
+                        rows.append(("file", path, s.st_size, *_stamps(s), s.st_dev, s.st_ino, s.st_nlink, None))
+                except (OSError, UnicodeError) as e:
+                    rows.append(("error", repr(entry.path), *[None] * 6, str(e)))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
+def walked(spark: SparkSession, roots: list[str], excluded: list[str] | None = None, software: bool = True, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every file below the roots, hidden and empty ones too, with birth times and what tells hard links; and the folders and files that could not be read, with their errors.
+
+    Folders are listed by the workers, level by level: each level's folders are the next one's input, so the driver sees only how many there are, and a level of many folders is spread over all tasks. Folders that are excluded
+    or hold software are not entered. For folders that all workers see under the same path.
+    """
+    stages = stages or Stages(spark)
+    frontier, waiting, levels = spark.createDataFrame([(r,) for r in prune_roots(roots, exists=lambda _: True)[0]], "path string"), len(roots), []
+    slots = spark.sparkContext.defaultParallelism
+    while waiting:
+        shut = N.is_excluded("path", excluded or []) | (is_software("path") if software else F.lit(False))
+        open_ = frontier.filter(~shut).repartition(max(1, min(waiting, 4 * slots)), "path")
+        level = stages.put(open_.mapInArrow(_list_folders, LISTED), f"level{len(levels)}", folders=F.count(F.when(F.col("kind") == "folder", 1)))
+        levels.append(level)
+        waiting, frontier = stages.counts["folders"], level.filter("kind = 'folder'").select("path")
+    if not levels:
+        levels = [spark.createDataFrame([], LISTED)]
+    every = reduce(DataFrame.unionByName, levels)
+    return _named(every.filter("kind = 'file'").drop("kind", "error")), every.filter("kind = 'error'").select("path", "error")
+
+
 def _named(df: DataFrame) -> DataFrame:
     for c in ("birthtime_ms", "dev", "ino", "nlink"):
         if c not in df.columns:

@@ -1,9 +1,11 @@
 import os
+import sys
 
 import builders as B
 from pyspark.sql import functions as F
 
-from shoebox.sources import decode, files
+from shoebox.operators.stages import Stages
+from shoebox.sources import decode, files, process
 
 WANT = 1577934245120
 
@@ -75,3 +77,63 @@ def test_sidecars_and_pairs(spark):
     paths = spark.createDataFrame([("/p/IMG_1.CR2",), ("/p/img_1.jpg",), ("/p/IMG_1.xmp",), ("/q/IMG_1.xmp",), ("/p/IMG_2.jpg",)], "path string")
     mine = paths.filter("path = '/p/IMG_1.CR2'")
     assert files.sidecars(mine, paths).first()["sidecars"] == ["/p/IMG_1.xmp"] and files.camera_pairs(mine, paths).first()["pairs"] == ["/p/img_1.jpg"]
+
+
+def test_workers_list_what_the_driver_would(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        write(tmp_path, f"d{i % 5}/e{i % 3}/f{i % 2}/IMG_{i}.jpg", b"x" * i)
+    write(tmp_path, "d0/.hidden.jpg", b"x")
+    write(tmp_path, "d1/.deep/in/side.jpg", b"x")
+    write(tmp_path, "node_modules/x.jpg", b"x")
+    write(tmp_path, "d2/skip/x.jpg", b"x")
+    os.link(tmp_path / "d1/e1/f1/IMG_1.jpg", tmp_path / "d2/linked.jpg")
+    os.symlink(tmp_path / "d1", tmp_path / "d3/round")
+    os.symlink(tmp_path / "d1/e1/f1/IMG_1.jpg", tmp_path / "d3/soft.jpg")
+    (tmp_path / "empty").mkdir()
+    root = str(tmp_path)
+    want = sorted(tuple(r) for r in files.listed_local(spark, [root]).collect())
+    monkeypatch.setattr(os, "walk", None)
+    stages = Stages(spark)
+    got, errors = files.walked(spark, [root, root + "/d0"], software=False, stages=stages)
+    assert sorted(tuple(r) for r in got.collect()) == want and errors.count() == 0
+    once = files.media(got, (".jpg",))
+    assert once.groupBy("dev", "ino").count().filter("count > 1").count() == 0
+    pruned = {r.path for r in files.walked(spark, [root], [root + "/D2/skip"])[0].collect()}
+    assert pruned == {r[0] for r in want if "node_modules" not in r[0] and "/skip/" not in r[0]}
+    lost, errors = files.walked(spark, [root + "/none"])
+    assert lost.count() == 0 and [r.path for r in errors.collect()] == [root + "/none"]
+    assert files.walked(spark, [])[0].count() == 0
+    stages.close()
+
+
+PROGRAM = """
+import json, os, sys, time
+print("warming up", flush=True)
+for line in sys.stdin:
+    p = line.strip()
+    if p == "die": os._exit(3)
+    if p == "hang": time.sleep(60)
+    if p == "noise": print("{broken", flush=True)
+    if p == "other": print(json.dumps({"path": "elsewhere", "phash": "0"}), flush=True)
+    print(json.dumps({"path": p, "phash": format(len(p), "016x") if p != "bad" else "xyz", "pid": os.getpid()}), flush=True)
+"""
+
+
+def test_programs_are_asked_line_by_line(spark, tmp_path):
+    script = tmp_path / "program.py"
+    script.write_text(PROGRAM)
+    asked = ["a", "die", "bb", "noise", "hang", "ccc", "other", "bad", "die", "die", "é" * 4, "with\nbreak", "", None]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(asked)], "i int, path string").coalesce(1)
+    command = [sys.executable, str(script)]
+    got = {r.i: r for r in process.answered(rows, command, "path string, phash string, pid bigint", limit=3).collect()}
+    lost = {i for i, p in enumerate(asked) if p in ("die", "hang", "", None) or "\n" in p}
+    assert {i for i, r in got.items() if r.answer is None} == lost and all(got[i].answer.path == p for i, p in enumerate(asked) if i not in lost)
+    assert len({r.answer.pid for r in got.values() if r.answer}) == 4  # a new child after each loss that something followed
+    prints = {r.i: r.phash for r in process.fingerprints(rows, command, limit=3).collect()}
+    assert prints[0] == 1 and prints[2] == 2 and prints[7] is None and prints[10] == 4
+    nobody = process.answered(rows.limit(1), ["/no/such/program"], "path string", limit=1)
+    try:
+        nobody.collect()
+        raise AssertionError("a program that is not there must not look like one without answers")
+    except Exception as e:
+        assert "no/such/program" in str(e)
