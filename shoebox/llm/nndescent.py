@@ -7,9 +7,8 @@ needs once. A list that is full of links is saturated and gets twice the room in
 
 The links at the threshold close to components. What a list of bounded room could not hold is then made whole: within each component the
 links of every vector are counted against all members, in tiles of bounded size and without emitting the pairs. An audit compares a sample of
-vectors with all others and takes the mean share of their links that were found, each linked vector counting once; under Options.recall, or with too few linked vectors
-in the sample, another attempt follows with more cells and longer lists. If recall is low after the last attempt, all vectors are compared in blocks. Half of the sample
-is of vectors that have a neighbour near the threshold, so that it holds linked ones where links are rare.
+vectors with all others and takes the mean share of their links that were found, each linked vector counting once; under Options.recall another attempt follows with more cells and longer lists. If recall is low after the last attempt, or links are so rare that even the largest sample holds
+too few linked vectors to tell, all vectors are compared in blocks. Half of the sample is of vectors that have a neighbour near the threshold, so that it holds linked ones where links are rare.
 
 Equal vectors are one node and are expanded only in the counts. Similarities are in double precision.
 
@@ -274,13 +273,13 @@ def _whole(nodes: DataFrame, label: DataFrame, kind: str, o: Options) -> DataFra
 
 
 def audit(nodes: DataFrame, links: DataFrame, kind: str, o: Options, near: DataFrame | None = None) -> tuple[float, bool]:
-    """Mean share of the links found over the linked nodes of a sample, and whether it holds enough of them (or all nodes)."""
-    size = o.audited
+    """Mean share of the links found over the linked nodes of a sample, and whether it says anything: it holds enough of them, or all nodes. Without links it is 1 only if it held all nodes."""
+    size, every = o.audited, nodes.count()
     while True:
         shares, n = _shares(nodes, links, kind, o, size, near)
-        enough = len(shares) >= o.linked or n < size
+        enough = len(shares) >= o.linked or n >= every
         if enough or size >= 16 * o.audited:
-            return (sum(shares) / len(shares) if shares else 1.0), enough
+            return (sum(shares) / len(shares) if shares else float(n >= every)), enough
         size = 16 * o.audited
 
 
@@ -288,9 +287,10 @@ def _shares(nodes: DataFrame, links: DataFrame, kind: str, o: Options, size: int
     """Share of the links found of each linked node in a sample, and the sample's size; the sample meets all nodes in blocks."""
     first = lambda df, n: df.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(n).select("node", "vec", "dim").toArrow().to_pylist()
     sample = first(nodes, size if near is None else size // 2)
-    if near is not None:
-        have = {s["node"] for s in sample}
-        sample += [s for s in first(nodes.join(near, "node", "left_semi"), size) if s["node"] not in have][: size - size // 2]
+    if near is not None:  # and where too few have a near neighbour, more of all
+        for source in (nodes.join(near, "node", "left_semi"), nodes):
+            have = {s["node"] for s in sample}
+            sample += [s for s in first(source, size) if s["node"] not in have][: size - len(sample)]
     if not sample:
         return [], 0
     sent = C.shared(nodes.sparkSession, sample)
@@ -401,7 +401,7 @@ def _pack(kind: str):
 
 def _linked(nodes: DataFrame, kind: str, o: Options) -> DataFrame:
     """node, n_links, component_id of every node; all vectors have one length."""
-    links, label, edges, recall = None, None, None, 0.0
+    links, label, edges, recall, enough = None, None, None, 0.0, False
     for attempt in range(o.attempts):
         new, near = _refined(nodes, kind, o, attempt)
         new, near = C.written(new), C.written(near)
@@ -409,9 +409,9 @@ def _linked(nodes: DataFrame, kind: str, o: Options) -> DataFrame:
         label = components(edges)
         links = C.written(_whole(nodes, label, kind, o))
         recall, enough = audit(nodes, links, kind, o, near)
-        if recall >= o.recall and enough:
+        if recall >= o.recall or not enough:
             break
-    if recall < o.recall:
+    if recall < o.recall or not enough:  # links too rare to be measured by a sample are found by comparing all
         label = components(C.written(exact(nodes, kind, o)))
         links = C.written(_whole(nodes, label, kind, o))
     own = C.written(nodes.select("node", "n", "first").join(label, "node", "left").select("node", "n", "first", F.coalesce("label", "node").alias("label")))

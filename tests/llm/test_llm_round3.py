@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.llm import common, pages, queries, resampling, whitening
+from shoebox.llm import common, nndescent, pages, queries, resampling, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,3 +178,20 @@ def test_main_text_cases(spark):
     assert len(got) == 6 and got[1, "u"]["text"] == "" and got[2, None]["n_chars"] == 0 and got[None, "u"]["text"] == "x"
     assert got[3, "u"]["text"] == "\n".join(["A paragraph of the long page, which says little."] * 20000)
     assert pages.main_text(table.limit(0)).count() == 0
+
+
+def test_audit_of_rare_links(spark):
+    """A table with one linked pair among 3,000: the audit says that it cannot tell, and the pair is found."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24))
+    x[2999] = x[17] + rng.normal(size=24) * 0.01
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    packed = table.select(F.xxhash64("embedding").alias("node"), F.col("embedding").alias("v"), F.lit(1).cast("long").alias("n"), F.col("vec_id").alias("first"))
+    nodes = common.written(packed.mapInArrow(nndescent._pack("<f8"), "node long, vec binary, dim int, n long, first long"))
+    o = nndescent.Options(audited=16, linked=8)
+    nothing = spark.createDataFrame([], "node long, links long")
+    assert nndescent.audit(nodes, nothing, "<f8", o) == (0.0, False)
+    assert nndescent.audit(nodes, nothing, "<f8", o, near=nodes.limit(3).select("node"))[1] is False
+    assert nndescent.audit(nodes.limit(10), nothing, "<f8", o) == (1.0, True)  # all of them were looked at
+    got = {r.vec_id: r for r in nndescent.link(table, o).collect()}
+    assert len(got) == 3000 and {i for i, r in got.items() if r.n_links} == {17, 2999} and got[2999].component_id == 17
