@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.vectors import cosine, unit
 from .dedupe import by_groups
-from .library import CLUSTER_VERSION, FACE_MODEL, Marks
+from .library import CLUSTER_VERSION, FACE_MODEL, Marks, without_orphans
 
 SAME_PERSON = 0.32
 WINDOW_MS = 4 * 60 * 60 * 1000
@@ -26,14 +26,18 @@ WINDOW_MS = 4 * 60 * 60 * 1000
 SENT = 64 << 20
 
 
+def _matrix(rows: list, at: list[int], d: int) -> np.ndarray:
+    return np.array([() if rows[i] is None else rows[i] for i in at], float).reshape(len(at), d)
+
+
 def _vectors(rows: list, dims: dict[int, list[int]]) -> dict[int, np.ndarray]:
-    return {d: np.array([rows[i] for i in at], float).reshape(len(at), d) for d, at in dims.items()}
+    return {d: _matrix(rows, at, d) for d, at in dims.items()}
 
 
 def _by_length(values: list) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for i, v in enumerate(values):
-        out.setdefault(len(v or ()), []).append(i)
+        out.setdefault(0 if v is None else len(v), []).append(i)
     return out
 
 
@@ -48,52 +52,87 @@ def _unit_rows64(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _block_nearest(sent, threshold: float):
-    """Of each face the best person of a block, the last of equals."""
+def _best_of(faces: list, ids: np.ndarray, vectors: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each face the best of some people in the order of their ids, the last of equals: places of the faces that have one, who, and how near."""
+    people = _by_length(vectors)
+    blocks = _vectors(vectors, people)
+    score, who = np.full(len(faces), -np.inf), np.zeros(len(faces), np.int64)
+    for d, at in _by_length(faces).items():
+        x = _matrix(faces, at, d)
+        for k, y in blocks.items():
+            s = _cosines(x, y)
+            last = s.shape[1] - 1 - s[:, ::-1].argmax(1)
+            best, own = s[np.arange(len(at)), last], ids[people[k]][last]
+            better = (best > score[at]) | ((best == score[at]) & (own > who[at]))
+            score[at] = np.where(better, best, score[at])
+            who[at] = np.where(better, own, who[at])
+    hit = np.flatnonzero(score >= threshold)
+    return hit, who[hit], score[hit]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = sent.value  # in the order of ids
-        people = _by_length(vectors)
-        blocks = _vectors(vectors, people)
-        for batch in batches:
-            faces = batch.column(1).to_pylist()
-            score, who = np.full(len(faces), -np.inf), np.zeros(len(faces), np.int64)
-            for d, at in _by_length(faces).items():
-                x = np.array([faces[i] for i in at], float).reshape(len(at), d)
-                for k, y in blocks.items():
-                    s = _cosines(x, y)
-                    last = s.shape[1] - 1 - s[:, ::-1].argmax(1)
-                    best, own = s[np.arange(len(at)), last], np.array(ids)[people[k]][last]
-                    better = (best > score[at]) | ((best == score[at]) & (own > who[at]))
-                    score[at] = np.where(better, best, score[at])
-                    who[at] = np.where(better, own, who[at])
-            hit = np.flatnonzero(score >= threshold)
-            yield pa.record_batch([batch.column(0).take(pa.array(hit)), pa.array(who[hit]), pa.array(score[hit])], ["face_id", "person_id", "score"])
+#: Rows of a block of faces.
+FACES_BLOCK = 1 << 14
 
-    return run
+
+def in_blocks(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lrows: int, rrows: int, f, schema: str) -> DataFrame:
+    """f of every block of left and every block of right, each side dealt to blocks of about as many rows by a hash of its key: a task has two blocks at a time."""
+    nl, nr = left.count() // lrows + 1, right.count() // rrows + 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    l = left.withColumn("_l", F.pmod(F.xxhash64(lkey), F.lit(nl)).cast("int")).withColumn("_r", each(nr))
+    r = right.withColumn("_r", F.pmod(F.xxhash64(rkey), F.lit(nr)).cast("int")).withColumn("_l", each(nl))
+    return l.groupBy("_l", "_r").cogroup(r.groupBy("_l", "_r")).applyInPandas(f, schema)
 
 
 def nearest(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON, sent_bytes: int = SENT) -> DataFrame:
     """Of each face (id, embedding) the person (id, embedding) with the largest cosine of at least the threshold, the last of equals; null if none.
 
-    Every face meets every person as blocks of matrices: people are few. As many as sent_bytes hold are sent to all tasks at once; more come in blocks, one after
-    another, and each face keeps the best of its blocks.
+    Every face meets every person as blocks of matrices: people are few. As many as sent_bytes hold are sent to all tasks at once; more are dealt to blocks among the workers, every block of faces meets every block of people, and
+    each face keeps the best.
     """
     f = faces.select(F.col("id").cast("bigint").alias("face_id"), F.col("embedding").alias("fe"))
     p = people.filter("embedding is not null").select(F.col("id").cast("bigint").alias("person_id"), F.col("embedding").alias("pe"))
-    size = p.agg(F.coalesce(F.sum(F.size("pe") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
-    blocks, best = int(size // sent_bytes) + 1, None
-    for k in range(blocks):
-        own = p if blocks == 1 else p.filter(F.pmod(F.xxhash64("person_id"), F.lit(blocks)) == k)
-        rows = own.orderBy("person_id").toArrow()
-        sent = faces.sparkSession.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-        part = f.mapInArrow(_block_nearest(sent, threshold), "face_id bigint, person_id bigint, score double")
-        best = part if best is None else best.unionByName(part)
-    if blocks > 1:
-        best = best.groupBy("face_id").agg(F.max_by("person_id", F.struct("score", "person_id")).alias("person_id"), F.max("score").alias("score"))
+    size, n = p.agg(F.coalesce(F.sum(F.size("pe") * 8 + 16), F.lit(0)), F.count("*")).first()
+    schema = "face_id bigint, person_id bigint, score double"
+    if size <= sent_bytes:
+        rows = p.orderBy("person_id").toArrow()
+        sent = faces.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit, who, score = _best_of(batch.column(1).to_pylist(), *sent.value, threshold)
+                yield pa.record_batch([batch.column(0).take(pa.array(hit)), pa.array(who), pa.array(score)], ["face_id", "person_id", "score"])
+
+        best = f.mapInArrow(run, schema)
+    else:
+
+        def meet(some: pd.DataFrame, whom: pd.DataFrame) -> pd.DataFrame:
+            whom = whom.sort_values("person_id")
+            hit, who, score = _best_of(some["fe"].tolist(), whom["person_id"].to_numpy(), whom["pe"].tolist(), threshold)
+            return pd.DataFrame({"face_id": some["face_id"].to_numpy()[hit], "person_id": who, "score": score})
+
+        each = in_blocks(f, p, "face_id", "person_id", FACES_BLOCK, max(1, n * sent_bytes // size), meet, schema)
+        best = each.groupBy("face_id").agg(F.max_by("person_id", F.struct("score", "person_id")).alias("person_id"), F.max("score").alias("score"))
     return f.select("face_id").join(best, "face_id", "left")
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
+    """a, b, score: every vector of left (id, embedding) with every one of right whose cosine is at least the threshold, compared in blocks."""
+    l, r = left.select(F.col("id").cast("bigint").alias("a"), F.col("embedding").alias("x")), right.select(F.col("id").cast("bigint").alias("b"), F.col("embedding").alias("y"))
+    usable = lambda df, c: df.filter(F.col(c).isNotNull())
+
+    def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        xs, ys = some["x"].tolist(), others["y"].tolist()
+        for d, at in _by_length(xs).items():
+            for e, to in _by_length(ys).items():
+                s = _cosines(_matrix(xs, at, d), _matrix(ys, to, e))
+                i, j = np.nonzero(s >= threshold)
+                out.append(pd.DataFrame({"a": some["a"].to_numpy()[np.array(at, int)[i]], "b": others["b"].to_numpy()[np.array(to, int)[j]], "score": s[i, j]}))
+        return pd.concat(out)
+
+    return in_blocks(usable(l, "x"), usable(r, "y"), "a", "b", 1 << 12, 1 << 12, meet, "a bigint, b bigint, score double")
+
+
 def best_name(faces: DataFrame, named: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
     """face_id and the name of the nearest named face; empty if none is near."""
     near = nearest(faces, named.filter("coalesce(name, '') <> ''"), threshold)
@@ -229,8 +268,8 @@ def rebuild(faces: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return out, people
 
 
-def attach_loose(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON) -> tuple[DataFrame, DataFrame]:
-    """Faces without a person, in the order of id, get the nearest one, with their name, or become a new person whom later faces may be near; faces and people with the new ones.
+def attach_loose(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Faces without a person, in the order of id or of the given columns, get the nearest one, with their name, or become a new person whom later faces may be near; faces and people with the new ones.
 
     Who is new depends on all faces before, so the loose faces, and they alone, are folded in one task.
     """
@@ -239,8 +278,10 @@ def attach_loose(faces: DataFrame, people: DataFrame, threshold: float = SAME_PE
     near = nearest(loose, known, threshold).select(F.col("face_id").alias("id"), F.col("person_id").alias("_near"), F.col("score").alias("_score"))
     top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"]
 
+    places = [f"_o{i}" for i in range(len(order or ["id"]))]
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
+        rows = rows.sort_values(places).reset_index(drop=True)
         leaders: list[tuple[int, np.ndarray]] = []
         who, fresh = [], []
         for e, person, score in zip(rows["embedding"], rows["_near"], rows["_score"], strict=True):
@@ -256,7 +297,7 @@ def attach_loose(faces: DataFrame, people: DataFrame, threshold: float = SAME_PE
             who.append(person)
         return pd.DataFrame({"id": rows["id"], "_who": who, "_fresh": fresh, "_embedding": rows["embedding"]})
 
-    folded = loose.select("id", "embedding").join(near, "id").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda r: fold(r.drop(columns="_all")), "id bigint, _who bigint, _fresh boolean, _embedding array<float>")
+    folded = loose.select("id", "embedding", *(F.col(c).alias(p) for c, p in zip(order or ["id"], places, strict=True))).join(near, "id").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda r: fold(r.drop(columns="_all")), "id bigint, _who bigint, _fresh boolean, _embedding array<float>")
     joined = faces.join(folded, "id", "left")
     own = loose.select("id", F.coalesce("name", F.lit("")).alias("name"))
     new = folded.filter("_fresh").join(own, "id").select(F.col("_who").alias("id"), "name", F.col("_embedding").alias("exemplar"))
@@ -349,18 +390,35 @@ def relinked(shots_: DataFrame, m: Marks, window_ms: int = WINDOW_MS) -> DataFra
     return own.select("path", "person_id").union(link_back_views(shots_, window_ms)).dropDuplicates(["path", "person_id"])
 
 
+#: Characters of a person's name (a fixed value).
+NAME_LENGTH = 40
+
+
+def renamed_count(m: Marks, person_id: int) -> DataFrame:
+    """One row: the person and how many faces a new name reaches; no row if there is no such person."""
+    faces = m.faces.filter(F.col("person_id") == person_id).agg(F.count("*").alias("count"))
+    return m.people.filter(F.col("id") == person_id).select(F.col("id").alias("person_id")).limit(1).crossJoin(faces)
+
+
+def renamed_face(m: Marks, face_id: int, name: str) -> tuple[Marks, DataFrame]:
+    """A new name for the person whose face it is, and the person with the number of faces that it reaches; nothing changes for a face that is not there or belongs to nobody."""
+    owner = m.faces.filter((F.col("id") == face_id) & (F.col("person_id") > 0)).select("person_id").first()
+    person = owner["person_id"] if owner else 0
+    return renamed(m, person, name) if person else m, renamed_count(m, person)
+
+
 def renamed(m: Marks, person_id: int, name: str) -> Marks:
     """A person's new name, trimmed and at most 40 characters, also on their faces."""
-    name = name.strip()[:40]
+    name = name.strip()[:NAME_LENGTH]
     put = lambda df, c: df.withColumn("name", F.when(F.col(c) == person_id, F.lit(name)).otherwise(F.col("name")))
     return Marks(put(m.faces, "person_id"), m.labels, m.appearances, put(m.people, "id"))
 
 
 def prepared(m: Marks, model: str | None, version: str | None) -> tuple[Marks, bool]:
-    """Nothing of another face model is kept; whether people must be found anew."""
-    if model is not None and model != FACE_MODEL:
-        m = Marks(*(df.limit(0) for df in (m.faces, m.labels, m.appearances, m.people)))
-    return m, version != CLUSTER_VERSION
+    """Nothing of another face model, or of one that is not known, is kept; whether people must be found anew."""
+    if model != FACE_MODEL:
+        m = Marks(*(df.filter(F.lit(False)) for df in (m.faces, m.labels, m.appearances, m.people)))
+    return m, model != FACE_MODEL or version != CLUSTER_VERSION
 
 
 def recognized(items: DataFrame, known: DataFrame, threshold: float = SAME_PERSON) -> tuple[DataFrame, DataFrame]:
@@ -371,3 +429,25 @@ def recognized(items: DataFrame, known: DataFrame, threshold: float = SAME_PERSO
     near = nearest(main.select("id", "embedding"), known.filter("exemplar is not null").select("id", F.col("exemplar").alias("embedding")), threshold)
     faces = main.join(near.select(F.col("face_id").alias("id"), "person_id"), "id").select("path", "ord", "embedding", F.coalesce("person_id", F.lit(0)).alias("person_id"))
     return faces, recognized_labels(items)
+
+
+def save_recognition(items: DataFrame, m: Marks, photos: DataFrame, threshold: float = SAME_PERSON) -> Marks:
+    """Marks after a recogniser's items (seq, path, faces, labels) are saved in the order of seq: what a photo had before is replaced.
+
+    Each main subject gets the nearest known person with their name, or becomes a new person without one, whom later faces may be near. A photo appears under the persons of its faces. People without a name, a face and an
+    appearance go. New ids follow the largest one; ids of faces are hashes of path and place. An item without faces and labels empties its photo's marks.
+
+    Who is new depends on the items before, so the items' faces, and they alone, are folded in one task.
+    """
+    found = items.select("seq", "path", F.posexplode("faces").alias("ord", "f")).select("seq", "path", F.col("ord").cast("bigint").alias("ord"), F.col("f.embedding").alias("embedding"), F.col("f.area").alias("area"))
+    main = main_subjects(found, threshold).join(items.select("path", "seq"), "path")
+    loose = main.select(F.xxhash64("path", "ord").alias("id"), "path", "embedding", F.lit("").alias("name"), F.lit(0).cast("bigint").alias("person_id"), "seq", "area", "ord")
+    # within a photo the larger face comes first
+    attached, everyone = attach_loose(loose.withColumn("_less", -F.col("area")), m.people, threshold, ["seq", "_less", "ord"])
+    fresh = attached.select("id", "path", "embedding", "name", "person_id")
+    untouched = lambda df: df.join(items.select("path"), "path", "left_anti").select(*df.columns)
+    faces = untouched(m.faces).unionByName(fresh)
+    labels = untouched(m.labels).unionByName(recognized_labels(items))
+    appearances = untouched(m.appearances).unionByName(fresh.select("path", "person_id").distinct())
+    saved = without_orphans(photos, Marks(faces, labels, appearances, everyone))
+    return Marks(faces, labels, appearances, saved.people)

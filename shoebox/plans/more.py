@@ -227,11 +227,49 @@ def recognized_labels(spark, sf_dir):
     return people.recognized_labels(X.events(spark, sf_dir).select("path", some.alias("faces"), labels.alias("labels")))
 
 
-@query("SELECT count(*) AS faces, true AS again FROM embeddings WHERE vec_id < 0")
+@query(f"""WITH {EVENTS}, n AS (SELECT count(*) FILTER (event_type = 'click') AS faces, count(DISTINCT user_id) AS people FROM shots)
+SELECT model, again, CASE WHEN kept THEN faces ELSE 0 END AS faces, CASE WHEN kept THEN people ELSE 0 END AS people FROM n, (VALUES ('same', false, true), ('other', true, false), ('older', true, true), ('none', true, false)) v(model, again, kept)""")
 def prepared_recognition(spark, sf_dir):
     """Faces of another model are not kept, and people of another version are found anew."""
-    m, again = people.prepared(X.marks(spark, sf_dir), "another model", "3")
-    return m.faces.agg(F.count("*").alias("faces")).withColumn("again", F.lit(again))
+    out = None
+    for name, model, version in (("same", library.FACE_MODEL, library.CLUSTER_VERSION), ("other", "another model", library.CLUSTER_VERSION), ("older", library.FACE_MODEL, "3"), ("none", None, None)):
+        m, again = people.prepared(X.marks(spark, sf_dir), model, version)
+        counts = m.faces.agg(F.count("*").alias("faces")).crossJoin(m.people.agg(F.count("*").alias("people")))
+        row = counts.select(F.lit(name).alias("model"), F.lit(again).alias("again"), "faces", "people")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {EVENTS} SELECT user_id AS person_id, count(*) FILTER (event_type = 'click') AS count FROM shots WHERE user_id IN (7, 8) GROUP BY user_id")
+def renamed_counts(spark, sf_dir):
+    """How many faces a new name reaches, for a person and for the person of a face; nothing for a person who is not there."""
+    m = X.marks(spark, sf_dir)
+    face = m.faces.filter("person_id = 8").agg(F.min("id").alias("id")).first()["id"]
+    return people.renamed_count(m, 7).unionByName(people.renamed_face(m, face, "Zed")[1]).unionByName(people.renamed_count(m, -1))
+
+
+#: Vectors by id as photos with one face: every 50th is a known person, each other one joins the nearest of those and of the new ones before, the last of equals, or becomes a new person.
+SAVED = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings WHERE vec_id % 50 <> 0),
+known AS (SELECT list({'id': vec_id + 1, 'v': CAST(embedding AS DOUBLE[])} ORDER BY vec_id) AS people, max(vec_id) + 1 AS top FROM embeddings WHERE vec_id % 50 = 0),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS person, people, CAST(top AS BIGINT) AS top FROM known
+  UNION ALL
+  SELECT i, vec_id, coalesce(hit, top + 1), CASE WHEN hit IS NULL THEN list_append(people, {'id': top + 1, 'v': v}) ELSE people END, CASE WHEN hit IS NULL THEN top + 1 ELSE top END
+  FROM (SELECT e.i, e.vec_id, e.v, w.people, w.top, list_sort([{'s': list_cosine_similarity(p.v, e.v), 'id': p.id} FOR p IN w.people IF list_cosine_similarity(p.v, e.v) >= 0.32], 'DESC')[1].id AS hit FROM walk w JOIN e ON e.i = w.i + 1)
+) SELECT 'v' || CAST(vec_id AS VARCHAR) AS path, person AS person_id, CASE WHEN person <= (SELECT top FROM known) THEN 'N' || CAST(person AS VARCHAR) ELSE '' END AS name FROM walk WHERE i > 0"""
+
+
+@query(SAVED)
+def saved_recognition(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings")
+    known = e.filter("vec_id % 50 = 0").select((F.col("vec_id") + 1).alias("id"), F.concat(F.lit("N"), (F.col("vec_id") + 1).cast("string")).alias("name"), F.col("embedding").alias("exemplar"))
+    photo = F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path")
+    face = F.array(F.struct("embedding", F.lit(1.0).alias("area"))).alias("faces")
+    items = e.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("seq"), photo, face, F.array(F.lit("landscape")).alias("labels"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    m = library.Marks(empty(library.FACES), empty(library.LABELS_TABLE), empty(library.APPEARANCES), known)
+    saved = people.save_recognition(items, m, e.select(photo))
+    return saved.faces.join(saved.appearances, ["path", "person_id"]).join(saved.labels.filter("label = 'person'").select("path"), "path").select("path", "person_id", "name")
 
 
 # Functions.

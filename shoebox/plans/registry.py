@@ -43,7 +43,8 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT length(text) AS chars, md5(text) AS hash, lang, count(*) AS files, min(doc_id) AS first_id, CAST((count(*) - 1) * octet_length(encode(any_value(text))) AS BIGINT) AS wasted FROM documents GROUP BY length(text), md5(text), lang HAVING count(*) >= 2")
 def exact_duplicate_groups(spark, sf_dir):
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("size"), F.md5("text").alias("hash"))
-    return docs.groupBy("chars", "hash", "lang").agg(F.count("*").alias("files"), F.min("doc_id").alias("first_id"), ((F.count("*") - 1) * F.first("size")).alias("wasted")).filter("files >= 2")
+    groups = dedupe.exact_groups(docs, "chars", "lang")
+    return groups.groupBy("group_id", "chars", "hash", "lang").agg(F.count("*").alias("files"), F.min("doc_id").alias("first_id"), ((F.count("*") - 1) * F.first("size")).alias("wasted")).drop("group_id")
 
 
 @query(f"WITH {GROUPED} SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY size, hash {KEEP}) = 1 THEN 'keep' ELSE 'delete' END AS role FROM grouped")
@@ -139,8 +140,9 @@ def person_ids_filter(spark, sf_dir):
 
 @query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
 def orphan_antijoin(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return X.table(spark, sf_dir, "labels").join(docs, "doc_id", "left_anti").select("doc_id", "quality")
+    docs = X.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("path"))
+    marks = X.table(spark, sf_dir, "labels").withColumn("path", F.col("doc_id").cast("string"))
+    return library.removed(marks, docs).select("doc_id", "quality")
 
 
 @query(f"WITH {EVENTS}, seen AS (SELECT DISTINCT path, user_id FROM shots WHERE event_type IN ('click', 'view') AND value > 20) SELECT user_id AS id, count(*) AS n FROM seen GROUP BY user_id")
@@ -251,9 +253,8 @@ PEOPLE = "p AS (SELECT vec_id AS pid, embedding AS pe FROM embeddings WHERE labe
 @query(f"WITH {PEOPLE} SELECT vec_id, pid, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(pe AS DOUBLE[])), 4) AS score FROM embeddings, p WHERE vec_id < pid AND list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(pe AS DOUBLE[])) >= 0.32")
 def cosine_pairs(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings")
-    p = e.filter("label = 1").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("pe"))
-    s = e.join(p, e.vec_id < p.pid).withColumn("s", vectors.cosine("embedding", "pe"))
-    return s.filter("s >= 0.32").select("vec_id", "pid", F.round("s", 4).alias("score"))
+    v = e.select(F.col("vec_id").alias("id"), "embedding", "label")
+    return people.similar_pairs(v, v.filter("label = 1")).filter("a < b").select(F.col("a").alias("vec_id"), F.col("b").alias("pid"), F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {PEOPLE}, s AS (SELECT vec_id, pid, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(pe AS DOUBLE[])) AS c FROM embeddings, p) SELECT e.vec_id AS face_id, arg_max(pid, c) FILTER (c >= 0.32) AS person_id FROM embeddings e LEFT JOIN s USING (vec_id) GROUP BY e.vec_id")

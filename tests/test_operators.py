@@ -378,3 +378,31 @@ def test_scan_has_no_single_partition(spark):
 
     dedupe.scan(spark.createDataFrame(rows, FILE), dedupe.ScanOptions(similar=True, tolerance_sec=2), stages=Watched(spark))
     assert plans and not [n for n, p in plans if "SinglePartition" in p]
+
+
+def test_saving_a_recognition(spark):
+    photos_ = photos(spark, [photo("/p/a.jpg"), photo("/p/b.jpg"), photo("/p/c.jpg"), photo("/x")])
+    items = [(1, "/p/c.jpg", [([0.0, 0.0, 1.0], 5.0), ([1.0, 0.0, 0.0], 9.0)], ["landscape"]), (2, "/p/b.jpg", [([0.0, 0.1, 1.0], 5.0)], []), (3, "/p/a.jpg", [], ["animal"])]
+    m = marks(spark)
+    m = library.Marks(m.faces, m.labels, m.appearances, spark.createDataFrame([(1, "Ann", [1.0, 0.0, 0.0]), (2, "", [0.0, 1.0, 0.0]), (4, "", [0.5, 0.5, 0.0])], library.PEOPLE))
+    got = people.save_recognition(spark.createDataFrame(items, "seq int, path string, faces array<struct<embedding: array<float>, area: double>>, labels array<string>"), m, photos_)
+    assert {(r.path, r.person_id, r.name) for r in got.faces.collect()} == {("/p/c.jpg", 1, "Ann"), ("/p/c.jpg", 5, ""), ("/p/b.jpg", 5, ""), ("/x", 2, "")}
+    assert {tuple(r) for r in got.labels.collect()} == {("/p/c.jpg", "person"), ("/p/b.jpg", "person"), ("/p/a.jpg", "animal"), ("/x", "animal")}
+    assert {tuple(r) for r in got.appearances.collect()} == {("/p/c.jpg", 1), ("/p/c.jpg", 5), ("/p/b.jpg", 5), ("/x", 2)}
+    assert {r.id for r in got.people.collect()} == {1, 2, 5}  # nobody's face or appearance is left of the fourth
+    assert people.renamed_count(m, 9).count() == 0 and [tuple(r) for r in people.renamed_count(m, 1).collect()] == [(1, 1)]
+    after, count = people.renamed_face(m, 2, " Bo ")
+    assert [tuple(r) for r in count.collect()] == [(2, 1)] and after.people.filter("id = 2").first()["name"] == "Bo" and after.faces.filter("id = 2").first()["name"] == "Bo"
+    assert people.renamed_face(m, 99, "x")[1].count() == 0
+
+
+def test_similar_pairs_and_blocks(spark):
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(70, 5)), r.normal(size=(50, 5))
+    frame = lambda v: spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)] + [(1000, [0.0] * 5), (1001, None)], "id bigint, embedding array<double>")
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    assert {(p.a, p.b) for p in people.similar_pairs(frame(x), frame(y), 0.5).collect()} == {(int(i), int(j)) for i, j in zip(*np.nonzero(cos >= 0.5))}
+    want = {i: int(cos[i].argmax()) if cos[i].max() >= 0.5 else None for i in range(70)}
+    for size in (1 << 20, 500, 60):
+        got = {p.face_id: p.person_id for p in people.nearest(frame(x), frame(y), 0.5, sent_bytes=size).collect()}
+        assert {i: got[i] for i in want} == want, size
