@@ -59,10 +59,14 @@ def by_groups(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
 
 def with_blocks(files: DataFrame, mode: str = "normalized") -> DataFrame:
     """Columns + block: which files share size, family and name key; null for a file that shares them with none."""
-    block = F.xxhash64("size", "_family", "_key")
     keyed = files.withColumn("_family", N.family("ext")).withColumn("_key", N.name_key("name", mode))
     alike = Window.partitionBy("size", "_family", "_key")
-    return keyed.withColumn("_n", F.count("*").over(alike)).withColumn("block", F.when(F.col("_n") >= 2, block)).drop("_n", "_family", "_key")
+    return keyed.withColumn("_n", F.count("*").over(alike)).withColumn("block", F.when(F.col("_n") >= 2, F.xxhash64("size", "_family", "_key"))).drop("_n", "_family", "_key")
+
+
+def with_keys(files: DataFrame, mode: str = "normalized") -> DataFrame:
+    """Columns + block: the same number for files of one size, family and name key, whether or not there are others."""
+    return files.withColumn("block", F.xxhash64("size", N.family("ext"), N.name_key("name", mode)))
 
 
 def pregroup(files: DataFrame, mode: str = "normalized") -> DataFrame:
@@ -297,16 +301,23 @@ def _banding(distance: int, most: int = 1000) -> tuple[int, int, list[int]]:
 
 
 def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash") -> DataFrame:
-    """Pairs a < b of 64-bit fingerprints within the distance, each once, through an equi-join of bands of bits."""
+    """Pairs a < b of 64-bit fingerprints within the distance, each once, through an equi-join of bands of bits.
+
+    Each different fingerprint is looked for once, however many rows have it; its rows meet those of its neighbours at the end.
+    """
     bands, width, flips = _banding(distance)
     base = prints.select(F.col(key).alias("k"), F.col(phash).alias("p")).filter("p is not null")
     mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
     band = lambda i: F.shiftrightunsigned("p", i * width).bitwiseAND(mask)
-    left = base.select("k", "p", F.posexplode(F.array(*(band(i) for i in range(bands)))).alias("band", "v"))
+    left = base.select("p").distinct().select("p", F.posexplode(F.array(*(band(i) for i in range(bands)))).alias("band", "v"))
     changed = F.transform(F.lit(flips).cast("array<bigint>"), lambda f: F.col("v").bitwiseXOR(f))
-    right = left.select(F.col("k").alias("k2"), F.col("p").alias("p2"), "band", F.explode(changed).alias("v"))
+    right = left.select(F.col("p").alias("p2"), "band", F.explode(changed).alias("v"))
     d = F.bit_count(F.col("p").bitwiseXOR(F.col("p2")))
-    return left.join(right, ["band", "v"]).filter((F.col("k") < F.col("k2")) & (d <= distance)).select(F.col("k").alias("a"), F.col("k2").alias("b"), d.cast("int").alias("distance")).distinct()
+    near = left.join(right, ["band", "v"]).filter((F.col("p") < F.col("p2")) & (d <= distance)).select("p", "p2", d.cast("int").alias("distance")).distinct()
+    other = base.select(F.col("k").alias("k2"), F.col("p").alias("p2"))
+    apart = base.join(near, "p").join(other, "p2").filter("k <> k2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "distance")
+    equal = base.join(other, F.col("p") == F.col("p2")).filter("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(equal)
 
 
 def similar_parts(parts: DataFrame, exact: DataFrame) -> DataFrame:
