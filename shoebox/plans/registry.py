@@ -394,12 +394,12 @@ def bitrate_format(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import funnel, more  # noqa: F401  register their own
+    from . import funnel, media, more  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import funnel, more  # noqa: F401
+    from . import funnel, media, more  # noqa: F401
 
     return dict(SQL)
