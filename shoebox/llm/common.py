@@ -84,6 +84,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", "text", *row_keys())
 
 
+def unused(df: DataFrame, names: list[str]) -> list[str]:
+    """The names, behind as many underscores as make them differ from all columns of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def unlike(keyed: DataFrame, key: str, what: str) -> bool:
     """Whether some rows with one key differ in what it should stand for: two different things have one hash."""
     return keyed.groupBy(key).agg(F.min(what).alias("low"), F.max(what).alias("high")).filter("low <> high").limit(1).count() > 0

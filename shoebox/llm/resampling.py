@@ -223,5 +223,6 @@ def resample(docs: DataFrame, target: DataFrame, o: Options = Options()) -> Data
 
 def drawn(docs: DataFrame, target: DataFrame, o: Options = Options()) -> DataFrame:
     """The documents that are drawn, all their columns: what a training corpus nearer the target is made of. Rows with one id are drawn together."""
-    chosen = resample(docs, target, o).filter("rank is not null").select(F.col("doc_id").alias("__drawn_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__drawn_id")), "left_semi")
+    (name,) = C.unused(docs, ["drawn_id"])
+    chosen = resample(docs, target, o).filter("rank is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")

@@ -367,21 +367,18 @@ def dedup(docs: DataFrame, o: Options = Options(), digest: bool = False) -> Data
     return rows.join(gone, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_apply(digest), DIGEST if digest else RESULT)
 
 
-#: Names of columns beside those of a table of any columns.
-KEY, GONE = "__row_key", "__gone"
-
-
 def cleaned(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """docs with the repeats cut out of their texts (a character cut in two goes whole) and n_chars, if there, counted anew."""
     C.tune(docs.sparkSession)
     own = C.row_key(C.told_apart(docs))
-    gone = spans(C.texts(docs).withColumn("row_key", own), o).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list("spans").alias(GONE))
+    key, cuts = C.unused(docs, ["row_key", "gone"])
+    gone = spans(C.texts(docs).withColumn("row_key", own), o).groupBy(F.col("row_key").alias(key)).agg(F.collect_list("spans").alias(cuts))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches):
             out = []
-            for text, parts in zip(t.column("text").to_pylist(), t.column(GONE).to_pylist(), strict=True):
+            for text, parts in zip(t.column("text").to_pylist(), t.column(cuts).to_pylist(), strict=True):
                 if parts:
                     x = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
                     cut = np.frombuffer(merged(np.zeros(len(x), np.int64), x[:, 0], x[:, 1])[1][0], np.int64)
@@ -394,4 +391,4 @@ def cleaned(docs: DataFrame, o: Options = Options()) -> DataFrame:
                 new["n_chars"] = pa.array([None if x is None else len(x) for x in out], t.schema.field("n_chars").type)
             yield from pa.Table.from_arrays([new.get(c, t.column(c)) for c in schema.names], names=schema.names).to_batches()
 
-    return docs.join(gone, own == F.col(KEY), "left").select(*(docs[c] for c in schema.names), GONE).mapInArrow(run, schema)
+    return docs.join(gone, own == F.col(key), "left").select(*(docs[c] for c in schema.names), cuts).mapInArrow(run, schema)
