@@ -370,8 +370,9 @@ def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
 def representatives(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row of docs of each class, with all its columns; of rows with the same id and text one."""
     kept = C.written(classes(docs, o).filter("kept").groupBy(*C.KEYS).agg(F.count("*").alias("times")))
-    pick = lambda test: kept.filter(test).select(*(F.col(k).alias(f"__{k}") for k in C.KEYS))
-    same = lambda one: docs.join(one, [k == F.col(f"__{n}") for k, n in zip(C.row_keys(), C.KEYS, strict=True)], "left_semi")
+    own = C.unused(docs, C.KEYS)
+    pick = lambda test: kept.filter(test).select(*(F.col(k).alias(n) for k, n in zip(C.KEYS, own, strict=True)))
+    same = lambda one: docs.join(one, [k == F.col(n) for k, n in zip(C.row_keys(), own, strict=True)], "left_semi")
     out, more = same(pick("times = 1")), pick("times > 1")
     if more.limit(1).count():
         out = out.unionByName(same(more).dropDuplicates(["doc_id", "text"]))

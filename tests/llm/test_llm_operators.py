@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoebox.llm import bpe, common, graph, langid, linededup, lm, media, nndescent, omh, packing, queries, suffixdedup, toxicity
+from shoebox.llm import bpe, common, graph, langid, linededup, lm, media, nndescent, omh, packing, queries, resampling, suffixdedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, score double, block long, words string, removed string, node long"
@@ -372,3 +372,50 @@ def test_scratch_is_the_shared_folder():
     assert common.scratch(session("hdfs:///shared", "yarn")).startswith("hdfs:///shared/shoebox-") and os.path.isabs(common.scratch(session(None)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.scratch(session(None, "spark://host:7077"))
+
+
+def test_stages_with_columns_of_any_name(spark, docs):
+    names = ["gone", "_gone", "__gone", "_row_key", "__row_key", "row_id", "__row_id", "drawn_id", "__drawn_id"]
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        assert out.select(*names).distinct().collect() in ([], [tuple(range(len(names)))]), name
+    kept = omh.representatives(wide)
+    assert ids(kept) == ids(omh.representatives(docs)) and kept.filter("gone <> 0 or __row_id <> 6").count() == 0
+    assert ids(suffixdedup.cleaned(wide)) == ALL
+    assert resampling.drawn(wide, docs).columns == wide.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).select("doc_id").distinct().count() == len(ALL)
+
+
+def test_omh_classes_are_all_chains_of_links(spark):
+    """Whatever the order of comparisons, classes are the components of all similar pairs that share a bucket."""
+    rng, o = np.random.default_rng(5), omh.Options()
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    base = [rng.integers(0, 10**6, 120) for _ in range(6)]
+    texts = []
+    for i in range(160):
+        w = base[i % 6].copy()
+        w[rng.choice(120, rng.integers(0, 30), replace=False)] = rng.integers(10**6, 10**7, 1)
+        texts.append(" ".join(word(x) for x in w))
+    sizes, keys = omh.sketches(texts, o)
+    nodes = spark.createDataFrame([(i, i, int(sizes[i]), [int(x) for x in keys[i].view(np.int64)]) for i in range(len(texts))], "node long, rank long, n_words long, keys array<long>")
+    got = {r.node: r.label for r in omh._linked(nodes, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), o).collect()}
+    hashes = []
+    for t in texts:
+        data, a, b, _ = common.words([t])
+        hashes.append((common.hash_runs(data, a, b) >> np.uint64(32)).astype(np.uint32))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if any(keys[a][i] == keys[b][i] and keys[a][j] == keys[b][j] for i, j in omh._band_pairs(o)) and omh.aligned(hashes[a], hashes[b], int(0.2 * max(len(hashes[a]), len(hashes[b])) + 1e-9)) is not None:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {i: got.get(i, i) for i in range(len(texts))} == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 1
