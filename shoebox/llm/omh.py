@@ -2,7 +2,7 @@
 
 A sketch of a text takes the few k-mers of words (Options.k) with the smallest hashes, each k-mer labelled with how many times it came
 before, and keeps them in the order of the text; so it agrees for texts of small edit distance and not for texts
-with the same words in another order. Texts that agree in two sketches of a band are candidates, and an alignment of their words
+with the same words in another order. Texts that agree in one sketch are candidates, and an alignment of their words
 within the band that the threshold allows decides.
 
 Equal texts count once. In a bucket of texts with equal sketches each text is compared with one centre, never with all
@@ -33,7 +33,8 @@ from .graph import components
 @dataclass(frozen=True)
 class Options:
     k: int = 5
-    sketches: int = 32
+    #: More sketches find more of the pairs near the threshold, whose k-mers mostly differ; README has the shares.
+    sketches: int = 64
     #: k-mers of a sketch.
     kept: int = 3
     #: Edit similarity of the words: 1 - edits / words of the longer text.
@@ -255,7 +256,7 @@ PART, DEALT = 16, 2048
 
 
 def _closed(every: DataFrame, tested: DataFrame, words: DataFrame, o: Options) -> DataFrame:
-    """node, label of all linked texts, once those of a bucket are in one class, have been compared, or cannot be similar; every: band, key, node, rank, n_words, low, up of all crowded buckets.
+    """node, label of all linked texts, once those of a bucket are in one class, have been compared, or cannot be similar; every: band (which sketch), key, node, rank, n_words, low, up of all crowded buckets.
 
     low and up bound the edits between a text and its bucket's first centre. Edit distances obey the triangle inequality: two texts whose distances to the centre differ by more edits than
     the threshold allows are not compared. So a text far from a large group of near copies meets none of them. Texts of a bucket's largest class need not meet each other.
@@ -291,7 +292,7 @@ def _closed(every: DataFrame, tested: DataFrame, words: DataFrame, o: Options) -
 
 def _linked(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
     """node, label of all texts that verified links join; nodes: node, rank, n_words, keys; rows: node, text."""
-    members = nodes.filter("n_words > 0").select("node", "rank", "n_words", F.posexplode(_bands("keys", o)).alias("band", "key"))
+    members = nodes.filter("n_words > 0").select("node", "rank", "n_words", F.posexplode("keys").alias("band", "key"))
     order = F.struct("rank", "node", "n_words")
     crowd = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
     centre = C.written(crowd.select("band", "key", "c.*").toDF("band", "key", "c_rank", "centre", "c_words"))
@@ -332,15 +333,6 @@ def _linked(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
         centre = C.written(members.withColumn("first", first).filter(F.col("first") <= centres).select("band", "key", F.col("rank").alias("c_rank"), F.col("node").alias("centre"), F.col("n_words").alias("c_words")))
 
 
-def _band_pairs(o: Options) -> list[tuple[int, int]]:
-    """Two sketches for each band: all that stand next to each other, and half of those five apart."""
-    return [(i, (i + 1) % o.sketches) for i in range(o.sketches)] + [(i, (i + 5) % o.sketches) for i in range(0, o.sketches, 2)]
-
-
-def _bands(keys: str, o: Options):
-    return F.array(*(F.xxhash64(F.col(keys)[i], F.col(keys)[j]) for i, j in _band_pairs(o)))
-
-
 def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept of every row, with the columns C.KEYS."""
     C.tune(docs.sparkSession)
