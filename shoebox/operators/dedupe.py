@@ -282,38 +282,73 @@ def phash_clusters(bucketed: DataFrame, distance: int, bucket: str = "bucket") -
     return by_groups(bucketed.filter("phash is not null"), [bucket], run, schema)
 
 
-def _banding(distance: int, most: int = 1000) -> tuple[int, int, list[int]]:
-    """Bands of 64 bits, their width, and the changes that a band's value is looked up with: the choice that meets the fewest values.
+def _banding(distance: int, bits: int = 64, most: int = 1000) -> tuple[int, int, list[int]]:
+    """Bands of so many bits, their width, and the changes that a band's value is looked up with: the choice that meets the fewest values.
 
     Fingerprints within the distance differ in at most distance // bands bits of some band, so one of these changes makes its values equal.
     """
     best = None
     for bands in range(1, 17):
-        width, slack = 64 // bands, distance // bands
+        width, slack = bits // bands, distance // bands
         flips = sum(comb(width, i) for i in range(slack + 1))
         cost = bands * flips * (1 + 1e6 / 2**width)
         if flips <= most and (best is None or cost < best[0]):
             best = cost, bands, width, slack
     if best is None:
-        raise ValueError("no bands of 64 bits tell fingerprints at that distance apart")
+        raise ValueError(f"no bands of {bits} bits tell fingerprints at that distance apart")
     _, bands, width, slack = best
     return bands, width, [sum(1 << k for k in ks) for i in range(slack + 1) for ks in combinations(range(width), i)]
 
 
-def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash") -> DataFrame:
-    """Pairs a < b of 64-bit fingerprints within the distance, each once, through an equi-join of bands of bits.
+#: A band's value that more different fingerprints have is split by bands of the other bits.
+CROWDED = 256
 
-    Each different fingerprint is looked for once, however many rows have it; its rows meet those of its neighbours at the end.
+
+def _band_values(of: Column, bands: int, width: int) -> Column:
+    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+    return F.array(*(F.shiftrightunsigned(of, i * width).bitwiseAND(mask) for i in range(bands)))
+
+
+def _changed(value: str, flips: list[int]) -> Column:
+    return F.transform(F.lit(flips).cast("array<bigint>"), lambda f: F.col(value).bitwiseXOR(f))
+
+
+def looked_up(prints: DataFrame, distance: int, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """Different fingerprints p under their bands' values, and as p2 under all values to look for: (band, v, part, u). Two within the distance meet under one of them.
+
+    Where more than `crowded` fingerprints share a value, part and u are a band of the other bits and its value: two fingerprints within the distance differ in no more bits there, so the same rule holds again.
+    Elsewhere part is -1. Which values are crowded is counted first.
     """
     bands, width, flips = _banding(distance)
+    left = prints.select("p", F.posexplode(_band_values(F.col("p"), bands, width)).alias("band", "v"))
+    right = left.select(F.col("p").alias("p2"), "band", F.explode(_changed("v", flips)).alias("v"))
+    other = 64 - width
+    if distance >= other:  # the other bits tell nothing apart
+        whole = (F.lit(-1).alias("part"), F.lit(0).cast("long").alias("u"))
+        return left.select("*", *whole), right.select("*", *whole)
+    parts, part_width, part_flips = _banding(distance, other)
+    crowd = left.groupBy("band", "v").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).select("band", "v", F.lit(True).alias("_crowded"))
+
+    def split(rows: DataFrame, p: str) -> DataFrame:
+        turn = (F.col("band") + 1) * width % 64  # the band's own bits come last
+        rest = F.when(turn == 0, F.col(p)).otherwise(F.call_function("shiftrightunsigned", F.col(p), turn).bitwiseOR(F.call_function("shiftleft", F.col(p), 64 - turn)))
+        values = F.when(F.col("_crowded"), _band_values(rest, parts, part_width)).otherwise(F.array(F.lit(0).cast("long")))
+        told = rows.join(crowd, ["band", "v"], "left").select(p, "band", "v", "_crowded", F.posexplode(values).alias("part", "u"))
+        return told.withColumn("part", F.when(F.col("_crowded"), F.col("part")).otherwise(-1))
+
+    asked = split(right, "p2").withColumn("u", F.explode(F.when(F.col("_crowded"), _changed("u", part_flips)).otherwise(F.array("u"))))
+    return split(left, "p").drop("_crowded"), asked.drop("_crowded")
+
+
+def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash", crowded: int = CROWDED) -> DataFrame:
+    """Pairs a < b of 64-bit fingerprints within the distance, each once, through an equi-join of bands of bits, and of bands of the other bits where many share a value.
+
+    Each different fingerprint is looked for once, however many rows have it; its rows meet those of its neighbours at the end.
+    """
     base = prints.select(F.col(key).alias("k"), F.col(phash).alias("p")).filter("p is not null")
-    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
-    band = lambda i: F.shiftrightunsigned("p", i * width).bitwiseAND(mask)
-    left = base.select("p").distinct().select("p", F.posexplode(F.array(*(band(i) for i in range(bands)))).alias("band", "v"))
-    changed = F.transform(F.lit(flips).cast("array<bigint>"), lambda f: F.col("v").bitwiseXOR(f))
-    right = left.select(F.col("p").alias("p2"), "band", F.explode(changed).alias("v"))
+    left, right = looked_up(base.select("p").distinct(), distance, crowded)
     d = F.bit_count(F.col("p").bitwiseXOR(F.col("p2")))
-    near = left.join(right, ["band", "v"]).filter((F.col("p") < F.col("p2")) & (d <= distance)).select("p", "p2", d.cast("int").alias("distance")).distinct()
+    near = left.join(right, ["band", "v", "part", "u"]).filter((F.col("p") < F.col("p2")) & (d <= distance)).select("p", "p2", d.cast("int").alias("distance")).distinct()
     other = base.select(F.col("k").alias("k2"), F.col("p").alias("p2"))
     apart = base.join(near, "p").join(other, "p2").filter("k <> k2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "distance")
     equal = base.join(other, F.col("p") == F.col("p2")).filter("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), F.lit(0).alias("distance"))

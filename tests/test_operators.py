@@ -74,6 +74,21 @@ def test_near_pairs(spark):
         assert {(x.a, x.b) for x in dedupe.near_pairs(df, d).collect()} == want
 
 
+def test_near_pairs_under_crowded_values(spark):
+    """Most fingerprints share one half of their bits: pairs are those of brute force, and far fewer are met than share a value."""
+    r = random.Random(4)
+    prints = [r.getrandbits(64) for _ in range(30)] + [r.getrandbits(32) << 32 | 0xABCD for _ in range(150)] + [0xABCD | r.getrandbits(32)]
+    prints += [p ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for p in prints[::2]] + prints[40:43]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "path bigint, phash bigint")
+    for d in (0, 3, 6, 14):
+        want = {(i, j, n) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (n := (prints[i] ^ prints[j]).bit_count()) <= d}
+        assert {tuple(x) for x in dedupe.near_pairs(df, d, crowded=8).collect()} == want
+    only = df.select(F.col("phash").alias("p")).distinct()
+    met = [left.join(right, ["band", "v", "part", "u"]).count() for left, right in (dedupe.looked_up(only, 3, n) for n in (8, 10**6))]
+    assert met[0] * 4 < met[1]
+
+
 def test_scan_exact_and_similar(spark):
     rows = [
         file(1, "/a/IMG_1.jpg", ms=1000, sub=True, phash=0), file(2, "/b/IMG_1 (1).jpg", ms=1000, sub=True, phash=0), file(3, "/c/IMG_1.jpg", ms=1000, sub=True, content="other", phash=1),
