@@ -5,11 +5,10 @@ before, and keeps them in the order of the text; so it agrees for texts of small
 with the same words in another order. Texts that agree in one sketch are candidates, and an alignment of their words
 within the band that the threshold allows decides.
 
-Equal texts count once. In a bucket of texts with equal sketches each text is compared with one centre, never with all
-others: all that are similar to the centre are linked to it. Of those that are not, one for each class that has shown so far goes to
-a next round with more centres, until no bucket has two such texts. Similarity is not transitive, so this leaves pairs of a bucket untested: then all texts of a bucket
-that no chain of links joins yet are compared, first with a part of each other class, then, if no link is found, with all of it; only those are left out that the
-triangle inequality rules out by their edits to the bucket's first centre. Nothing is capped, and a large group of near copies takes about one comparison for each text. Links are closed to classes by connected components.
+Equal texts count once. In a bucket of texts with equal sketches each text is first compared with one centre, never with all others, which joins most of a large group of near copies
+at one comparison for each text. Similarity is not transitive, so then all texts of a bucket that no chain of links joins yet meet in cells of at most DEALT texts on either side, as bags of hashed words.
+Only those pairs leave a cell, to be aligned, that neither their bags nor the triangle inequality over their edits to the centre rule out: unlike texts with a passage or a line in common, however many,
+are told by their bags. In a first round a text leaves a cell with a few such texts, then with all; a pair leaves only the first bucket in which it meets. Nothing is capped. Links are closed to classes by connected components.
 
 Cases: null and empty texts are equal texts of one class; texts of fewer words than a k-mer are one k-mer; texts without
 any word have only equal texts; a very long text is sketched whole, alone in its chunk, and aligned in bands that widen only as far as needed; rows with the same id and text are one document;
@@ -18,12 +17,14 @@ of a class the smallest id stays, ties go to the smaller hash of id and text; nu
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -224,12 +225,19 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+#: Texts of more words have no bag; only their alignment tells.
+LONG = 4096
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in C.chunks(batches):
         data, starts, ends, doc = C.words(t.column("text").to_pylist())
         w = (C.hash_runs(data, starts, ends) >> np.uint64(32)).astype("<u4")
+        bag = (kmers(w.astype(np.uint64), doc, len(t), 1)[1] >> np.uint64(48)).astype("<u2")
         cut = np.searchsorted(doc, np.arange(len(t) + 1))
-        yield pa.record_batch([t.column("node").combine_chunks(), pa.array([w[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "words"])
+        runs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        bags = [bag[a:b].tobytes() if b - a <= LONG else None for a, b in runs]
+        yield pa.record_batch([t.column("node").combine_chunks(), pa.array([w[a:b].tobytes() for a, b in runs], pa.binary()), pa.array(bags, pa.binary())], ["node", "words", "bag"])
 
 
 def _verify(o: Options):
@@ -251,43 +259,115 @@ def _tested(pairs: DataFrame, words: DataFrame, o: Options) -> DataFrame:
     return C.written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(o), "a long, b long, ok boolean, distance long"))
 
 
-#: Members of a class that a text of another class in the bucket meets in the first round, and those of a bucket that one task pairs.
-PART, DEALT = 16, 2048
+#: Texts that a text leaves a cell with in the first round, and texts of a bucket on either side of a cell.
+PART, DEALT = 16, 1024
+CELL = ["band", "key", "i", "j"]
+
+
+def _possible(n: np.ndarray, low: np.ndarray, up: np.ndarray, label: np.ndarray, order: np.ndarray, top: np.ndarray, keys: np.ndarray, bags: list[bytes | None], left: np.ndarray, right: np.ndarray, most: int, o: Options) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a cell's rows left those of right in other classes that can be similar to each, the first most of them; keys: those of sketches before the cell's, in which they must not agree. Of two rows outside of the largest class the later one is the left.
+
+    A text has a token for each word and how many times it came before. An edit changes one, so similar texts share all tokens of the longer one but as many as there are edits. Tokens are
+    known by 16 bits; those that are confused only make texts look more alike.
+    """
+    right = right[np.argsort(n[right], kind="stable")]
+    size, unknown = n[right], np.array([bags[r] is None for r in right], bool)
+    tokens = np.frombuffer(b"".join(bags[r] or b"" for r in right), "<u2").astype(np.int64)
+    at = np.concatenate(([0], np.cumsum([len(bags[r] or b"") // 2 for r in right])))
+    has = np.zeros(1 << 16, bool)
+    for x in left:
+        lo = int(np.searchsorted(size, o.threshold * n[x] - 1e-6))
+        hi = int(np.searchsorted(size, n[x] / o.threshold + 1e-6, "right"))
+        r = right[lo:hi]
+        long = np.maximum(n[x], n[r])
+        reach = (1 - o.threshold) * long + 1e-6
+        ok = (label[r] != label[x]) & (top[r] | (order[x] > order[r])) & (low[x] - up[r] <= reach) & (low[r] - up[x] <= reach)
+        if bags[x] is not None and ok.any():
+            own = np.frombuffer(bags[x], "<u2")
+            has[own] = True
+            found = np.concatenate(([0], np.cumsum(has[tokens[at[lo] : at[hi]]])))
+            has[own] = False
+            ok &= unknown[lo:hi] | (found[at[lo + 1 : hi + 1] - at[lo]] - found[at[lo:hi] - at[lo]] >= long - reach)
+        r = r[ok]
+        r = r[~(keys[r] == keys[x]).any(1)]
+        if len(r):
+            yield x, r[np.argsort(order[r])[:most]]
+
+
+def _cells(most: int, o: Options):
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        col = {c: t.column(c).to_numpy() for c in ("band", "key", "i", "j", "node", "rank", "n_words", "low", "up", "label", "side", "is_top")}
+        bags = t.column("bag").to_pylist()
+        keys = pc.list_flatten(t.column("keys")).to_numpy().reshape(len(t), -1)
+        order = np.empty(len(t), np.int64)
+        order[np.lexsort((col["node"], col["rank"]))] = np.arange(len(t))
+        new = np.concatenate(([True], np.any([col[c][1:] != col[c][:-1] for c in CELL], 0), [True]))
+        edge, a, b = np.flatnonzero(new), [], []
+        for begin, end in zip(edge[:-1], edge[1:], strict=True):
+            rows = np.arange(begin, end)
+            side = col["side"][begin:end]
+            for x, r in _possible(col["n_words"], col["low"], col["up"], col["label"], order, col["is_top"], keys[:, : col["band"][begin]], bags, rows[side == 0], rows[side == 1], most, o):
+                a.append(np.where(order[r] > order[x], col["node"][r], col["node"][x]))
+                b.append(np.where(order[r] > order[x], col["node"][x], col["node"][r]))
+        both = [pa.array(np.concatenate([*v, np.zeros(0, np.int64)]), pa.int64()) for v in (a, b)]
+        return pa.record_batch(both, ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            differs = np.any([batch.column(c).to_numpy() != batch.column(c)[-1].as_py() for c in CELL], 0)
+            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # where this batch's last cell begins
+            if not last and held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in CELL):
+                yield pairs(pa.Table.from_batches(held))
+                held = []
+            elif last:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
 
 
-def _closed(every: DataFrame, tested: DataFrame, words: DataFrame, o: Options) -> DataFrame:
+def _met(own: DataFrame, top: DataFrame, bags: DataFrame, most: int, o: Options) -> DataFrame:
+    """a, b: pairs in different classes of a bucket that can be similar, a the later one, at most so many for each text and cell."""
+    # all have been compared with the bucket's centre; what has no edits to it has the same words
+    own = own.join(top, ["band", "key"]).filter("up > 0").withColumn("is_top", F.col("label") == F.col("top")).join(bags, "node")
+    spread = lambda n: F.pmod(F.xxhash64("node", "band"), F.col(n)).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    left, right = each("rights", lambda j: place(0, spread("lefts"), j)), each("lefts", lambda i: place(1, i, spread("rights")))
+    dealt = own.withColumn("at", F.explode(F.when(F.col("is_top"), right).otherwise(F.concat(left, right))))
+    cells = dealt.select("band", "key", "at.i", "at.j", "node", "rank", "n_words", "low", "up", "label", "at.side", "is_top", "keys", "bag")
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_cells(most, o), "a long, b long")
+
+
+def _closed(every: DataFrame, tested: DataFrame, nodes: DataFrame, words: DataFrame, o: Options) -> DataFrame:
     """node, label of all linked texts, once those of a bucket are in one class, have been compared, or cannot be similar; every: band (which sketch), key, node, rank, n_words, low, up of all crowded buckets.
 
     low and up bound the edits between a text and its bucket's first centre. Edit distances obey the triangle inequality: two texts whose distances to the centre differ by more edits than
-    the threshold allows are not compared. So a text far from a large group of near copies meets none of them. Texts of a bucket's largest class need not meet each other.
-    A first round compares with a part of each other class, which joins most of what belongs together; a second one with whole classes. Classes so far are kept as stars.
+    the threshold allows are not aligned. So a text far from a large group of near copies is aligned with none of them. Texts of a bucket's largest class need not meet each other.
+    A first round with PART texts for each joins groups of near copies without the bucket's centre and most of what else belongs together; a second one compares all that is left. Classes so far are kept as stars.
     """
-    part, most, links = 0, 1, tested.filter("ok").select("a", "b")
-    while True:
+    links, bags = tested.filter("ok").select("a", "b"), C.written(words.select("node", "bag").join(nodes.select("node", "keys"), "node"))
+    for most in (PART, sys.maxsize):
+        C.release(every.sparkSession)
         label = components(links)
-        if most <= part:
-            return label
         star = label.filter("node != label").toDF("a", "b")
-        own = every.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        own = C.written(every.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
         size = C.written(own.groupBy("band", "key", "label").agg(F.count("*").alias("size")))
         top = size.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
-        top = C.written(top.select("band", "key", F.col("top.label").alias("top"), F.col("top.size").alias("most"), F.ceil(F.col("n") / DEALT).cast("int").alias("deals")))
-        most = top.agg(F.max("most")).first()[0]
-        if most is None:
+        cells = lambda n: F.ceil(n / DEALT).cast("int")
+        top = C.written(top.select("band", "key", F.col("top.label").alias("top"), cells(F.col("n") - F.col("top.size")).alias("lefts"), cells(F.col("n")).alias("rights")))
+        if not top.limit(1).count():
             return label
-        part = max(most, PART) if part else PART
-        own = C.written(own.join(top.drop("most"), ["band", "key"]))
-        left = own.filter("label != top").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-        right = own.join(size, ["band", "key", "label"]).filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part)) == 0)
-        right = right.select("band", "key", F.col("node").alias("node2"), F.col("rank").alias("rank2"), F.col("n_words").alias("words2"), F.col("low").alias("low2"), F.col("up").alias("up2"), F.col("label").alias("label2"), F.pmod(F.xxhash64("node", "band"), F.col("deals")).cast("int").alias("deal"))
-        close = F.least("n_words", "words2") >= o.threshold * F.greatest("n_words", "words2") - 1e-6
-        reach = F.lit(1 - o.threshold) * F.greatest("n_words", "words2") + 1e-6
-        close = close & (F.col("low") - F.col("up2") <= reach) & (F.col("low2") - F.col("up") <= reach)
-        met = left.join(right, ["band", "key", "deal"]).filter((F.col("label") != F.col("label2")) & close)
-        later = F.expr("struct(rank, node) > struct(rank2, node2)")
-        pairs = met.select(F.when(later, F.col("node")).otherwise(F.col("node2")).alias("a"), F.when(later, F.col("node2")).otherwise(F.col("node")).alias("b")).distinct()
-        new = _tested(C.written(pairs.join(tested, ["a", "b"], "left_anti")), words, o)
+        met = _met(own, top, bags, most, o).distinct()
+        new = _tested(C.written(met.join(tested, ["a", "b"], "left_anti")), words, o)
         tested, links = tested.unionByName(new), star.unionByName(new.filter("ok").select("a", "b"))
+    return components(links)
 
 
 def _linked(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
@@ -296,41 +376,18 @@ def _linked(nodes: DataFrame, rows: DataFrame, o: Options) -> DataFrame:
     order = F.struct("rank", "node", "n_words")
     crowd = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
     centre = C.written(crowd.select("band", "key", "c.*").toDF("band", "key", "c_rank", "centre", "c_words"))
-    members, tested, centres = C.written(members.join(centre.select("band", "key"), ["band", "key"])), None, 1
+    members = C.written(members.join(centre.select("band", "key"), ["band", "key"]))
     used = members.select("node").distinct()
-    words = C.written(rows.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_tokens, "node long, words binary"))
-    every, labels = None, None
-    while True:
-        close = F.least("n_words", "c_words") >= o.threshold * F.greatest("n_words", "c_words") - 1e-6
-        met = C.written(members.join(centre, ["band", "key"]).filter(F.expr("struct(rank, node) > struct(c_rank, centre)") & close))
-        near = met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        pairs = C.written(near if tested is None else near.join(tested, ["a", "b"], "left_anti"))
-        new = _tested(pairs, words, o)
-        tested = new if tested is None else tested.unionByName(new)
-        if every is None:  # what the first centre of each bucket tells of its texts
-            of = members.join(centre, ["band", "key"]).join(new.select(F.col("a").alias("node"), F.col("b").alias("centre"), "ok", "distance"), ["node", "centre"], "left")
-            own = F.col("node") == F.col("centre")
-            low = F.when(own, 0).otherwise(F.coalesce("distance", F.abs(F.col("n_words") - F.col("c_words"))))
-            up = F.when(own, 0).when(F.col("ok"), F.col("distance")).otherwise(F.greatest("n_words", "c_words"))
-            every = C.written(of.select("band", "key", "node", "rank", "n_words", low.cast("long").alias("low"), up.cast("long").alias("up")))
-        # those that are similar to no centre of their bucket, centres apart
-        joined = C.written(met.join(tested.filter("ok").select(F.col("a").alias("node"), F.col("b").alias("centre")), ["node", "centre"]).select("band", "key", "node", "c_rank", "centre"))
-        done = joined.select("band", "key", "node").unionByName(centre.select("band", "key", F.col("centre").alias("node")))
-        # of those that have a similar centre in common elsewhere, in one class already, one goes on; those in a class with a centre of this bucket need not
-        label = joined.select(F.col("node").alias("a"), F.struct(F.col("c_rank").alias("rank"), F.col("centre").alias("node")).alias("label"))
-        label = C.written((label if labels is None else label.unionByName(labels)).groupBy("a").agg(F.min("label").alias("label")))
-        labels = label
-        own = F.coalesce("label", F.struct("rank", "node"))
-        far = members.join(done, ["band", "key", "node"], "left_anti").join(label, F.col("node") == F.col("a"), "left").withColumn("label", own).drop("a")
-        near = centre.join(label, F.col("centre") == F.col("a"), "left").select("band", "key", F.coalesce("label", F.struct(F.col("c_rank").alias("rank"), F.col("centre").alias("node"))).alias("label")).distinct()
-        far = far.join(near, ["band", "key", "label"], "left_anti")
-        far = C.written(far.groupBy("band", "key", "label").agg(F.min(F.struct("rank", "node", "n_words")).alias("m")).select("band", "key", "m.*"))
-        crowd = C.written(far.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key"))
-        if not crowd.limit(1).count():
-            return _closed(every, tested, words, o)
-        members, centres = C.written(far.join(crowd, ["band", "key"])), centres * 16
-        first = F.row_number().over(Window.partitionBy("band", "key").orderBy("rank", "node"))
-        centre = C.written(members.withColumn("first", first).filter(F.col("first") <= centres).select("band", "key", F.col("rank").alias("c_rank"), F.col("node").alias("centre"), F.col("n_words").alias("c_words")))
+    words = C.written(rows.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_tokens, "node long, words binary, bag binary"))
+    close = F.least("n_words", "c_words") >= o.threshold * F.greatest("n_words", "c_words") - 1e-6
+    met = members.join(centre, ["band", "key"]).filter(F.expr("struct(rank, node) > struct(c_rank, centre)") & close)
+    tested = _tested(C.written(met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()), words, o)
+    # what the centre of each bucket tells of its texts
+    of = members.join(centre, ["band", "key"]).join(tested.select(F.col("a").alias("node"), F.col("b").alias("centre"), "ok", "distance"), ["node", "centre"], "left")
+    own = F.col("node") == F.col("centre")
+    low = F.when(own, 0).otherwise(F.coalesce("distance", F.abs(F.col("n_words") - F.col("c_words"))))
+    up = F.when(own, 0).when(F.col("ok"), F.col("distance")).otherwise(F.greatest("n_words", "c_words"))
+    return _closed(C.written(of.select("band", "key", "node", "rank", "n_words", low.cast("long").alias("low"), up.cast("long").alias("up"))), tested, nodes, words, o)
 
 
 def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:

@@ -436,3 +436,25 @@ def test_omh_finds_similar_pairs_at_each_rate_of_edits(spark):
     assert all(c in (i, i - 1) for i, c in label.items())
     found = {rate: np.mean([label[i + 1] == label[i] for i in range(2 * each * k, 2 * each * (k + 1), 2)]) for k, rate in enumerate(rates)}
     assert all(found[rate] >= 0.9 for rate in (2, 5, 8, 10)) and found[15] >= 0.6, found
+
+
+@pytest.mark.parametrize("dealt", [omh.DEALT, 7])
+def test_omh_unlike_texts_with_a_common_passage_are_not_aligned(spark, monkeypatch, dealt):
+    """Texts of one bucket that share a passage and no more: their number of alignments does not grow with the square, and the two similar ones among them are found."""
+    monkeypatch.setattr(omh, "DEALT", dealt)
+    rng, aligned, plain = np.random.default_rng(8), [], omh._tested
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    passage = rng.integers(0, 10**6, 40).tolist()
+    own = [rng.integers(10**6, 10**8, 60).tolist() for _ in range(60)]
+    own[50] = [*own[20][:55], *own[50][55:]]
+    texts = [" ".join(map(word, [*passage, *w])) for w in own]
+    nodes = spark.createDataFrame([(i, i, 100, [7, 7, i]) for i in range(60)], "node long, rank long, n_words long, keys array<long>")
+
+    def counted(pairs, words, o):
+        aligned.append(pairs.count())
+        return plain(pairs, words, o)
+
+    monkeypatch.setattr(omh, "_tested", counted)
+    got = omh._linked(nodes, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), omh.Options()).collect()
+    assert {r.node: r.label for r in got if r.node in (20, 50)} == {20: 20, 50: 20} and all(r.label == r.node for r in got if r.node not in (20, 50))
+    assert sum(aligned) <= 2 * len(texts), aligned
