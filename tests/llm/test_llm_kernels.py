@@ -247,3 +247,15 @@ def test_line_keys():
     from shoebox.llm.linededup import normalised
 
     assert normalised("  A \t b\r ") == "a b" and re.match(r"^[0-9a-f]{64}$", hashlib.sha256(b"").hexdigest())
+
+
+def test_webp_encoder_uses_references_where_they_are_smaller():
+    r = np.random.default_rng(4)
+    words = [bytes(r.integers(97, 123, 9).astype(np.uint8)) for _ in range(20)]
+    text = b" ".join(words[i] for i in r.integers(0, 20, 800))[:7936]
+    runs = [np.frombuffer(text, np.uint8), r.integers(0, 256, 64 * 5).astype(np.uint8), np.frombuffer(b"a" * 640, np.uint8), np.frombuffer(b"ab" * 320, np.uint8), np.zeros(64, np.uint8)]
+    files = webp.encode_many(np.concatenate(runs), np.cumsum([0] + [len(x) for x in runs]), 64)
+    for f, want, fast in zip(files, runs, webp.decode_many(files), strict=True):
+        assert np.array_equal(fast, want) and np.array_equal(webp.decode(f)[2].ravel(), 0xFF000000 | want.astype(np.uint32) << 8)
+    p = np.bincount(runs[0])[np.bincount(runs[0]) > 0] / len(text)
+    assert len(files[0]) * 8 < 0.6 * len(text) * -(p * np.log2(p)).sum()  # no code of single bytes gets there
