@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -259,3 +260,71 @@ def test_webp_encoder_uses_references_where_they_are_smaller():
         assert np.array_equal(fast, want) and np.array_equal(webp.decode(f)[2].ravel(), 0xFF000000 | want.astype(np.uint32) << 8)
     p = np.bincount(runs[0])[np.bincount(runs[0]) > 0] / len(text)
     assert len(files[0]) * 8 < 0.6 * len(text) * -(p * np.log2(p)).sum()  # no code of single bytes gets there
+
+
+def _images(r, n):
+    """Images of many kinds: noise, few symbols, skewed ones whose code is too long, repeats near and far, one symbol, words."""
+    word = [bytes(r.integers(97, 123, int(k)).astype(np.uint8)) + b" " for k in r.integers(2, 9, 60)]
+    kinds = [
+        lambda m: r.integers(0, 256, m),
+        lambda m: r.integers(40, 40 + int(r.integers(1, 5)), m),
+        lambda m: np.repeat(np.arange(24), np.minimum(2 ** np.arange(24), m))[r.permutation(m) % m],
+        lambda m: np.resize(r.integers(0, 256, int(r.integers(1, 300))), m),
+        lambda m: np.full(m, int(r.integers(0, 256))),
+        lambda m: np.frombuffer(b"".join(word[i] for i in r.integers(0, 60, m))[:m], np.uint8),
+    ]
+    return [kinds[i % len(kinds)](64 * int(r.integers(1, 129))).astype(np.uint8) for i in range(n)]
+
+
+def test_webp_many_images_of_many_kinds():
+    r = np.random.default_rng(11)
+    runs = _images(r, 60)
+    files = webp.encode_many(np.concatenate(runs), np.cumsum([0] + [len(x) for x in runs]), 64)
+    alone = [webp.encode_many(x, np.array([0, len(x)]), 64)[0] for x in runs]
+    assert files == alone  # no image's file depends on its neighbours
+    other = flat(Writer().put(0, 1), 10, 3, 250, main=True).file(64, 2)  # another encoder's file between them
+    broken = flat(Writer().put(0, 1), 10, 0, 0, main=True).file(2, 2)[:24]
+    strange = Writer().put(0, 3).one(10).one(0).one(0).one(255).one(200).file(64, 1)  # a distance that is none and never read
+    more = [other, strange]
+    for f, want, fast in zip(files + more, runs + [np.full(128, 10, np.uint8), np.full(64, 10, np.uint8)], webp.decode_many(files + more), strict=True):
+        assert np.array_equal(fast, want) and np.array_equal(webp.decode(f)[2].ravel() >> 8 & 255, want)
+    for bad in (broken, files[5][: len(files[5]) // 2], b"RIFX" + files[0][4:]):
+        with pytest.raises(ValueError):
+            webp.decode_many([files[0], bad])
+
+
+def test_webp_code_lengths_cost_no_more_than_huffmans():
+    r = np.random.default_rng(3)
+    counts = np.where(r.random((40, 90)) < r.random((40, 1)), r.geometric(0.02, (40, 90)), 0)
+    counts[0], counts[1] = 0, np.arange(90) == 7
+    counts[2, :20] = 2 ** np.arange(20)  # longer than the limit without it
+    got = webp.huffman_many(counts, webp.LIMIT)
+    assert got.max() <= webp.LIMIT and np.array_equal(got > 0, counts > 0) and got[1].sum() == 1
+    many = (counts > 0).sum(1) > 1
+    assert ((got[many] > 0) * 0.5 ** got[many]).sum(1).tolist() == [1.0] * many.sum()
+    for c, n in zip(counts, webp.huffman_many(counts, 60), strict=True):
+        weights, total = sorted(c[c > 0].tolist()), 0
+        while len(weights) > 1:
+            total += weights[0] + weights[1]
+            weights = sorted([weights[0] + weights[1], *weights[2:]])
+        assert (c * n).sum() == total or (c > 0).sum() == 1
+
+
+def test_webp_calls_do_not_grow_with_images():
+    """Headers, codes and tokens of a batch are worked on together: Python functions are not called for each image."""
+
+    def calls(n):
+        runs = [np.frombuffer((b"%d some words and some more words and a number %d. " % (i, i * 7919) * 8)[:256], np.uint8) for i in range(n)]
+        seen = [0]
+
+        def count(frame, event, arg):
+            seen[0] += event == "call"
+
+        sys.setprofile(count)
+        try:
+            webp.decode_many(webp.encode_many(np.concatenate(runs), np.arange(n + 1) * 256, 64))
+        finally:
+            sys.setprofile(None)
+        return seen[0]
+
+    assert calls(400) < 2 * calls(100)
