@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,6 +332,111 @@ def within(left: DataFrame, right: DataFrame, lms: str, rms: str, window_ms: int
     return l.join(r, "_bin").filter(F.abs(F.col(lms) - F.col(rms)) <= window_ms).drop("_bin")
 
 
+#: A panel of time is as many windows wide. A panel with more faces is dealt to parts by person, so a task has about as many rows at once.
+PANEL_WINDOWS, PANEL_ROWS = 8, 1 << 18
+#: Pairs of a shot and a face around it that a task counts at once.
+PAIRS_BLOCK = 1 << 20
+
+
+def _in_panels(shots: DataFrame, faces: DataFrame, window_ms: int, f, schema: str, both_sides: bool = False) -> DataFrame:
+    """f over the panels of time, each a table of shots (path, ms) and of faces (person_id, ms) that has every face in reach of its shots; with both_sides every shot in reach as well, `own` telling the panel's.
+
+    Only rows travel, each to the panels that its window touches, mostly one; what f makes of a panel stays where it is made.
+    """
+    width = PANEL_WINDOWS * max(1, window_ms)
+    panel = lambda ms: F.floor(ms / F.lit(width))
+    reached = F.explode(F.sequence(panel(F.col("ms") - window_ms), panel(F.col("ms") + window_ms))).alias("_panel")
+    points = faces.select("ms", "person_id", reached)
+    crowded = points.groupBy("_panel").agg(F.count("*").alias("_n")).filter(F.col("_n") > PANEL_ROWS).select("_panel", F.ceil(F.col("_n") / PANEL_ROWS).cast("int").alias("_parts"))
+    dealt = lambda df: df.join(F.broadcast(crowded), "_panel", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    asked = shots.select("ms", "path", reached if both_sides else panel(F.col("ms")).alias("_panel"))
+    l = dealt(asked).select("_panel", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts", "ms", F.lit(None).cast("bigint").alias("person_id"), "path", (panel(F.col("ms")) == F.col("_panel")).alias("own"))
+    r = dealt(points).select("_panel", F.pmod(F.xxhash64("person_id"), "_parts").cast("int").alias("_part"), "_parts", "ms", "person_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("boolean").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows of the last panel so far
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys = np.stack([rows.column(k).to_numpy() for k in ("_panel", "_part")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and (held[0].column("_panel")[0].as_py(), held[0].column("_part")[0].as_py()) != tuple(keys[:, a].tolist()):
+                    yield from f(pa.concat_tables(held))
+                    held = []
+                held.append(rows.slice(a, b - a))
+        if held:
+            yield from f(pa.concat_tables(held))
+
+    return l.unionByName(r).repartition("_panel", "_part").sortWithinPartitions("_panel", "_part").mapInArrow(run, schema)
+
+
+def _panel_sides(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, pa.Array]:
+    """Shots, and of the faces in the order of time the times, the persons as numbers, and who these are."""
+    is_shot = pc.is_valid(rows.column("own"))
+    faces = rows.filter(pc.invert(is_shot)).sort_by("ms")
+    who = faces.column("person_id").combine_chunks().dictionary_encode("encode")
+    return rows.filter(is_shot), faces.column("ms").to_numpy(), who.indices.to_numpy(zero_copy_only=False).astype(np.int64), who.dictionary
+
+
+def _reach(times: np.ndarray, ms: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the window around each time begins and ends among sorted times."""
+    return np.searchsorted(ms, times - window_ms, "left"), np.searchsorted(ms, times + window_ms, "right")
+
+
+def persons_within(shots: DataFrame, faces: DataFrame, window_ms: int) -> DataFrame:
+    """path, person_id, n: how often each person of faces (person_id, ms) is seen at most the window away from the shots (path, ms) of a path.
+
+    Pairs are counted panel by panel where they meet, once for each different time, and never travel; only if a path has several shots its counts are added up.
+    """
+    timed = shots.filter("ms is not null").select("path", "ms")
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        asked, ms, who, names = _panel_sides(rows)
+        asked = asked.sort_by("ms")
+        paths = asked.column("path").combine_chunks()
+        times, first, shots_at = np.unique(asked.column("ms").to_numpy(), return_index=True, return_counts=True)
+        lo, hi = _reach(times, ms, window_ms)
+        upto = np.concatenate(([0], np.cumsum(hi - lo)))
+        a = 0
+        while a < len(times):
+            b = max(int(np.searchsorted(upto, upto[a] + PAIRS_BLOCK, "right")) - 1, a + 1)
+            pairs = int(upto[b] - upto[a])
+            if pairs:
+                row = np.repeat(np.arange(b - a), hi[a:b] - lo[a:b])
+                face = np.arange(pairs) - np.repeat(upto[a:b] - upto[a] - lo[a:b], hi[a:b] - lo[a:b])
+                seen, own = np.unique(who[lo[a] : hi[b - 1]], return_inverse=True)
+                key = row * len(seen) + own[face - lo[a]]
+                if (b - a) * len(seen) <= 8 * pairs:
+                    n = np.bincount(key)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                row, person = a + key // len(seen), seen[key % len(seen)]
+                for c, d in _slices(shots_at[row]):
+                    copies = shots_at[row[c:d]]
+                    path = np.repeat(first[row[c:d]], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                    yield pa.record_batch([paths.take(pa.array(path)), names.take(pa.array(np.repeat(person[c:d], copies))), pa.array(np.repeat(n[c:d], copies))], ["path", "person_id", "n"])
+            a = b
+
+    out = _in_panels(timed, faces.filter("ms is not null"), window_ms, run, "path string, person_id bigint, n bigint")
+    if timed.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").first():
+        out = out.groupBy("path", "person_id").agg(F.sum("n").alias("n"))
+    return out
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of places whose sizes add up to about a block."""
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    a = 0
+    while a < len(sizes):
+        b = max(int(np.searchsorted(upto, upto[a] + PAIRS_BLOCK, "right")) - 1, a + 1)
+        yield a, b
+        a = b
+
+
 def _counts_around(asked: DataFrame, points: DataFrame, window_ms: int, *by: str) -> DataFrame:
     """Of each asked (by, t) how many points (by, ms, n) are at most the window away in time: (by, t, around).
 
@@ -362,26 +468,55 @@ def counts_within(left: DataFrame, right: DataFrame, lms: str, rms: str, window_
     return left.join(found, F.col(lms) == F.col("_t"), "left").withColumn("around", F.coalesce("around", F.lit(0).cast("long"))).drop("_t")
 
 
+def _main_persons(times: np.ndarray, ms: np.ndarray, who: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each time how many faces are around it, who more than half of them are (any number if nobody), and how many that one has.
+
+    Running counts of each bit of the persons' numbers: the bits that most faces around have are those of whom most show.
+    """
+    lo, hi = _reach(times, ms, window_ms)
+    total, most = hi - lo, np.zeros(len(times), np.int64)
+    for bit in range(int(who.max(initial=0)).bit_length()):
+        upto = np.concatenate(([0], np.cumsum(who >> bit & 1)))
+        most |= (2 * (upto[hi] - upto[lo]) > total).astype(np.int64) << bit
+    # places of each person's faces, one person behind the other
+    order = np.argsort(who, kind="stable")
+    place = who[order] * (len(ms) + 1) + order
+    return total, most, np.searchsorted(place, most * (len(ms) + 1) + hi) - np.searchsorted(place, most * (len(ms) + 1) + lo)
+
+
 def link_back_views(shots: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """path, person_id of shots with a body and no face that belong to whom the faces around them show.
 
     The most frequent person must be seen at least as often as there are faceless shots around, and be the only one, or seen twice or more and four times in five.
 
-    Who is in reach is looked up by bins of time and person, and how often by running counts, so rows grow with shots and with the people around each, not with pairs of shots.
+    Whoever is shown four times in five is shown by more than half of the faces, so one person is asked for at each time, in running counts inside panels of time: neither pairs of shots nor the people around a shot become rows.
     """
-    width = max(1, window_ms)
-    timed = shots.filter("capture_ms is not null")
-    faced = timed.filter(F.size("person_ids") > 0).select(F.col("capture_ms").alias("ms"), F.explode(F.array_distinct("person_ids")).alias("person_id")).groupBy("person_id", "ms").agg(F.count("*").alias("n"))
-    blank = timed.filter((F.size("person_ids") == 0) & F.col("body")).select("path", "capture_ms")
-    times = blank.select(F.col("capture_ms").alias("t")).distinct()
-    bins = times.select("t", F.explode(F.sequence(F.floor(F.col("t") / width) - 1, F.floor(F.col("t") / width) + 1)).alias("_bin"))
-    near = bins.join(faced.select("person_id", F.floor(F.col("ms") / width).alias("_bin")).distinct(), "_bin").select("person_id", "t").distinct()
-    seen = _counts_around(near, faced, window_ms, "person_id").filter("around > 0")
-    top = seen.groupBy("t").agg(F.max_by("person_id", F.struct("around", "person_id")).alias("person_id"), F.max("around").alias("top"), F.sum("around").alias("total"), F.count("*").alias("persons"))
-    faceless = _counts_around(times, blank.groupBy(F.col("capture_ms").alias("ms")).agg(F.count("*").alias("n")), window_ms)
-    sure = (F.col("top") >= F.col("faceless")) & ((F.col("persons") == 1) | ((F.col("top") >= 2) & (F.col("top") / F.col("total") >= 0.8)))
-    linked = top.join(faceless.withColumnRenamed("around", "faceless"), "t").filter(sure).select("t", "person_id")
-    return blank.join(linked, blank["capture_ms"] == linked["t"]).select("path", "person_id")
+    timed = shots.filter("capture_ms is not null").withColumnRenamed("capture_ms", "ms")
+    faces = timed.filter(F.size("person_ids") > 0).select("ms", F.explode(F.array_distinct("person_ids")).alias("person_id"))
+    blank = timed.filter((F.size("person_ids") == 0) & F.col("body")).select("path", "ms")
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        asked, ms, who, names = _panel_sides(rows)
+        mine = asked.filter(asked.column("own"))
+        if not len(ms) or not mine.num_rows:
+            return
+        times = mine.column("ms").to_numpy()
+        total, most, top = _main_persons(times, ms, who, window_ms)
+        lo, hi = _reach(times, np.sort(asked.column("ms").to_numpy()), window_ms)
+        # where the panel is in parts, others may know more
+        told = np.flatnonzero((total > 0) & ((rows.column("_parts")[0].as_py() > 1) | _surely(top, np.maximum(total, 1), hi - lo)))
+        person = names.take(pa.array(np.minimum(most[told], len(names) - 1)))
+        columns = [mine.column("path").combine_chunks().take(pa.array(told)), pa.array(times[told]), person, pa.array(top[told]), pa.array(total[told]), pa.array((hi - lo)[told])]
+        yield pa.record_batch(columns, ["path", "ms", "person_id", "top", "total", "faceless"])
+
+    parts = _in_panels(blank, faces, window_ms, run, "path string, ms bigint, person_id bigint, top bigint, total bigint, faceless bigint", both_sides=True)
+    whole = parts.distinct().groupBy("path", "ms", "faceless").agg(F.max_by("person_id", "top").alias("person_id"), F.max("top").alias("top"), F.sum("total").alias("total"))
+    return whole.filter(_surely(F.col("top"), F.col("total"), F.col("faceless"))).select("path", "person_id")
+
+
+def _surely(top, total, faceless):
+    """Whether a person shown so often among so many faces is whom the faceless shots show; columns or arrays."""
+    return (top >= faceless) & ((top == total) | ((top >= 2) & (top / total >= 0.8)))
 
 
 def relinked(shots_: DataFrame, m: Marks, window_ms: int = WINDOW_MS) -> DataFrame:
