@@ -198,32 +198,80 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros(x.shape), where=n > 0)
 
 
-def _clustered(vectors: np.ndarray, faces: list[int], large_at: int, high: float, low: float, floor: float) -> list[list[int]]:
+#: Likenesses of faces and clusters that are held at once.
+LIKENESSES = 1 << 20
+
+
+def _merged(found: list[_Cluster], large_at: int, high: float, low: float) -> list[_Cluster]:
+    """While a pair of clusters is near enough the best one, the first of equals, becomes one, in the first's place.
+
+    Of each cluster only the best later one is kept, not the table of all pairs: what a merge changes is one cluster's likeness to the others, and the best of those whose best was one of the two.
+    """
+    n = len(found)
+    if n < 2:
+        return found
+    c = _unit_rows(np.stack([x.center for x in found]))
+    large, there = np.array([len(x.members) >= large_at for x in found]), np.ones(n, bool)
+    best, whom = np.full(n, -2.0), np.zeros(n, np.int64)
+
+    def look(rows: np.ndarray) -> None:
+        for some in np.array_split(rows, len(rows) * n // LIKENESSES + 1):
+            if len(some):
+                start = int(some.min())
+                s = c[some] @ c[start:].T
+                s[~(there[start:] & (np.arange(start, n) > some[:, None])) | (s < np.where(large[some][:, None] | large[start:], high, low))] = -2
+                whom[some] = start + s.argmax(1)
+                best[some] = s[np.arange(len(some)), whom[some] - start]
+
+    look(np.arange(n))
+    while True:
+        a = int(best.argmax())
+        if best[a] <= -1:
+            return [x for x, k in zip(found, there.tolist(), strict=True) if k]
+        b = int(whom[a])
+        found[a].take(found[b].members, found[b].sum)
+        there[b], best[b] = False, -2
+        c[a], large[a] = _unit_rows(found[a].center[None])[0], len(found[a].members) >= large_at
+        s = c[:a] @ c[a]
+        s[~there[:a] | (s < np.where(large[:a] | large[a], high, low))] = -2
+        stale = (best > -2) & ((whom == a) | (whom == b))
+        stale[a] = True
+        closer = np.flatnonzero(~stale[:a] & ((s > best[:a]) | ((s == best[:a]) & (s > -2) & (a < whom[:a]))))
+        best[closer], whom[closer] = s[closer], a
+        look(np.flatnonzero(stale))
+
+
+def _leaders(vectors: np.ndarray, faces: list[int], large_at: int, high: float, low: float) -> list[_Cluster]:
+    """Each face in turn joins the nearest cluster of those near enough, the first of equals, or begins one. A block of faces meets all clusters as one product, of which only the columns of clusters that change are made anew."""
     found: list[_Cluster] = []
-    units = _unit_rows(vectors)
     centers, need = np.zeros((16, vectors.shape[1] if vectors.ndim == 2 else 0)), np.zeros(16)
-    for i in faces:
-        s = centers[: len(found)] @ units[i]
-        s = np.where(s >= need[: len(found)], s, -2)
-        k = int(s.argmax()) if len(s) else -1
-        if k < 0 or s[k] <= -1:
-            if len(found) == len(centers):
-                centers, need = np.concatenate((centers, np.zeros_like(centers))), np.concatenate((need, np.zeros_like(need)))
-            k = len(found)
-            found.append(_Cluster(i, vectors[i]))
-        else:
-            found[k].take([i], vectors[i].astype(np.float64))
-        centers[k], need[k] = _unit_rows(found[k].center[None])[0], high if len(found[k].members) >= large_at else low
-    while len(found) > 1:
-        c = _unit_rows(np.stack([x.center for x in found]))
-        large = np.array([len(x.members) >= large_at for x in found])
-        s = c @ c.T
-        s = np.where(np.triu(np.ones(s.shape, bool), 1) & (s >= np.where(large[:, None] | large[None, :], high, low)), s, -2)
-        a, b = divmod(int(s.argmax()), len(found))
-        if s[a, b] <= -1:
-            break
-        found[a].take(found[b].members, found[b].sum)
-        del found[b]
+    at = 0
+    while at < len(faces):
+        block = faces[at : at + max(8, min(256, LIKENESSES // (len(found) + 1)))]
+        at += len(block)
+        if len(centers) < len(found) + len(block):
+            more = len(centers) + len(block)
+            centers, need = np.concatenate((centers, np.zeros((more, centers.shape[1])))), np.concatenate((need, np.zeros(more)))
+        units = _unit_rows(vectors[block])
+        s = np.full((len(block), len(found) + len(block)), -2.0)
+        near = units @ centers[: len(found)].T
+        np.copyto(s[:, : len(found)], near, where=near >= need[: len(found)])
+        for j, i in enumerate(block):
+            k = int(s[j].argmax())
+            if s[j, k] <= -1:
+                k = len(found)
+                found.append(_Cluster(i, vectors[i]))
+            else:
+                found[k].take([i], vectors[i].astype(np.float64))
+            centers[k], need[k] = _unit_rows(found[k].center[None])[0], high if len(found[k].members) >= large_at else low
+            new = units[j + 1 :] @ centers[k]
+            s[j + 1 :, k] = np.where(new >= need[k], new, -2)
+    return found
+
+
+def _clustered(vectors: np.ndarray, faces: list[int], large_at: int, high: float, low: float, floor: float) -> list[list[int]]:
+    found = _leaders(vectors, faces, large_at, high, low)
+    found = _merged(found, large_at, high, low)
     if floor > 0:
         loose: list[int] = []
         for k in range(len(found) - 1, -1, -1):
