@@ -13,6 +13,8 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,30 @@ def by_groups(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def by_cells(df: DataFrame, keys: tuple[str, str], f, schema: str) -> DataFrame:
+    """The record batches that f makes, one by one, of each group's rows as an Arrow table. Keys are two whole numbers; one group is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows of the last group so far
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            own = np.stack([rows.column(k).to_numpy() for k in keys])
+            cuts = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and last != tuple(own[:, a].tolist()):
+                    yield from f(pa.concat_tables(held))
+                    held = []
+                last = tuple(own[:, a].tolist())
+                held.append(rows.slice(a, b - a))
+        if held:
+            yield from f(pa.concat_tables(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def with_blocks(files: DataFrame, mode: str = "normalized") -> DataFrame:
     """Columns + block: which files share size, family and name key; null for a file that shares them with none."""
     keyed = files.withColumn("_family", N.family("ext")).withColumn("_key", N.name_key("name", mode))
@@ -340,12 +366,96 @@ def looked_up(prints: DataFrame, distance: int, crowded: int = CROWDED) -> tuple
     return split(left, "p").drop("_crowded"), asked.drop("_crowded")
 
 
+#: Rows of a block of fingerprints, and the least number of blocks; and pairs that a task holds at once.
+PRINTS_BLOCK, PRINTS_BLOCKS, PAIRS_BLOCK = 1 << 16, 8, 1 << 20
+#: Bands whose values two unlike fingerprints share more often than this are of no use: all pairs are compared.
+SELECTIVE = 1 / 256
+
+
+def _near(left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in left and in right of all pairs within the distance, and how far they are, tile by tile."""
+    high, wide = 128, 4096
+    x, d = np.empty((high, wide), np.uint64), np.empty((high, wide), np.uint8)
+    for i in range(0, len(left), high):
+        for j in range(0, len(right), wide):
+            a, b = left[i : i + high, None], right[None, j : j + wide]
+            bits, far = x[: a.shape[0], : b.shape[1]], d[: a.shape[0], : b.shape[1]]
+            np.bitwise_count(np.bitwise_xor(a, b, out=bits), out=far)
+            at = np.flatnonzero(far <= distance)
+            if len(at):
+                k, m = np.divmod(at, b.shape[1])
+                yield i + k, j + m, far[k, m]
+
+
+def _all_near_pairs(base: DataFrame, distance: int) -> DataFrame:
+    """near_pairs by comparing all fingerprints (k, p): blocks meet in cells, each pair of blocks in one, and in a cell different fingerprints meet once. A task has two blocks and a bounded number of pairs at a time, and pairs never travel."""
+    n = max(PRINTS_BLOCKS, base.count() // PRINTS_BLOCK + 1)
+    block = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    dealt = base.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = dealt.select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") <= F.col("_o")).alias("_left"), "k", "p")
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        own = rows.column("_i")[0] == rows.column("_j")[0]
+        left = rows.filter(rows.column("_left"))
+        right = left if own else rows.filter(pc.invert(rows.column("_left")))
+        (keys, at, begin), (others, to, start) = ((side.column("k").combine_chunks(), *_grouped(side.column("p").to_numpy().view(np.uint64))) for side in (left, right))
+        for i, j, far in _near(at, to, distance):
+            for a, b in _runs((begin[1][i + 1] - begin[1][i]) * (start[1][j + 1] - start[1][j])):
+                x, y, d = _products(begin, start, i[a:b], j[a:b], far[a:b])
+                for c in range(0, len(x), PAIRS_BLOCK):
+                    u, v, w = x[c : c + PAIRS_BLOCK], y[c : c + PAIRS_BLOCK], d[c : c + PAIRS_BLOCK]
+                    if own:
+                        once = u < v
+                        u, v, w = u[once], v[once], w[once]
+                    yield pa.record_batch([keys.take(pa.array(u)), others.take(pa.array(v)), pa.array(w.astype(np.int32))], ["k", "k2", "distance"])
+
+    kind = base.schema["k"].dataType.simpleString()
+    near = by_cells(cells, ("_i", "_j"), run, f"k {kind}, k2 {kind}, distance int")
+    return near.filter("k <> k2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "distance")
+
+
+#: Rows of equal fingerprints that stand as one.
+ALIKE = 1 << 10
+
+
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Different values, one for each 1,024 of its rows, and the places of these: all places in the order of their values, and where each one's begin."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(values)]
+    nth = np.arange(len(values)) - np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+    first = np.flatnonzero(nth % ALIKE == 0)
+    return ranked[first], (order, np.append(first, len(values)))
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of places whose sizes add up to about a block."""
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    a = 0
+    while a < len(sizes):
+        b = max(int(np.searchsorted(upto, upto[a] + PAIRS_BLOCK, "right")) - 1, a + 1)
+        yield a, b
+        a = b
+
+
+def _products(begin: tuple[np.ndarray, np.ndarray], start: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of each pair of values: every row of the one with every row of the other."""
+    wide = start[1][j + 1] - start[1][j]
+    sizes = (begin[1][i + 1] - begin[1][i]) * wide
+    pair = np.repeat(np.arange(len(i)), sizes)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return begin[0][begin[1][i][pair] + nth // wide[pair]], start[0][start[1][j][pair] + nth % wide[pair]], far[pair]
+
+
 def near_pairs(prints: DataFrame, distance: int, key: str = "path", phash: str = "phash", crowded: int = CROWDED) -> DataFrame:
     """Pairs a < b of 64-bit fingerprints within the distance, each once, through an equi-join of bands of bits, and of bands of the other bits where many share a value.
 
-    Each different fingerprint is looked for once, however many rows have it; its rows meet those of its neighbours at the end.
+    Each different fingerprint is looked for once, however many rows have it; its rows meet those of its neighbours at the end. At distances whose bands tell too little apart all pairs are compared in blocks instead.
     """
     base = prints.select(F.col(key).alias("k"), F.col(phash).alias("p")).filter("p is not null")
+    bands, width, flips = _banding(distance)
+    if bands * len(flips) / 2**width > SELECTIVE:
+        return _all_near_pairs(base, distance)
     left, right = looked_up(base.select("p").distinct(), distance, crowded)
     d = F.bit_count(F.col("p").bitwiseXOR(F.col("p2")))
     near = left.join(right, ["band", "v", "part", "u"]).filter((F.col("p") < F.col("p2")) & (d <= distance)).select("p", "p2", d.cast("int").alias("distance")).distinct()

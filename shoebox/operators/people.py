@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.vectors import cosine, unit
-from .dedupe import by_groups
+from .dedupe import by_cells, by_groups
 from .library import CLUSTER_VERSION, FACE_MODEL, Marks, without_orphans
 
 SAME_PERSON = 0.32
@@ -401,23 +401,7 @@ def _in_panels(shots: DataFrame, faces: DataFrame, window_ms: int, f, schema: st
     l = dealt(asked).select("_panel", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts", "ms", F.lit(None).cast("bigint").alias("person_id"), "path", (panel(F.col("ms")) == F.col("_panel")).alias("own"))
     r = dealt(points).select("_panel", F.pmod(F.xxhash64("person_id"), "_parts").cast("int").alias("_part"), "_parts", "ms", "person_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("boolean").alias("own"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # the rows of the last panel so far
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            keys = np.stack([rows.column(k).to_numpy() for k in ("_panel", "_part")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if held and (held[0].column("_panel")[0].as_py(), held[0].column("_part")[0].as_py()) != tuple(keys[:, a].tolist()):
-                    yield from f(pa.concat_tables(held))
-                    held = []
-                held.append(rows.slice(a, b - a))
-        if held:
-            yield from f(pa.concat_tables(held))
-
-    return l.unionByName(r).repartition("_panel", "_part").sortWithinPartitions("_panel", "_part").mapInArrow(run, schema)
+    return by_cells(l.unionByName(r), ("_panel", "_part"), f, schema)
 
 
 def _panel_sides(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, pa.Array]:
