@@ -156,17 +156,45 @@ def _cos(a: np.ndarray, b: np.ndarray) -> float:
     return float(x @ y / np.sqrt(d)) if d else 0.0
 
 
+#: Faces of a photo that meet those kept so far at once.
+SUBJECTS_BLOCK = 256
+
+
+def _kept_subjects(vectors: list, threshold: float) -> list[int]:
+    """Places of the faces, in the order given, that are not like an earlier one that is kept. Vectors of different lengths meet over their common length."""
+    dims: dict[int, list[np.ndarray]] = {d: [] for d in sorted({len(v) for v in vectors})}  # of each length the kept vectors, as blocks
+    kept: list[int] = []
+    for begin in range(0, len(vectors), SUBJECTS_BLOCK):
+        block = [np.asarray(v, float) for v in vectors[begin : begin + SUBJECTS_BLOCK]]
+        by = _by_length(block)
+        met = np.zeros(len(block), bool)
+        for d, at in by.items():
+            x = _matrix(block, at, d)
+            for blocks in dims.values():
+                for y in blocks:
+                    met[at] |= (_cosines(x, y) >= threshold).any(1)
+        free = np.flatnonzero(~met).tolist()
+        fresh: list[int] = []
+        near = np.zeros((len(free), len(free)), bool)
+        for d, at in _by_length([block[i] for i in free]).items():
+            for e, to in _by_length([block[i] for i in free]).items():
+                near[np.ix_(at, to)] = _cosines(_matrix([block[i] for i in free], at, d), _matrix([block[i] for i in free], to, e)) >= threshold
+        for i in range(len(free)):
+            if not near[i, fresh].any():
+                fresh.append(i)
+        for d, at in _by_length([block[free[i]] for i in fresh]).items():
+            dims[d].append(_matrix([block[free[i]] for i in fresh], at, d))
+        kept += [begin + free[i] for i in fresh]
+    return kept
+
+
 def main_subjects(faces: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
     """Of each photo the faces by falling area, without those like a larger one that stays. Columns path, embedding, area, ord."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["embedding"].map(lambda e: e is not None and len(e) > 0)]
         rows = rows.assign(area=rows["area"].fillna(0)).sort_values(["area", "ord"], ascending=[False, True], kind="stable")
-        kept: list = []
-        for i, e in zip(rows.index, rows["embedding"], strict=True):
-            if not any(_cos(e, rows.at[k, "embedding"]) >= threshold for k in kept):
-                kept.append(i)
-        return rows.loc[kept]
+        return rows.iloc[_kept_subjects(rows["embedding"].tolist(), threshold)]
 
     return by_groups(faces.select("path", "embedding", "area", "ord"), ["path"], run, "path string, embedding array<float>, area double, ord bigint")
 
