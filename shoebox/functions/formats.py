@@ -21,24 +21,39 @@ def _n(x: Column | str) -> Column:
     return F.coalesce(col(x).cast("double"), F.lit(0.0))
 
 
-def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+def _fixed(x: Column, digits: int, even: bool = False) -> Column:
+    """The double itself, not its shortest text, rounded to so many digits; what lies in the middle goes away from zero, or with `even` to the even digit, as C's printf does.
+
+    The fraction is cut in two, so that both parts times the scale are exact and the sign of their distance from the middle is too.
+    """
+    scale, cut, size = float(10**digits), float(1 << 26), F.abs(x)
+    fraction = size - F.floor(size)
+    high = F.floor(fraction * cut) / F.lit(cut)
+    k = F.floor(high * scale)
+    beyond = (high * scale - k - 0.5) + (fraction - high) * scale
+    up = beyond + (k % 2) * 1e-300 > 0 if even else beyond >= 0
+    n = F.floor(size) * int(scale) + k + up.cast("long")
+    tail = (F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0")) if digits else ()
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.call_function("div", n, F.lit(int(scale))).cast("string"), *tail)
+    return F.when(size < min(2.0**52, 2.0**62 / scale), text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def _whole(x: Column) -> Column:
     return x.cast("decimal(38,0)").cast("string")
 
 
-def bytes_binary(size: Column | str) -> Column:
-    """Steps of 1024: B, KB and MB with one digit, GB with two."""
+def bytes_binary(size: Column | str, even: bool = False, gigabytes: bool = True) -> Column:
+    """Steps of 1024: B, KB and MB with one digit, GB with two unless MB are the largest. even: what lies in the middle goes to the even digit."""
     n = _n(size)
-    return F.when(n < 1024, F.concat(_whole(n), F.lit(" B"))).when(n < 1024**2, F.concat(_fixed(n / 1024, 1), F.lit(" KB"))).when(n < 1024**3, F.concat(_fixed(n / 1024**2, 1), F.lit(" MB"))).otherwise(F.concat(_fixed(n / 1024**3, 2), F.lit(" GB")))
+    mega = F.concat(_fixed(n / 1024**2, 1, even), F.lit(" MB"))
+    large = F.when(n < 1024**3, mega).otherwise(F.concat(_fixed(n / 1024**3, 2, even), F.lit(" GB"))) if gigabytes else mega
+    return F.when(n < 1024, F.concat(_whole(n), F.lit(" B"))).when(n < 1024**2, F.concat(_fixed(n / 1024, 1, even), F.lit(" KB"))).otherwise(large)
 
 
-def bytes_decimal(size: Column | str) -> Column:
-    """Steps of 1000: GB with two digits, MB with one, whole KB and B."""
+def bytes_decimal(size: Column | str, even: bool = False) -> Column:
+    """Steps of 1000: GB with two digits, MB with one, whole KB and B. even: what lies in the middle goes to the even digit."""
     n = _n(size)
-    return F.when(n >= 1e9, F.concat(_fixed(n / 1e9, 2), F.lit(" GB"))).when(n >= 1e6, F.concat(_fixed(n / 1e6, 1), F.lit(" MB"))).when(n >= 1e3, F.concat(_whole(js_round(n / 1e3)), F.lit(" KB"))).otherwise(F.concat(_whole(n), F.lit(" B")))
+    return F.when(n >= 1e9, F.concat(_fixed(n / 1e9, 2, even), F.lit(" GB"))).when(n >= 1e6, F.concat(_fixed(n / 1e6, 1, even), F.lit(" MB"))).when(n >= 1e3, F.concat(_whole(js_round(n / 1e3)), F.lit(" KB"))).otherwise(F.concat(_whole(n), F.lit(" B")))
 
 
 def bytes_adaptive(size: Column | str) -> Column:

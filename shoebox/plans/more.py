@@ -354,7 +354,7 @@ def time_window_density(spark, sf_dir):
 
 
 FORMATS = {
-    "bytes_decimal": (lambda: formats.bytes_decimal(F.floor("o_totalprice") * 37), "CASE WHEN n >= 1e9 THEN printf('%.2f GB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1f MB', n / 1e6) END"),
+    "bytes_decimal": (lambda: formats.bytes_decimal(F.floor("o_totalprice") * 37, even=True), "CASE WHEN n >= 1e9 THEN printf('%.2f GB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1f MB', n / 1e6) END"),
     "trimmed": (lambda: formats.trim_num((F.col("o_orderkey") % 50).cast("double") / 10), "CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey % 50 // 10 AS VARCHAR) ELSE printf('%.1f', o_orderkey % 50 / 10) END"),
 }
 
