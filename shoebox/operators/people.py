@@ -53,20 +53,40 @@ def _unit_rows64(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _best_of(faces: list, ids: np.ndarray, vectors: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each face the best of some people in the order of their ids, the last of equals: places of the faces that have one, who, and how near."""
-    people = _by_length(vectors)
-    blocks = _vectors(vectors, people)
+def _arrays(column: pa.Array) -> list:
+    """Vectors of a column of lists, None for null."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+    return [v if ok else None for v, ok in zip(np.split(flat, ends[:-1]), column.is_valid().to_pylist(), strict=True)] if len(column) else []
+
+
+#: Faces and people whose likeness a task computes at once.
+FACES_TILE, PEOPLE_TILE = 1 << 9, 1 << 12
+
+
+def _people(ids: np.ndarray, vectors: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of people, those of one length together."""
+    at = _by_length(vectors)
+    return [(ids[np.array(at[d], int)], m) for d, m in _vectors(vectors, at).items()]
+
+
+def _best_of(faces: list, people: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each face the best of some people, the last of equals by id: places of the faces that have one, who, and how near. Tiles of faces meet tiles of people, so memory does not grow with either."""
     score, who = np.full(len(faces), -np.inf), np.zeros(len(faces), np.int64)
-    for d, at in _by_length(faces).items():
-        x = _matrix(faces, at, d)
-        for k, y in blocks.items():
-            s = _cosines(x, y)
-            last = s.shape[1] - 1 - s[:, ::-1].argmax(1)
-            best, own = s[np.arange(len(at)), last], ids[people[k]][last]
-            better = (best > score[at]) | ((best == score[at]) & (own > who[at]))
-            score[at] = np.where(better, best, score[at])
-            who[at] = np.where(better, own, who[at])
+    for d, places in _by_length(faces).items():
+        places = np.array(places, int)
+        for a in range(0, len(places), FACES_TILE):
+            at = places[a : a + FACES_TILE]
+            x = _matrix(faces, at.tolist(), d)
+            for ids, y in people:
+                for b in range(0, len(ids), PEOPLE_TILE):
+                    own = ids[b : b + PEOPLE_TILE]
+                    s = _cosines(x, y[b : b + PEOPLE_TILE])
+                    best = np.fmax.reduce(s, axis=1, initial=-np.inf)
+                    rows = np.flatnonzero(best >= np.maximum(score[at], threshold))
+                    named = np.where(s[rows] == best[rows, None], own, np.iinfo(np.int64).min).max(1)
+                    better = (best[rows] > score[at[rows]]) | (named > who[at[rows]])
+                    rows, named = rows[better], named[better]
+                    score[at[rows]], who[at[rows]] = best[rows], named
     hit = np.flatnonzero(score >= threshold)
     return hit, who[hit], score[hit]
 
@@ -96,19 +116,18 @@ def nearest(faces: DataFrame, people: DataFrame, threshold: float = SAME_PERSON,
     schema = "face_id bigint, person_id bigint, score double"
     if size <= sent_bytes:
         rows = p.orderBy("person_id").toArrow()
-        sent = faces.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_pylist()))
+        sent = faces.sparkSession.sparkContext.broadcast(_people(rows.column(0).to_numpy(), _arrays(rows.column(1).combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit, who, score = _best_of(batch.column(1).to_pylist(), *sent.value, threshold)
+                hit, who, score = _best_of(_arrays(batch.column(1)), sent.value, threshold)
                 yield pa.record_batch([batch.column(0).take(pa.array(hit)), pa.array(who), pa.array(score)], ["face_id", "person_id", "score"])
 
         best = f.mapInArrow(run, schema)
     else:
 
         def meet(some: pd.DataFrame, whom: pd.DataFrame) -> pd.DataFrame:
-            whom = whom.sort_values("person_id")
-            hit, who, score = _best_of(some["fe"].tolist(), whom["person_id"].to_numpy(), whom["pe"].tolist(), threshold)
+            hit, who, score = _best_of(some["fe"].tolist(), _people(whom["person_id"].to_numpy(), whom["pe"].tolist()), threshold)
             return pd.DataFrame({"face_id": some["face_id"].to_numpy()[hit], "person_id": who, "score": score})
 
         each = in_blocks(f, p, "face_id", "person_id", FACES_BLOCK, max(1, n * sent_bytes // size), meet, schema)
