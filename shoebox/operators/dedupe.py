@@ -59,6 +59,32 @@ def by_groups(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+#: Rows of small groups that are handled together.
+TOGETHER = 1 << 14
+
+
+def by_whole_groups(df: DataFrame, key: str, f, schema: str) -> DataFrame:
+    """f over the rows of many whole groups at once, those of one group one behind the other; key is never null. Small groups cost their rows, not a call each; only a group of more rows than TOGETHER is more in memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, enough = [], 0, TOGETHER
+        for rows in batches:
+            held.append(rows)
+            n += len(rows)
+            if n >= enough:
+                whole = pd.concat(held, ignore_index=True)
+                own = whole[key].to_numpy()
+                last = int(np.searchsorted(np.cumsum(own[1:] != own[:-1]), (own[1:] != own[:-1]).sum())) + 1 if (own != own[0]).any() else 0
+                if last:
+                    yield f(whole.iloc[:last].reset_index(drop=True))
+                held, n = [whole.iloc[last:]], len(whole) - last
+                enough = max(TOGETHER, 2 * n)
+        if n:
+            yield f(pd.concat(held, ignore_index=True))
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
 def by_cells(df: DataFrame, keys: tuple[str, str], f, schema: str) -> DataFrame:
     """The record batches that f makes, one by one, of each group's rows as an Arrow table. Keys are two whole numbers; one group is in memory at a time."""
 
@@ -122,8 +148,14 @@ def cluster_by_capture(rows: pd.DataFrame, tolerance: float) -> list[list[int]]:
     Times with fractions chain within the tolerance. A whole-second time joins the one cluster whose members all match it, and is a member
     from then on; where several match, or none, whole seconds chain among themselves.
     """
-    ms = rows["capture_ms"].to_numpy(dtype=float)
-    sub = rows["subsec_known"].fillna(False).to_numpy(dtype=bool)
+    return _clusters(*_times(rows), tolerance)
+
+
+def _times(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return rows["capture_ms"].to_numpy(dtype=float), rows["subsec_known"].fillna(False).to_numpy(dtype=bool)
+
+
+def _clusters(ms: np.ndarray, sub: np.ndarray, tolerance: float) -> list[list[int]]:
     known, loose = np.flatnonzero(~np.isnan(ms) & sub), np.flatnonzero(~np.isnan(ms) & ~sub)
     whole = max(0, int(np.floor(tolerance + 0.5)))
     groups: dict[int, list[int]] = {}
@@ -152,15 +184,23 @@ def time_groups(blocked: DataFrame, o: ScanOptions = ScanOptions()) -> DataFrame
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.schema) + ", time_group string"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seq", "path"]).reset_index(drop=True)
-        groups = cluster_by_capture(rows, o.tolerance())
-        missing = np.flatnonzero(rows["capture_ms"].isna()).tolist()
-        if o.match_without_time and len(missing) >= 2:
-            groups.append(missing)
-        parts = [rows.iloc[g].assign(time_group=f"{rows['block'].iloc[0]}:{k}") for k, g in enumerate(groups)]
-        return pd.concat(parts) if parts else rows.iloc[:0].assign(time_group=pd.Series(dtype=str))
-
-    return by_groups(blocked, ["block"], run, schema)
+        # blocks stay together in their order; within one, rows are in walking order
+        rows = rows.assign(_nth=(rows["block"] != rows["block"].shift()).cumsum()).sort_values(["_nth", "seq", "path"]).drop(columns="_nth").reset_index(drop=True)
+        block = rows["block"].to_numpy()
+        ms, sub = _times(rows)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(rows)]
+        at, names = [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            groups = _clusters(ms[a:b], sub[a:b], o.tolerance())
+            missing = np.flatnonzero(np.isnan(ms[a:b])).tolist()
+            if o.match_without_time and len(missing) >= 2:
+                groups.append(missing)
+            for k, g in enumerate(groups):
+                at += [a + i for i in g]
+                names += [f"{block[a]}:{k}"] * len(g)
+        return rows.iloc[at].assign(time_group=pd.Series(names, dtype=str).to_numpy(dtype=object))
+
+    return by_whole_groups(blocked, "block", run, schema)
 
 
 def exact_groups(timed: DataFrame, *by: str) -> DataFrame:
@@ -281,17 +321,43 @@ def anchored_buckets(timed: DataFrame, tolerance_sec: float, *by: str, stages: S
     return rows.join(own, [*by, "_s"]).withColumn("bucket", name).select(*timed.columns, "bucket")
 
 
+#: Up to this distance a group's first fingerprint is looked up by the bands that it must share one of, beyond it all are compared.
+LOOKED_UP = 11
+
+
 def first_fit(paths: list[str], prints: list[int], distance: int) -> list[list[int]]:
-    """Positions of greedy groups: by path, each joins the first group all of whose members are near; those of two or more."""
+    """Positions of greedy groups: by path, each joins the first group all of whose members are near; those of two or more.
+
+    A fingerprint that came before goes where it went: its group is near as a whole, and earlier groups, which only grow, still are not. A new one asks the groups whose first member is near.
+    """
     mask = (1 << 64) - 1
     groups: list[list[int]] = []
+    members: list[list[int]] = []  # different fingerprints of each group
+    went: dict[int, int] = {}
+    first = np.zeros(64, np.uint64)
+    cuts = [64 * k // (distance + 1) for k in range(distance + 2)] if distance <= LOOKED_UP else []
+    bands = [(lo, (1 << hi - lo) - 1, {}) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     for i in sorted(range(len(paths)), key=lambda i: paths[i]):
-        for g in groups:
-            if all(((prints[i] ^ prints[j]) & mask).bit_count() <= distance for j in g):
-                g.append(i)
-                break
-        else:
-            groups.append([i])
+        p = prints[i] & mask
+        g = went.get(p)
+        if g is None:
+            lists = [found.get(p >> lo & ones, ()) for lo, ones, found in bands]
+            if not bands or 64 + sum(map(len, lists)) * 50 > len(groups) + 500:
+                asked = np.flatnonzero(np.bitwise_count(first[: len(groups)] ^ np.uint64(p)) <= distance).tolist()
+            else:
+                asked = sorted({k for some in lists for k in some if (members[k][0] ^ p).bit_count() <= distance})
+            g = next((k for k in asked if all((p ^ q).bit_count() <= distance for q in members[k])), len(groups))
+            went[p] = g
+            if g == len(groups):
+                groups.append([])
+                members.append([])
+                if len(first) < len(groups):
+                    first = np.concatenate((first, np.zeros_like(first)))
+                first[g] = p
+                for lo, ones, found in bands:
+                    found.setdefault(p >> lo & ones, []).append(g)
+            members[g].append(p)
+        groups[g].append(i)
     return [g for g in groups if len(g) >= 2]
 
 
